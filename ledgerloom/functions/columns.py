@@ -30,7 +30,12 @@ def num(c: str | Column) -> Column:
     return F.coalesce(as_col(c), F.lit(0))
 
 
-DR, CR = num("debit_amount"), num("credit_amount")
+def DR() -> Column:
+    return num("debit_amount")
+
+
+def CR() -> Column:
+    return num("credit_amount")
 
 
 def money(c: Column, places: int = 2) -> Column:
@@ -73,7 +78,7 @@ def best_credit() -> Column:
 def effective_amount() -> Column:
     """|net| when net is non-zero, else |debit or credit|."""
     net = num("net_amount")
-    return F.when(net != 0, F.abs(net)).otherwise(F.abs(F.when(DR != 0, DR).otherwise(CR)))
+    return F.when(net != 0, F.abs(net)).otherwise(F.abs(F.when(DR() != 0, DR()).otherwise(CR())))
 
 
 def not_excluded(df: DataFrame) -> DataFrame:

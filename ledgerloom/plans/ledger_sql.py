@@ -66,7 +66,8 @@ def _sales() -> list[str]:
                  credit_amount=zero.format(tax), **common),
         ]
     common = dict(ledger_id="c_nationkey", reference_number="'BR-' || k", transaction_date="day + 30",
-                  description="'Receipt from customer'", voucher_type="'Receipt'")
+                  description="CASE WHEN k % 43 = 5 THEN 'Cash deposited in bank' ELSE 'Receipt from customer' END",
+                  voucher_type="'Receipt'")
     t = "so WHERE o_orderstatus = 'F'"
     out += [
         _leg(t, pos="1", account_name="'HDFC Bank A/c'", account_group="'Bank Accounts'",
@@ -108,9 +109,10 @@ def _purchases() -> list[str]:
         _leg(paid + " AND l_suppkey % 3 = 0", pos="3", account_name="'TDS Payable'",
              account_group="'Duties & Taxes'", vendor_name="s_name", party_name="s_name",
              credit_amount=tds, **pay),
-        _leg(journal, pos="1", account_name=_case("k % 12", [a for a, _ in JOURNAL_ACCOUNTS], "NULL"),
-             account_group=_case("k % 12", [g for _, g in JOURNAL_ACCOUNTS], "NULL"), debit_amount="ext",
-             closing_balance="CASE WHEN k % 12 IN (9, 10) THEN ext END", **jv),
+        _leg(journal, pos="1", account_name=_case("k % 14", [a for a, _ in JOURNAL_ACCOUNTS], "NULL")
+             + " || CASE WHEN k % 14 = 13 THEN ' ' || year(day) ELSE '' END",
+             account_group=_case("k % 14", [g for _, g in JOURNAL_ACCOUNTS], "NULL"), debit_amount="ext",
+             closing_balance="CASE k % 14 WHEN 9 THEN ext WHEN 10 THEN 0 END", **jv),
         _leg(journal, pos="2", account_name="'HDFC Bank A/c'", account_group="'Bank Accounts'",
              credit_amount="ext", **jv),
     ]

@@ -16,7 +16,7 @@ from .schema import MONEY, conform
 AS_OF = "2001-08-02"
 PERIOD = ("2001-04-01", "2001-06-30")
 
-# fixed values: journal accounts by l_orderkey mod 12 -> (account, group)
+# fixed values: journal accounts by l_orderkey mod 14 -> (account, group); the last adds the year
 JOURNAL_ACCOUNTS = [
     ("Salary", "Indirect Expenses"),
     ("Office Rent", None),
@@ -30,6 +30,8 @@ JOURNAL_ACCOUNTS = [
     ("Stock in Hand", "Stock-in-Hand"),
     ("Petty Cash", "Cash-in-Hand"),
     ("Provision for Bad Debts", "Provisions"),
+    ("Supplier Advances", "Sundry Creditors"),
+    ("Export Debtors", "Sundry Debtors"),
 ]
 
 # fixed values: narrations by o_orderkey mod 43 (anything else: plain invoice text)
@@ -120,8 +122,8 @@ def sales_side(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("Bank Accounts").alias("account_group"),
         F.when(is_debtor & ~(key % 103 == 5), F.col("c_name")).alias("customer_name"),
         F.when(is_debtor & ~(key % 103 == 5), F.col("c_name")).alias("party_name"),
-        F.when(sale, _pick(key % 43, SALES_NARRATIONS, plain)).otherwise("Receipt from customer")
-        .alias("description"),
+        F.when(sale | (key % 43 == 5), _pick(key % 43, SALES_NARRATIONS, plain))
+        .otherwise("Receipt from customer").alias("description"),
         ref.alias("reference_number"),
         F.when(sale, "Sales").otherwise("Receipt").alias("voucher_type"),
         F.when(sale, F.col("o_orderpriority")).alias("cost_centre"),
@@ -179,7 +181,9 @@ def purchase_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     bank = F.when((F.col("l_linestatus") == "O") | (F.col("kind") == 3), "HDFC Bank A/c").otherwise("ICICI Bank A/c")
     has_party = (_leg(104, 201) & ~(key % 101 == 7)) | _leg(203)
     vendor = F.when(has_party, F.col("s_name"))
-    slot = key % 12
+    slot = key % 14
+    journal = _pick(slot, [a for a, _ in JOURNAL_ACCOUNTS], F.lit(None))
+    journal = F.when(slot == 13, F.concat(journal, F.lit(" "), F.year("day").cast("string"))).otherwise(journal)
     return legs.select(
         F.col("s_nationkey").alias("ledger_id"),
         F.concat(ref, F.lit("/"), F.col("pos").cast("string")).alias("row_id"),
@@ -188,7 +192,7 @@ def purchase_side(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(_leg(101), F.concat(F.lit("Purchase - "), "p_brand"))
         .when(_leg(102), "CGST Input @9%").when(_leg(103), "SGST Input @9%")
         .when(_leg(104, 201), "Sundry Creditors").when(_leg(203), "TDS Payable")
-        .when(_leg(301), _pick(slot, [a for a, _ in JOURNAL_ACCOUNTS], F.lit(None)))
+        .when(_leg(301), journal)
         .otherwise(bank).alias("account_name"),
         F.when(_leg(101), "Purchase Accounts").when(_leg(102, 103, 203), "Duties & Taxes")
         .when(_leg(104, 201), "Sundry Creditors")
@@ -206,7 +210,8 @@ def purchase_side(spark: SparkSession, sf_dir: str) -> DataFrame:
         debit.alias("debit_amount"),
         credit.alias("credit_amount"),
         (debit - credit).cast(MONEY).alias("net_amount"),
-        F.when(_leg(301) & slot.isin(9, 10), F.col("ext")).alias("closing_balance"),
+        F.when(_leg(301) & (slot == 9), F.col("ext")).when(_leg(301) & (slot == 10), nil)
+        .alias("closing_balance"),
         F.lit(False).alias("excluded"),
     )
 
