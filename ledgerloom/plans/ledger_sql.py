@@ -41,6 +41,7 @@ def _leg(table: str, **given: str) -> str:
 def _sales() -> list[str]:
     out = []
     tax = "ROUND(price * 0.09, 2)"
+    bare = "CASE WHEN k % 107 = 11 THEN {} ELSE {} END"
     for prefix, suffix, shift, cond in (("INV-", "''", 0, "TRUE"), ("INV-", "'-DUP'", 3, "k % 83 = 2")):
         zero = "CASE WHEN k % 73 = 4 THEN 0 ELSE {} END"
         common = dict(
@@ -59,11 +60,14 @@ def _sales() -> list[str]:
                  debit_amount=zero.format(f"price + 2 * {tax} + CASE WHEN k % 97 = 0 THEN 50 ELSE 0 END"), **common),
             _leg(t, pos="2", account_name="'Sales - ' || c_mktsegment", account_group="'Sales Accounts'",
                  credit_amount=zero.format("price"), **common),
-            _leg(t, pos="3", account_name="'CGST Output @9%'", account_group="'Duties & Taxes'",
+            _leg(t, pos="3", account_name=bare.format("'Freight Outward'", "'CGST Output @9%'"),
+                 account_group=bare.format("'Indirect Expenses'", "'Duties & Taxes'"),
                  credit_amount=zero.format(
                      f"CASE WHEN k % 89 = 1 THEN ROUND({tax} * 1.07, 2) ELSE {tax} END"), **common),
-            _leg(t, pos="4", account_name="'SGST Output @9%'", account_group="'Duties & Taxes'",
-                 credit_amount=zero.format(tax), **common),
+            _leg(t, pos="4", account_name=bare.format("'Freight Outward'", "'SGST Output @9%'"),
+                 account_group=bare.format("'Indirect Expenses'", "'Duties & Taxes'"),
+                 debit_amount=zero.format(f"CASE WHEN k % 113 = 17 THEN {tax} ELSE 0 END"),
+                 credit_amount=zero.format(f"CASE WHEN k % 113 = 17 THEN 0 ELSE {tax} END"), **common),
         ]
     common = dict(ledger_id="c_nationkey", reference_number="'BR-' || k", transaction_date="day + 30",
                   description="CASE WHEN k % 43 = 5 THEN 'Cash deposited in bank' ELSE 'Receipt from customer' END",
@@ -73,7 +77,8 @@ def _sales() -> list[str]:
         _leg(t, pos="1", account_name="'HDFC Bank A/c'", account_group="'Bank Accounts'",
              debit_amount="price", **common),
         _leg(t, pos="2", account_name="'Sundry Debtors'", account_group="'Sundry Debtors'",
-             customer_name=who, party_name=who, credit_amount="price", **common),
+             customer_name=who, party_name=who, credit_amount="price - CASE WHEN k % 109 = 13 THEN 10 ELSE 0 END",
+             **common),
     ]
     return out
 

@@ -90,12 +90,18 @@ def sales_side(spark: SparkSession, sf_dir: str) -> DataFrame:
         key % 89 == 1, F.round(tax * F.lit("1.07").cast("decimal(4,2)"), 2).cast(MONEY)
     ).otherwise(tax)
     nil = F.lit(0).cast(MONEY)
-    debit = F.when(sale & (F.col("pos") == 1), debtor).when(_leg(301), F.col("price")).otherwise(nil)
+    wrong_side = key % 113 == 17
+    bare = sale & (key % 107 == 11)
+    debit = (
+        F.when(sale & (F.col("pos") == 1), debtor)
+        .when(sale & (F.col("pos") == 4) & wrong_side, tax)
+        .when(_leg(301), F.col("price")).otherwise(nil)
+    )
     credit = (
         F.when(sale & (F.col("pos") == 2), F.col("price"))
         .when(sale & (F.col("pos") == 3), cgst)
-        .when(sale & (F.col("pos") == 4), tax)
-        .when(_leg(302), F.col("price"))
+        .when(sale & (F.col("pos") == 4) & ~wrong_side, tax)
+        .when(_leg(302), (F.col("price") - F.when(key % 109 == 13, 10).otherwise(0)).cast(MONEY))
         .otherwise(nil)
     )
     is_debtor = (sale & (F.col("pos") == 1)) | _leg(302)
@@ -113,11 +119,13 @@ def sales_side(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("transaction_date"),
         F.when(is_debtor, "Sundry Debtors")
         .when(sale & (F.col("pos") == 2), F.concat(F.lit("Sales - "), "c_mktsegment"))
+        .when(bare & (F.col("pos") > 2), "Freight Outward")
         .when(sale & (F.col("pos") == 3), "CGST Output @9%")
         .when(sale & (F.col("pos") == 4), "SGST Output @9%")
         .otherwise("HDFC Bank A/c").alias("account_name"),
         F.when(is_debtor, "Sundry Debtors")
         .when(sale & (F.col("pos") == 2), "Sales Accounts")
+        .when(bare, "Indirect Expenses")
         .when(sale, "Duties & Taxes")
         .otherwise("Bank Accounts").alias("account_group"),
         F.when(is_debtor & ~(key % 103 == 5), F.col("c_name")).alias("customer_name"),
