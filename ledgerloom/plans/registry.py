@@ -13,6 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import trade_ledger as tl
+from ..sources.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,12 +30,15 @@ class Data:
     period: tuple[str, str] = field(default=tl.PERIOD)
 
     @cached_property
-    def gl(self) -> DataFrame:
-        return tl.gl(self.spark, self.sf_dir)
+    def gl_all(self) -> DataFrame:
+        """The ledger as ingested; rows sorted by date within each file, so a period skips row groups."""
+        return staged(self.spark, "gl", self.sf_dir, lambda: tl.gl_with_excluded(self.spark, self.sf_dir)
+                      .sortWithinPartitions("transaction_date"))
 
     @cached_property
-    def gl_all(self) -> DataFrame:
-        return tl.gl_with_excluded(self.spark, self.sf_dir)
+    def gl(self) -> DataFrame:
+        """The ledger every operator runs on: excluded rows dropped once, up front."""
+        return self.gl_all.filter("NOT excluded")
 
     @cached_property
     def overrides(self) -> DataFrame:

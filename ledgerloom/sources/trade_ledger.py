@@ -229,11 +229,6 @@ def gl_with_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform(sales_side(spark, sf_dir)).unionByName(conform(purchase_side(spark, sf_dir)))
 
 
-def gl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger every operator runs on: excluded rows dropped once, up front."""
-    return gl_with_excluded(spark, sf_dir).filter(~F.col("excluded"))
-
-
 def account_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved account mappings: one confirmed override and one proposal per ledger."""
     nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ledger_id"))
