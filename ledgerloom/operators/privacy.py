@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import top_per
-from ..functions.spans import ascii_edges, overlaps, spans
+from ..functions.matching import ACCOUNT, ascii_edges, find_amounts, merge_names, pieces, put_tokens, windows
 
 # --- PII ---------------------------------------------------------------------------
 
@@ -50,123 +50,30 @@ def count_pii(df: DataFrame, text: str) -> DataFrame:
 
 # --- amounts -----------------------------------------------------------------------
 
-# fixed values: (format, currency, multiplier, pattern), most specific first
-RS = r"(?:₹|Rs\.?\s*)"
-AMOUNTS = [
-    ("indian-crore-abbr", "INR", 1e7, r"(?i)" + RS + r"(\d+(?:\.\d+)?)\s*Cr\b"),
-    ("indian-lakh-abbr", "INR", 1e5, r"(?i)" + RS + r"(\d+(?:\.\d+)?)\s*L\b"),
-    ("indian-crore-spelled", "INR", 1e7, r"(?i)(\d+(?:\.\d+)?)\s*(?:crores?|karod)\b"),
-    ("indian-lakh-spelled", "INR", 1e5, r"(?i)(\d+(?:\.\d+)?)\s*(?:lakhs?)\b"),
-    ("us-abbr", "USD", None, r"(?i)\$\s*(\d+(?:\.\d+)?)\s*([BMK])\b"),
-    ("indian", "INR", 1.0, RS + r"(\d{1,2}(?:,\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?)"),
-    ("us", "USD", 1.0, r"\$\s*(\d{1,3}(?:,\d{3})*(?:\.\d+)?)"),
-    ("european", "EUR", 1.0, r"€\s*(\d{1,3}(?:\.\d{3})*(?:,\d+)?)"),
-    ("uk", "GBP", 1.0, r"£\s*(\d{1,3}(?:,\d{3})*(?:\.\d+)?)"),
-    ("code-suffix", None, 1.0, r"(?i)\b(\d[\d,.]*)\s+(USD|INR|EUR|GBP)\b"),
-    ("plain-keyword", "INR", 1.0,
-     r"(?i)\b(?:amount|balance|total|revenue|expense|cost|invoice|payment|over|under|above|below|exceeds|greater|less|"
-     r"baaki|raashi)\s+(?:of\s+)?(\d{1,3}(?:,\d{3})+|\d{4,})(?:\.\d+)?\b"),
-    ("plain-keyword", "INR", 1.0, r"(?i)\b(\d{1,3}(?:,\d{3})+|\d{4,})(?:\.\d+)?\s+(?:amount|balance|total|rupees?)\b"),
-]
-
-
-def _float(c: Column) -> Column:
-    """The number a text starts with."""
-    return F.regexp_extract(F.regexp_replace(c, ",", ""), r"^\d+(?:\.\d+)?", 0).try_cast("double")
-
-
-def _amounts_of(text: Column, i: int) -> Column:
-    fmt, currency, factor, pattern = AMOUNTS[i]
-    two = fmt in ("us-abbr", "code-suffix")
-
-    def row(s: Column) -> Column:
-        plain = fmt == "plain-keyword"
-        number = F.regexp_replace(F.regexp_replace(s["m1"], r"\.", ""), ",", ".") if fmt == "european" else s["m1"]
-        value = _float(number)
-        code = F.lit(currency)
-        label = F.lit(fmt)
-        if fmt == "us-abbr":
-            unit = F.upper(s["m2"])
-            value = value * F.when(unit == "B", 1e9).when(unit == "M", 1e6).otherwise(1e3)
-            label = F.concat(F.lit("us-"), unit, F.lit("-abbr"))
-        elif fmt == "code-suffix":
-            code = F.upper(s["m2"])
-        else:
-            value = value * F.lit(factor)
-        # keyword forms report the number only, but block their whole match
-        at = s["start"]
-        if plain and i == 10:
-            # the last place of the number within the match
-            back = F.instr(F.reverse(s["m0"]), F.reverse(s["m1"])) - 1
-            at = s["stop"] - back - F.length(s["m1"])
-        return F.struct(s["start"].alias("start"), s["stop"].alias("stop"), at.cast("int").alias("at"),
-                        (s["m1"] if plain else s["m0"]).alias("original"), value.alias("value"),
-                        code.alias("currency"), label.alias("format"))
-
-    return F.transform(spans(text, ascii_edges(pattern), 2 if two else 1), row)
-
 
 def with_amounts(df: DataFrame, text: str, out: str = "amounts") -> DataFrame:
-    """Add the detected amounts of each text in reading order.
-
-    Every pattern reads the whole original text; a match that touches one of
-    an earlier pattern is dropped whole.
-    """
-    df = df.withColumn(out, _amounts_of(F.col(text), 0))
-    for i in range(1, len(AMOUNTS)):
-        # a step at a time keeps each array computed once
-        df = df.withColumn("_next", _amounts_of(F.col(text), i))
-        df = df.withColumn(out, F.concat(out, F.filter("_next", lambda s: ~F.exists(F.col(out), lambda u: overlaps(u, s)))))
-    return df.withColumn(out, F.array_sort(out)).drop("_next")
+    """Add the detected amounts of each text in reading order (an Arrow-batched helper finds them)."""
+    return df.withColumn(out, find_amounts(F.col(text)))
 
 
 def detect_amounts(df: DataFrame, key: str, text: str) -> DataFrame:
     return with_amounts(df.select(key, text), text).select(key, F.explode("amounts").alias("a")).select(
-        key, F.col("a.at").alias("position"), F.col("a.original").alias("original_text"),
+        key, F.col("a.position").alias("position"), F.col("a.original").alias("original_text"),
         F.col("a.value").alias("numeric_value"), F.col("a.currency").alias("currency"), F.col("a.format").alias("format"))
 
 
 # --- accounts ----------------------------------------------------------------------
 
-# fixed value: 4-digit codes, segmented codes, AC- / GL- prefixes
-ACCOUNT = r"\b(?:(?:AC|GL)-)?(\d{4})(?:[-.](\d{2,3})(?:[-.](\d{2,3}))?)?\b"
-
-
 def detect_accounts(text: Column, pattern: str | None = None) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern or ascii_edges(ACCOUNT)), F.lit(0))
 
 
 # --- entities ----------------------------------------------------------------------
 
-# fixed values: accounting words never taken for a name
-NOT_NAMES = """
-AP AR GL PL BS Revenue Expense Expenses Balance Trial Journal Ledger Ledgers Voucher Vouchers Invoice Invoices Receipt
-Receipts Account Accounts Transaction Transactions Entry Entries Record Records Report Reports OPEX CAPEX EBITDA COGS
-PnL P&L Budget Forecast Variance Variances Accrual Accruals Prepaid Depreciation Amortisation Amortization Cash Bank
-Payable Receivable Inventory Assets Liabilities Equity Capital Debit Debits Credit Credits Show Get Find List Display
-Calculate Total Sum Count Average Group India March April June July August September October November December January
-February Monday Tuesday Wednesday Thursday Friday Q1 Q2 Q3 Q4 FY YTD MTD QTD
-""".lower().split()
-# fixed values: phrases that introduce a name
-LABELLED = r"(?im)\b{word}\s*:\s*([A-Z][A-Za-z0-9\s&.,'-]{{2,50}}?)(?=[,;.\n]|$)"
-LINKED = r"(?im)\b{word}\s+([A-Z][A-Za-z0-9\s&.'-]{{2,40}}?)(?=\s+(?:{stops})|[,;.\n]|$)"
-CONTEXT = [
-    ("VENDOR", LABELLED.format(word="vendor")), ("VENDOR", LABELLED.format(word="supplier")),
-    ("CUSTOMER", LABELLED.format(word="customer")), ("CUSTOMER", LABELLED.format(word="client")),
-    ("EMPLOYEE", LABELLED.format(word="employee")), ("ENTITY", LABELLED.format(word="company")),
-    ("ENTITY", LINKED.format(word="from", stops="for|to|and|or|in|at|on|with|by")),
-    ("ENTITY", LINKED.format(word="to", stops="for|from|and|or|in|at|on|with|by")),
-    ("ENTITY", LINKED.format(word="for", stops="from|to|and|or|in|at|on|with|by")),
-]
 GRAM, FUZZY_MIN, MAX_EDITS = 3, 5, 2
 ENTITY = ["value", "category", "confidence", "method", "start"]
 
 
-def _grams(c: Column, n: int) -> Column:
-    last = F.length(c) - n + 1
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(n)))))
-
-
 def dictionary_exact(texts: DataFrame, terms: DataFrame, keys: list[str], key: str, text: str) -> DataFrame:
     """Terms found anywhere in a text, case-insensitively.
 
@@ -175,18 +82,14 @@ def dictionary_exact(texts: DataFrame, terms: DataFrame, keys: list[str], key: s
     ``terms``: (keys..., term, category).
     """
     t = terms.filter(F.trim("term") != "").select(*keys, "term", "category").distinct().withColumn("low", F.lower("term"))
-    size = F.least(F.length("low"), F.lit(GRAM))
-    pieces = t.withColumn("gram", F.explode(F.transform(
+    size = F.when(F.length("low") >= GRAM, F.lit(GRAM)).otherwise(F.lit(1))
+    cut = t.withColumn("gram", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("low") - size + 1), lambda i: F.substring("low", i, size))))
-    counts = pieces.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
-    anchor = pieces.join(counts, [*keys, "gram"]).groupBy(*keys, "term", "category", "low").agg(
+    counts = cut.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("n"))
+    anchor = cut.join(counts, [*keys, "gram"]).groupBy(*keys, "term", "category", "low").agg(
         F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    low = F.lower(F.col(text))
-    all_grams = F.array_union(F.coalesce(_grams(low, 3), F.array().cast("array<string>")), F.array_union(
-        F.coalesce(_grams(low, 2), F.array().cast("array<string>")),
-        F.coalesce(_grams(low, 1), F.array().cast("array<string>"))))
     # only the keys and pieces travel; the text itself joins back for the few candidates
-    cand = texts.select(*keys, key, F.explode(all_grams).alias("gram")).join(anchor, [*keys, "gram"]).select(
+    cand = texts.select(*keys, key, F.explode(pieces(F.lower(F.col(text)))).alias("gram")).join(anchor, [*keys, "gram"]).select(
         *keys, key, "term", "category", "low")
     hit = cand.join(texts.select(*keys, key, text), [*keys, key]).withColumn("start", F.instr(F.lower(F.col(text)), F.col("low")) - 1)
     return hit.filter("start >= 0").select(*keys, key, "term", F.col("term").alias("value"), "category",
@@ -205,15 +108,11 @@ def dictionary_fuzzy(texts: DataFrame, terms: DataFrame, exact: DataFrame, keys:
     seg = lambda n, i: F.floor(n * i / 3).cast("int")  # noqa: E731 - segment i of a term of length n starts here
     cut = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring(
         "low", seg(F.col("len"), i) + 1, seg(F.col("len"), i + 1) - seg(F.col("len"), i)).alias("piece")) for i in range(3)]))
-    pieces = t.withColumn("s", cut).select(*keys, "term", "category", "low", "words", "len", "s.i", "s.piece")
+    segments = t.withColumn("s", cut).select(*keys, "term", "category", "low", "words", "len", "s.i", "s.piece")
     lens = t.select(*keys, "words", "len").distinct()
     sizes = t.select(*keys, "words").distinct()
-    tokens = F.regexp_extract_all(F.col(text), F.lit(r"\S+"), F.lit(0))
-    base = texts.select(*keys, key, tokens.alias("tokens")).join(sizes, keys)
-    wins = base.filter(F.size("tokens") >= F.col("words")).select(
-        *keys, key, "words", F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.size("tokens") - F.col("words")),
-            lambda i: F.array_join(F.slice("tokens", i + 1, F.col("words")), " "))).alias("at", "window"))
+    wins = texts.select(*keys, key, text).join(sizes, keys).select(
+        *keys, key, "words", F.posexplode(windows(F.col(text), F.col("words"))).alias("at", "window"))
     wins = wins.withColumn("len", F.explode(F.sequence(F.length("window") - MAX_EDITS, F.length("window") + MAX_EDITS)))
     wins = wins.join(lens, [*keys, "words", "len"])
     low = F.lower("window")
@@ -222,7 +121,7 @@ def dictionary_fuzzy(texts: DataFrame, terms: DataFrame, exact: DataFrame, keys:
         for i in range(3) for d in range(-MAX_EDITS, MAX_EDITS + 1)]
     probes = wins.withColumn("s", F.explode(F.array_distinct(F.array(*tries)))).select(
         *keys, key, "words", "len", "at", "window", "s.i", "s.piece")
-    near = probes.join(pieces, [*keys, "words", "len", "i", "piece"])
+    near = probes.join(segments, [*keys, "words", "len", "i", "piece"])
     near = near.filter(F.levenshtein("low", F.lower("window")).between(1, MAX_EDITS))
     near = near.join(exact.select(*keys, key, "term"), [*keys, key, "term"], "left_anti")
     first = near.groupBy(*keys, key, "term", "category").agg(F.min_by("window", "at").alias("value"))
@@ -232,25 +131,6 @@ def dictionary_fuzzy(texts: DataFrame, terms: DataFrame, exact: DataFrame, keys:
                                            F.lit("dictionary").alias("method"), "start")
 
 
-def context_entities(df: DataFrame, text: str, found: str, out: str = "context") -> DataFrame:
-    """Names introduced by a phrase and not covered by ``found`` (or an earlier phrase's equal value)."""
-    hits = []
-    for category, pattern in CONTEXT:
-        hits.append(F.transform(spans(F.col(text), ascii_edges(pattern)), lambda s, c=category: F.struct(
-            F.trim(F.regexp_replace(s["m1"], r"^\s+|\s+$", "")).alias("value"), F.lit(c).alias("category"),
-            F.lit(0.5).alias("confidence"), F.lit("context").alias("method"),
-            (s["start"] + F.instr(s["m0"], F.trim(F.regexp_replace(s["m1"], r"^\s+|\s+$", ""))) - 1).cast("int").alias("start"))))
-    df = df.withColumn(out, F.concat(*hits))
-
-    def fits(e: Column) -> Column:
-        span = F.struct(e["start"].alias("start"), (e["start"] + F.length(e["value"])).alias("stop"))
-        taken = F.exists(F.col(found), lambda f: (F.lower(f["value"]) == F.lower(e["value"])) | overlaps(
-            F.struct(f["start"].alias("start"), (f["start"] + F.length(f["value"])).alias("stop")), span))
-        return (F.length(e["value"]) >= 2) & e["value"].rlike("^[A-Z]") & ~F.lower(e["value"]).isin(NOT_NAMES) & ~taken
-
-    return df.withColumn(out, F.filter(out, fits))
-
-
 def with_entities(texts: DataFrame, terms: DataFrame, keys: list[str], key: str, text: str) -> DataFrame:
     """Add ``entities``: dictionary and context names, best confidence per value, in reading order."""
     exact = dictionary_exact(texts, terms, keys, key, text)
@@ -261,16 +141,7 @@ def with_entities(texts: DataFrame, terms: DataFrame, keys: list[str], key: str,
     df = texts.join(found, [*keys, key], "left")
     kind = "array<struct<value:string,category:string,confidence:double,method:string,start:int>>"
     df = df.withColumn("found", F.coalesce("found", F.array().cast(kind)).cast(kind))
-    df = context_entities(df, text, "found")
-    rank = F.transform(F.concat("found", F.col("context").cast(kind)), lambda e: F.struct(
-        (-e["confidence"]).alias("neg"), e["start"].alias("start"), e["value"].alias("value"),
-        e["category"].alias("category"), e["method"].alias("method")))
-    df = df.withColumn("_r", F.array_sort(rank))
-    kept = F.filter("_r", lambda e, i: ~F.exists(F.slice("_r", F.lit(1), i), lambda p: F.lower(p["value"]) == F.lower(e["value"])))
-    out = F.array_sort(F.transform(kept, lambda e: F.struct(
-        e["start"].alias("start"), e["value"].alias("value"), e["category"].alias("category"),
-        (-e["neg"]).alias("confidence"), e["method"].alias("method"))))
-    return df.withColumn("entities", out).drop("found", "context", "_r")
+    return df.withColumn("entities", merge_names(F.col(text), F.col("found"))).drop("found")
 
 
 def detect_entities(texts: DataFrame, terms: DataFrame, keys: list[str], key: str, text: str) -> DataFrame:
@@ -283,26 +154,6 @@ def detect_entities(texts: DataFrame, terms: DataFrame, keys: list[str], key: st
 TOKEN_MAP = "array<struct<token:string,original:string>>"
 
 
-def _numbered(values: Column) -> Column:
-    """(category, value) structs to tokens: CATEGORY_T001 counting within the category, in list order."""
-    def token(e: Column, i: Column) -> Column:
-        n = F.size(F.filter(F.slice(values, F.lit(1), i + 1), lambda p: p["category"] == e["category"]))
-        return F.struct(F.concat(e["category"], F.lit("_T"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))
-                        .alias("token"), e["value"].alias("original"))
-    return F.transform(values, token)
-
-
-def _longest_first(values: Column) -> Column:
-    order = F.array_sort(F.transform(values, lambda e, i: F.struct(
-        (-F.length(e["value"])).alias("neg"), i.alias("i"), e["value"].alias("value"), e["category"].alias("category"))))
-    return F.transform(order, lambda e: F.struct(e["category"].alias("category"), e["value"].alias("value")))
-
-
-def _swap(text: Column, tokens: Column, back: bool = False) -> Column:
-    src, dst = ("token", "original") if back else ("original", "token")
-    return F.aggregate(tokens, text, lambda acc, t: F.replace(acc, t[src], t[dst]))
-
-
 def tokenise_text(texts: DataFrame, terms: DataFrame, keys: list[str], key: str, text: str,
                   custom_entities: list[str] | None = None, custom_strip: list[str] | None = None) -> DataFrame:
     """PII out, then entities, amounts, account codes and custom names become tokens.
@@ -312,22 +163,9 @@ def tokenise_text(texts: DataFrame, terms: DataFrame, keys: list[str], key: str,
     clean = texts.select(*keys, key, strip_pii(F.col(text)).alias("clean"),
                          pii_total(F.col(text)).alias("pii_stripped"))
     df = with_entities(clean, terms, keys, key, "clean")
-    df = df.withColumn("_e", _longest_first(F.transform("entities", lambda e: F.struct(
-        e["category"].alias("category"), e["value"].alias("value")))))
-    df = df.withColumn("_et", _numbered(F.col("_e"))).withColumn("_w", _swap(F.col("clean"), F.col("_et")))
-    df = with_amounts(df, "_w", "_a")
-    uniq = F.array_distinct(F.transform("_a", lambda a: F.struct(F.lit("AMOUNT").alias("category"), a["original"].alias("value"))))
-    fresh = F.filter(uniq, lambda a: ~F.exists("_et", lambda t: t["original"] == a["value"]))
-    df = df.withColumn("_at", _numbered(_longest_first(fresh))).withColumn("_w", _swap(F.col("_w"), F.col("_at")))
-    # account codes are numbered from the end of the text, each place replaced on its own
-    df = df.withColumn("_codes", detect_accounts(F.col("_w"))).withColumn("_gaps", F.split("_w", ascii_edges(ACCOUNT), -1))
-    df = df.withColumn("_ct", _numbered(F.transform(
-        F.array_distinct(F.reverse("_codes")), lambda c: F.struct(F.lit("ACCT").alias("category"), c.alias("value")))))
-    named = F.transform("_codes", lambda c: F.get(F.filter("_ct", lambda t: t["original"] == c), 0)["token"])
-    df = df.withColumn("_named", named)
-    joined = F.array_join(F.transform("_gaps", lambda g, i: F.concat(g, F.coalesce(F.get("_named", i), F.lit("")))), "")
-    df = df.withColumn("_w", joined)
-    entity_count = F.size(F.filter("_et", lambda t: t["token"].startswith("ENTITY_")))
+    df = df.withColumn("_t", put_tokens(F.col("clean"), F.col("entities")))
+    df = df.withColumn("_w", F.col("_t.text")).withColumn("_map", F.col("_t.map"))
+    entity_count = F.size(F.filter("_map", lambda t: t["token"].startswith("ENTITY_")))
     extra = F.array().cast(TOKEN_MAP)
     for n, name in enumerate([c.strip() for c in custom_entities or [] if c.strip()]):
         token = F.concat(F.lit("ENTITY_T"), F.lpad((entity_count + n + 1).cast("string"), 3, "0"))
@@ -335,15 +173,14 @@ def tokenise_text(texts: DataFrame, terms: DataFrame, keys: list[str], key: str,
         extra = F.concat(extra, F.array(F.struct(token.alias("token"), F.lit(name).alias("original"))))
     for term in [c.strip() for c in custom_strip or [] if c.strip()]:
         df = df.withColumn("_w", F.replace(F.col("_w"), F.lit(term), F.lit("")))
-    return df.select(*keys, key, F.col("_w").alias("tokenised"), F.concat("_et", "_at", "_ct", extra).alias("token_map"), "pii_stripped")
+    return df.select(*keys, key, F.col("_w").alias("tokenised"), F.concat("_map", extra).alias("token_map"), "pii_stripped")
 
 
 def detokenise_text(df: DataFrame, text: str, token_map: str, out: str) -> DataFrame:
     """Put the originals back, longest token first (T001 must not match inside T0010)."""
     order = F.array_sort(F.transform(token_map, lambda t: F.struct(
         (-F.length(t["token"])).alias("neg"), t["token"].alias("token"), t["original"].alias("original"))))
-    df = df.withColumn("_order", order)
-    return df.withColumn(out, _swap(F.col(text), F.col("_order"), back=True)).drop("_order")
+    return df.withColumn(out, F.aggregate(order, F.col(text), lambda acc, t: F.replace(acc, t["token"], t["original"])))
 
 
 def corpus_tokens(entities: DataFrame, keys: list[str]) -> DataFrame:
