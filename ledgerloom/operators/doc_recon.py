@@ -37,13 +37,13 @@ def _money(c: Column) -> Column:
     return F.round(c, 2).cast("double")
 
 
-def _gaps(df: DataFrame, code: str, severity: Column, party: Column, reference: Column,
+def _gaps(df: DataFrame, code: str | Column, severity: Column, party: Column, reference: Column,
           gl: Column, doc: Column, variance: Column) -> DataFrame:
     none = F.lit(None)
     cols = [party, reference, gl, doc, variance]
     party, reference, gl, doc, variance = [none if c is None else c for c in cols]
     return df.select(
-        L, F.lit(code).alias("code"), severity.alias("severity"), party.cast("string").alias("party"),
+        L, (F.lit(code) if isinstance(code, str) else code).alias("code"), severity.alias("severity"), party.cast("string").alias("party"),
         reference.cast("string").alias("reference"), _money(gl.cast("decimal(38,4)")).alias("gl_amount"),
         _money(doc.cast("decimal(38,4)")).alias("doc_amount"),
         _money(variance.cast("decimal(38,4)")).alias("variance"))
@@ -95,11 +95,13 @@ def gl_26q_gaps(gl: DataFrame, form: DataFrame) -> DataFrame:
                 .groupBy(L, F.col("left_name").alias("name")).agg(F.sum("amount").alias("gl_amount")))
     matched = d.join(per_name, [L, "name"], "left")
     pan = F.when(F.col("pan") != "", F.col("pan"))
-    missing = _gaps(matched.filter(F.col("gl_amount").isNull()), "GL26Q-002", F.lit("review"), F.col("name"), pan,
-                    None, F.col("deducted"), F.col("deducted"))
-    v = F.abs(F.col("gl_amount") - F.col("deducted"))
-    differs = _gaps(matched.filter(v > TOLERANCE_26Q), "GL26Q-003", F.when(v > 5000, "critical").otherwise("review"),
-                    F.col("name"), pan, F.col("gl_amount"), F.col("deducted"), v)
+    # one branch for both: no ledger counterpart, or one that differs
+    v = F.coalesce(F.abs(F.col("gl_amount") - F.col("deducted")), F.col("deducted"))
+    absent = F.col("gl_amount").isNull()
+    per_party = _gaps(
+        matched.filter(absent | (v > TOLERANCE_26Q)), F.when(absent, "GL26Q-002").otherwise("GL26Q-003"),
+        F.when(~absent & (v > 5000), "critical").otherwise("review"), F.col("name"), pan, F.col("gl_amount"),
+        F.col("deducted"), v)
     seen = pairs.select(L, F.col("right_name").alias("party")).distinct()
     stray = rows.withColumn("party", _gl_party()).filter("party <> ''").join(seen, [L, "party"], "left_anti")
     unmatched = _gaps(stray, "GL26Q-004", F.lit("info"), F.col("party"), F.col("reference_number"),
@@ -108,7 +110,7 @@ def gl_26q_gaps(gl: DataFrame, form: DataFrame) -> DataFrame:
     gap = F.col("gap")
     undeposited = _gaps(dep.filter(gap > TOLERANCE_26Q), "GL26Q-005", F.when(gap > 5000, "critical").otherwise("review"),
                         None, None, None, gap, gap)
-    return (overall.unionByName(missing).unionByName(differs).unionByName(unmatched).unionByName(undeposited))
+    return overall.unionByName(per_party).unionByName(unmatched).unionByName(undeposited)
 
 
 # --- ledger against GSTR-1 -----------------------------------------------------------

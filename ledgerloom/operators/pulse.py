@@ -20,13 +20,15 @@ TDS_LIMIT, TDS_RATE = 30000, "0.02"
 
 def pulse_snapshot(gl: DataFrame) -> DataFrame:
     """Cash and bank, receivables, payables (absolute); NULL where the ledger has no such account."""
-    net, name = DR() - CR(), low("account_name")
+    name = low("account_name")
 
     def side(pattern: str) -> list[Column]:
         hit = name.rlike(pattern)
-        return [total_if(hit, net), F.max(hit)]
+        return [total_if(hit, F.col("net")), F.max(hit)]
 
-    agg = gl.groupBy(L).agg(*[c.alias(f"{n}{i}") for n, p in (("c", CASH_BANK), ("r", RECEIVABLE), ("p", PAYABLE))
+    # names are matched once per account, not once per posting
+    accounts = gl.groupBy(L, "account_name").agg(F.sum(DR() - CR()).alias("net"))
+    agg = accounts.groupBy(L).agg(*[c.alias(f"{n}{i}") for n, p in (("c", CASH_BANK), ("r", RECEIVABLE), ("p", PAYABLE))
                               for i, c in enumerate(side(p))])
     out = lambda n, v: F.when(F.col(f"{n}1"), F.round(v, 2).cast("double"))
     return agg.select(L, out("c", F.col("c0")).alias("cash_and_bank"), out("r", F.col("r0")).alias("receivables"),

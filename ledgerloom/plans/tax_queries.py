@@ -9,6 +9,7 @@ from ..operators import doc_recon as D
 from ..operators import tax_docs as T
 from ..sources import trade_documents as docs
 from .check_queries import issue, plural
+from ..sources.staging import staged
 from .registry import cte, register
 from .report_queries import kw, r2
 
@@ -61,14 +62,23 @@ cte("g1", f"""SELECT ledger_id, row_key, invoice_no, day AS invoice_date, CAST(p
 G1 = ("g1",)
 
 
-def _form(d):
+def _parsed_form(d):
     return T.parse_26q(docs.form_26q_raw(d.spark, d.sf_dir))
 
 
-def _gstr1(d):
+def _parsed_gstr1(d):
     return T.parse_gstr1(docs.gstr1_raw(d.spark, d.sf_dir))
 
 
+def _form(d):
+    """The parsed return, stored once like the ledger."""
+    return staged(d.spark, "form_26q", d.sf_dir, lambda: _parsed_form(d))
+
+
+def _gstr1(d):
+    return staged(d.spark, "gstr1", d.sf_dir, lambda: _parsed_gstr1(d))
+
+
 def dbl(cols: list[str]) -> str:
     return ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
 
@@ -78,7 +88,7 @@ def sdbl(df, cols):
 
 
 F_NUM = ["gross_amount", "tds_deducted", "tds_deposited"]
-register("parse_26q", lambda d: sdbl(_form(d).drop("challan_amount", "date_of_deduction", "remarks", "nature_of_payment"), F_NUM),
+register("parse_26q", lambda d: sdbl(_parsed_form(d).drop("challan_amount", "date_of_deduction", "remarks", "nature_of_payment"), F_NUM),
          f"""SELECT ledger_id, row_key, deductee_name, deductee_pan, deductee_type, section, {dbl(F_NUM)}, bsr_code,
          challan_date, challan_serial_no, date_of_payment, certificate_no FROM form""", uses=FORM)
 register("summary_26q", lambda d: T.summary_26q(_form(d)),
@@ -147,7 +157,7 @@ register("agg_first_by", lambda d: sdbl(T.deposit_gaps(_form(d)), ["deducted", "
            COUNT(*) AS n FROM form GROUP BY 1, 2, 3, 4) WHERE b > 0 AND ABS(a - b) > 1""", uses=FORM)
 
 G_NUM = ["invoice_value", "taxable_value", "igst", "cgst", "sgst", "cess"]
-register("parse_gstr1", lambda d: sdbl(_gstr1(d), G_NUM),
+register("parse_gstr1", lambda d: sdbl(_parsed_gstr1(d), G_NUM),
          f"""SELECT ledger_id, row_key, invoice_no, invoice_date, receiver_gstin, receiver_name, place_of_supply,
          {dbl(G_NUM)}, supply_type, hsn_code, reverse_charge FROM g1""", uses=G1)
 POS = "substr(trim(place_of_supply), 1, 2)"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .staging import spread
 from .trade_ledger import AS_OF, read
 
 # fixed values: the first pattern keys of every ledger, by slot
@@ -60,7 +61,7 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every free text there is: documents, conversation turns, and one ledger remark per customer."""
-    docs = read(spark, sf_dir, "documents").select(
+    docs = spread(read(spark, sf_dir, "documents")).select(
         (F.col("doc_id") % 25).cast("int").alias("ledger_id"), F.concat(F.lit("D"), "doc_id").alias("note_id"), "text")
     talk = read(spark, sf_dir, "conversations").select(
         (F.col("conv_id") % 25).cast("int").alias("ledger_id"),

@@ -15,6 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input at least one partition per core.
+
+    A file of one row group cannot be split; where that leaves cores idle the
+    rows are dealt out once.  An input with enough splits is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _BUILT: dict[tuple[str, str, str], str] = {}
 
 

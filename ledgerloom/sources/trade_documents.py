@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .schema import MONEY
+from .staging import spread
 from .trade_ledger import read
 
 # fixed values: TDS section by l_linenumber 1..7 with (company rate, individual rate)
@@ -41,7 +42,7 @@ def form_26q_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
            .otherwise(F.concat(F.lit("abcde"), _pad(s % 10000, 4), F.lit("F"))))
     name = (F.when(s % 4 == 1, F.concat("s_name", F.lit(" Pvt. Ltd")))
             .when(s % 4 == 2, F.concat("s_name", F.lit(" Traders"))).otherwise(F.col("s_name")))
-    return line.join(sup, line.l_suppkey == sup.s_suppkey).select(
+    return spread(line).join(sup, F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.col("s_nationkey").alias("ledger_id"),
         F.concat_ws("-", k, n, "l_partkey", s).alias("row_key"),
         name.alias("Name of Deductee"), pan.alias("PAN"),
@@ -65,7 +66,7 @@ def gstr1_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, c, nation = F.col("k"), F.col("c_custkey"), F.col("c_nationkey")
     copies = (F.when(k % 59 == 0, F.array(F.lit(1), F.lit(2))).when(k % 67 == 9, F.array(F.lit(1), F.lit(3)))
               .otherwise(F.array(F.lit(1))))
-    rows = orders.join(cust, orders.o_custkey == cust.c_custkey).withColumn("copy", F.explode(copies))
+    rows = spread(orders).join(cust, F.col("o_custkey") == F.col("c_custkey")).withColumn("copy", F.explode(copies))
     tax = F.round(F.col("price") * F.lit("0.09").cast("decimal(4,2)"), 2).cast("decimal(20,2)")
     tax = F.when(k % 89 == 1, F.round(tax * F.lit("1.07").cast("decimal(4,2)"), 2).cast("decimal(20,2)")).otherwise(tax)
     rows = rows.withColumn("tax", tax)

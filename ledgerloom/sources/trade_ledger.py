@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .schema import MONEY, conform
+from .staging import spread
 
 # fixed values: reporting dates used with the derived ledger
 AS_OF = "2001-08-02"
@@ -77,7 +78,7 @@ def sales_side(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.array().cast("array<int>")),
     )
     legs = (
-        orders.join(customer, orders.o_custkey == customer.c_custkey)
+        spread(orders).join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .withColumn("leg", F.explode(codes))
         .withColumn("kind", F.floor(F.col("leg") / 100).cast("int"))
         .withColumn("pos", F.col("leg") % 100)
@@ -164,8 +165,8 @@ def purchase_side(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") >= 6, F.array(F.lit(301), F.lit(302))).otherwise(none),
     )
     legs = (
-        line.join(supplier, line.l_suppkey == supplier.s_suppkey)
-        .join(part, line.l_partkey == part.p_partkey)
+        spread(line).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .withColumn("leg", F.explode(codes))
         .withColumn("kind", F.floor(F.col("leg") / 100).cast("int"))
         .withColumn("pos", F.col("leg") % 100)
