@@ -18,12 +18,14 @@ def low(c: str | Column) -> Column:
 
 
 def keyword_any(columns: Sequence[str | Column], keywords: Iterable[str]) -> Column:
-    """True when any column holds any keyword; ``%`` inside a keyword is a gap."""
-    pattern = "|".join(".*".join(re.escape(p) for p in k.split("%")) for k in keywords)
-    hit = F.lit(False)
-    for c in columns:
-        hit = hit | low(c).rlike(f"(?s)(?:{pattern})")
-    return hit
+    """True when any column holds any keyword; ``%`` inside a keyword is a gap.
+
+    One pattern runs once over the columns joined by a separator no keyword
+    (and no gap) can cross.
+    """
+    pattern = "|".join(r"[^\x01]*".join(re.escape(p) for p in k.split("%")) for k in keywords)
+    text = low(columns[0]) if len(columns) == 1 else F.lower(F.concat_ws("\x01", *[as_col(c) for c in columns]))
+    return text.rlike(f"(?:{pattern})")
 
 
 def num(c: str | Column) -> Column:

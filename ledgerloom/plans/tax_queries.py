@@ -87,6 +87,15 @@ def sdbl(df, cols):
     return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def _tds(d):
+    """The TDS slice of the ledger, stored once: five gap rules read it instead of the whole ledger."""
+    return staged(d.spark, "tds_rows", d.sf_dir, lambda: D.filter_tds_rows(d.gl))
+
+
+def _sales(d):
+    return staged(d.spark, "sales_rows", d.sf_dir, lambda: D.filter_sales_rows(d.gl))
+
+
 F_NUM = ["gross_amount", "tds_deducted", "tds_deposited"]
 register("parse_26q", lambda d: sdbl(_parsed_form(d).drop("challan_amount", "date_of_deduction", "remarks", "nature_of_payment"), F_NUM),
          f"""SELECT ledger_id, row_key, deductee_name, deductee_pan, deductee_type, section, {dbl(F_NUM)}, bsr_code,
@@ -302,9 +311,9 @@ GAP26 = {
 }
 USES26 = ("per_name",)
 for _n, _sql in GAP26.items():
-    register(_n, lambda d, c=_n.upper().replace("_", "-"): D.gl_26q_gaps(d.gl, _form(d)).filter(F.col("code") == c),
+    register(_n, lambda d, c=_n.upper().replace("_", "-"): D.gl_26q_gaps(_tds(d), _form(d)).filter(F.col("code") == c),
              _sql, uses=USES26)
-register("fuzzy_party_join", lambda d: D.party_matches(d.gl, _form(d)), "SELECT * FROM pairs", uses=("pairs",))
+register("fuzzy_party_join", lambda d: D.party_matches(_tds(d), _form(d)), "SELECT * FROM pairs", uses=("pairs",))
 register("name_similarity",
          lambda d: d.gl.filter("party_name IS NOT NULL").select("ledger_id", "party_name", "description").distinct()
          .withColumn("similarity", N.name_similarity(F.col("party_name"), F.col("description"))),
@@ -335,8 +344,8 @@ GAPG1 = {
 }
 USESG1 = ("sales_gl", "inv")
 for _n, _sql in GAPG1.items():
-    register(_n, lambda d, c="G1GL-" + _n[-3:]: D.gl_gstr1_gaps(d.gl, _gstr1(d)).filter(F.col("code") == c), _sql, uses=USESG1)
-register("invoice_anti_both", lambda d: D.invoice_anti_both(d.gl, _gstr1(d)),
+    register(_n, lambda d, c="G1GL-" + _n[-3:]: D.gl_gstr1_gaps(_sales(d), _gstr1(d)).filter(F.col("code") == c), _sql, uses=USESG1)
+register("invoice_anti_both", lambda d: D.invoice_anti_both(_sales(d), _gstr1(d)),
          GAPG1["gl_gstr1_002"] + "\nUNION ALL " + GAPG1["gl_gstr1_003"], uses=USESG1)
 
 
@@ -351,8 +360,8 @@ def summary(totals: str, gaps: dict[str, str]) -> str:
     FROM t LEFT JOIN s USING (ledger_id)"""
 
 
-register("doc_recon_summary", lambda d: D.doc_recon_summary("26q", d.gl, _form(d)), summary(T26, GAP26), uses=USES26)
-register("doc_recon_summary_gstr1", lambda d: D.doc_recon_summary("gstr1", d.gl, _gstr1(d)), summary(TG1, GAPG1), uses=USESG1)
+register("doc_recon_summary", lambda d: D.doc_recon_summary("26q", _tds(d), _form(d)), summary(T26, GAP26), uses=USES26)
+register("doc_recon_summary_gstr1", lambda d: D.doc_recon_summary("gstr1", _sales(d), _gstr1(d)), summary(TG1, GAPG1), uses=USESG1)
 
 
 def _vendor(d):
