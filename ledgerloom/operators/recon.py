@@ -168,9 +168,13 @@ def bank_vouchers(gl: DataFrame, overrides: DataFrame | None = None) -> DataFram
 
 def recon_bank_internal(gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
     v = bank_vouchers(with_period(gl, start, end), overrides)
-    agg = v.groupBy(L).agg(
+    sums = v.groupBy(L).agg(
         F.sum("bank_net").alias("s"),
         total_if(F.col("reference_number").isNotNull() & F.col("touches_bank"), F.col("other_net")).alias("t"))
+    # a ledger with nothing in the period reconciles at zero
+    nil = F.lit(0).cast("decimal(38,4)")
+    agg = gl.groupBy(L).agg(F.count(F.lit(1)).alias("_n")).join(sums, L, "left").select(
+        L, F.coalesce("s", nil).alias("s"), F.coalesce("t", nil).alias("t"))
     r = _status(agg, "recon_bank_internal", F.col("s"), F.col("t"), 1)
     return agg.select(L, r.alias("r")).select(L, "r.*")
 
@@ -188,7 +192,8 @@ def recon_watch_account(gl: DataFrame, start: str, end: str, fragment: str) -> D
 def recon_watch_party(gl: DataFrame, start: str, end: str, fragment: str) -> DataFrame:
     hit = low("party_name").contains(fragment.lower())
     net = DR() - CR()
-    agg = with_period(gl, start, end).filter(_in_period()).groupBy(L).agg(
+    hit = hit & F.coalesce(_in_period(), F.lit(False))
+    agg = with_period(gl, start, end).groupBy(L).agg(
         total_if(hit, net).alias("s"), total_if(hit & F.col("reference_number").isNotNull(), net).alias("t"))
     return agg.select(L, _status(agg, "recon_watch_party", F.col("s"), F.col("t"), 1).alias("r")).select(L, "r.*")
 

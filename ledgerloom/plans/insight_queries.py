@@ -330,10 +330,10 @@ cte("ptds", """SELECT ledger_id, COALESCE(vendor_name, party_name, account_name)
   WHERE lower(voucher_type) IN ('payment', 'bank payment', 'cash payment') GROUP BY 1, 2
   HAVING SUM(ABS(net_amount)) >= 30000 AND NOT BOOL_OR(lower(account_name) LIKE '%tds%')""", uses=("gl",))
 cte("dead", f"""SELECT ledger_id, category, severity, due_date, CAST(due_date - {AS} AS INTEGER) AS days_left FROM
-  (SELECT DISTINCT ledger_id FROM gl) JOIN (VALUES ('tds_deadline', 'review', DATE '2001-08-07'),
+  (SELECT ledger_id, MAX(transaction_date) AS newest FROM gl GROUP BY 1) JOIN (VALUES ('tds_deadline', 'review', DATE '2001-08-07'),
     ('itr_deadline', 'critical', DATE '2001-07-31')) v(category, severity, due_date)
   ON (category = 'tds_deadline' AND ledger_id % 7 <> 2) OR (category = 'itr_deadline' AND ledger_id % 3 = 0)
-  WHERE ledger_id % 11 <> 5""", uses=("gl",))
+  WHERE ledger_id % 11 <> 5 AND ({AS} - newest <= 90 OR newest IS NULL)""", uses=("gl",))
 register("pulse_snapshot", lambda d: P.pulse_snapshot(d.gl), "SELECT * FROM snap", uses=("snap",))
 TDS = """SELECT ledger_id, COUNT(*) AS vendors, CAST(ROUND(SUM(paid * 0.02), 2) AS DOUBLE) AS tds_estimate,
   'tds_calculator' AS category, 'review' AS severity FROM ptds GROUP BY 1"""

@@ -84,9 +84,8 @@ SQL["recon_watch_account"] = result(
     cond(f"{IN_P} AND {ACCT} LIKE '%{FRAGMENT}%' AND reference_number IS NOT NULL", NET), 1, "gl")
 PARTY = "supplier#000000001"
 SQL["recon_watch_party"] = result(
-    "recon_watch_party", (f"lower(coalesce(party_name, '')) LIKE '%{PARTY}%'", NET),
-    cond(f"lower(coalesce(party_name, '')) LIKE '%{PARTY}%' AND reference_number IS NOT NULL", NET), 1,
-    f"(SELECT * FROM gl WHERE {IN_P})")
+    "recon_watch_party", (f"{IN_P} AND lower(coalesce(party_name, '')) LIKE '%{PARTY}%'", NET),
+    cond(f"{IN_P} AND lower(coalesce(party_name, '')) LIKE '%{PARTY}%' AND reference_number IS NOT NULL", NET), 1, "gl")
 TYPED = ("buckets",)
 
 for _n in [*R.BY_NAME, "recon_bank_internal"]:
