@@ -88,6 +88,7 @@ def similar_questions(asked: DataFrame, log: DataFrame, as_of: str, k: int = 5)
     # The newest 200 rows of "all ledgers but mine" always lie among the newest 400 of the
     # per-ledger lists, because at most 200 of those 400 are mine.  So 400 rows serve every ledger.
     wide = own.orderBy(*newest).limit(2 * NEWEST)
+    # one window over these 400 rows, whatever the size of the log
     ranked = wide.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*newest)))
     mine = ranked.groupBy(L).agg(F.collect_list("pos").alias("own_pos"))
     rest = asked.join(enough, [L, "question_id"], "left_anti")

@@ -9,11 +9,11 @@ from ..operators import accounts as A
 from ..operators import checks as C
 from ..operators import flux as X
 from ..operators import schema_intel as S
+from ..operators.recon import bucket_rows
 from ..sources import uploads as U
 from ..sources.trade_ledger import PERIOD
-from .check_queries import BUCKET
 from .registry import cte, register
-from .report_queries import MTH, kw, r2, topk
+from .report_queries import MTH, kw, r2
 
 P0, P1 = f"DATE '{PERIOD[0]}'", f"DATE '{PERIOD[1]}'"
 
@@ -212,7 +212,6 @@ register("filter_excluded", lambda d: FC.not_excluded(d.gl_all).groupBy("ledger_
 
 
 def _filter_accounts(d):
-    from ..operators.recon import bucket_rows
     return bucket_rows(d.gl, d.overrides, "tax", ["gst"]).filter("own").select("ledger_id", "row_id")
 
 
