@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -33,16 +32,13 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, as the cluster names it.
+    """Folder for intermediate tables, as the cluster names it in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` wins; only where it is unset (tests, a laptop)
-    a folder of our own is created and used as the checkpoint directory.
+    Where that is unset (tests, a laptop) a folder below the session's
+    warehouse is used: also a place every executor of the session shares.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="ledgerloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not configured:
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+        spark.conf.set("spark.checkpoint.dir", configured)
+    return configured
