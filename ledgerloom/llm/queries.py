@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash_bytes
+from . import forced_bpe, mixing, simhash_bytes
 from .common import documents
 
+#: Tokenizer file of op7, read by every worker.
+BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 QUERIES = {}
 ORACLES = {}
 
@@ -21,3 +24,52 @@ def query(f):
 def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bytes.classes(documents(spark, sf_dir)).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_forced_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = documents(spark, sf_dir).select("doc_id", forced_bpe.encode("text", BPE_FILE).alias("ids"))
+    decoded = coded.withColumn("decoded", forced_bpe.decode("ids", BPE_FILE))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                          F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+ORACLES["op8_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(text, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+ranked AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap,
+    ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight
+  FROM sized GROUP BY source),
+level AS (
+  SELECT *, sum(source_size) OVER ()::BIGINT AS total,
+    coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS rest
+  FROM ranked),
+marked AS (SELECT *, cap * rest::DOUBLE < (total - before)::DOUBLE * weight AS capped FROM level),
+goal AS (
+  SELECT source, source_size, CASE WHEN capped THEN cap::DOUBLE ELSE
+      (total - sum(CASE WHEN capped THEN cap ELSE 0 END) OVER ())::DOUBLE * weight
+      / (sum(CASE WHEN capped THEN 0 ELSE weight END) OVER ())::DOUBLE END AS target
+  FROM marked),
+need AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
+    target - (CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END * source_size)::DOUBLE AS need
+  FROM goal),
+summed AS (
+  SELECT d.*, n.source_size, n.target, n.whole, n.need,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY h)::BIGINT AS upto,
+    sum(d.size) OVER (PARTITION BY d.source, h)::BIGINT AS here
+  FROM sized d JOIN need n ON d.source IS NOT DISTINCT FROM n.source)
+SELECT doc_id, size, source_size, target,
+  size * (whole + CASE WHEN need > 0 AND need - (upto - here) > 0 AND (upto <= need OR need - (upto - here) > here / 2) THEN 1 ELSE 0 END) AS taken
+FROM summed"""
