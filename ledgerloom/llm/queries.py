@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forced_bpe, mixing, simhash_bytes
+from . import chat_trees, forced_bpe, mixing, quality_llr, simhash_bytes
 from .common import documents
 
 #: Tokenizer file of op7, read by every worker.
@@ -20,6 +20,45 @@ def query(f):
     return f
 
 
+#: Conversation whose texts hold control strings.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query
+def op1_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    talks = chat_trees.formatted(chat_trees.paths(chat_trees.chain(turns.unionByName(probe))))
+    talks = talks.select("tree", "formatted", chat_trees.read_turns(F.col("formatted")).alias("turns"),
+                         chat_trees.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    spelt = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return talks.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(spelt, 256).alias("turns_sha256"),
+                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+ORACLES["op1_chat_trees"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  sum({len(chat_trees.TURN + chat_trees.TEXT + chat_trees.END)} + length({chat_trees.control_sql("role")})
+      + length({chat_trees.control_sql("text")}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+@query
+def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality_llr.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_llr.judge(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 @query
 def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bytes.classes(documents(spark, sf_dir)).select(
