@@ -65,15 +65,17 @@ def paths(messages: DataFrame, best: int | None = None) -> DataFrame:
     reach = cut(kept.select("tree_key", "message", "parent", "score").join(known, ["tree_key", "parent"], "left")
                 .select("tree_key", "message", F.when(F.col("known"), F.col("parent")).alias("up"), F.col("score").alias("sum"),
                         F.lit(1).cast("long").alias("n")), "reach")
-    hops, size = [], kept.count()
-    while not (open_ := reach.filter("up IS NOT NULL")).isEmpty() and 2 ** len(hops) < 2 * size:
+    open_, rooted, hops, size = reach.filter("up IS NOT NULL"), reach.filter("up IS NULL"), [], kept.count()
+    while not open_.isEmpty() and 2 ** len(hops) < 2 * size:  # only messages that have not reached a root go on
         hops.append(open_.select("tree_key", F.col("message").alias("at"), F.col("up").alias("to")))
-        above = reach.select("tree_key", F.col("message").alias("up"), F.col("up").alias("next"), F.col("sum").alias("s"), F.col("n").alias("m"))
-        reach = cut(reach.join(above, ["tree_key", "up"], "left").select(
-            "tree_key", "message", F.col("next").alias("up"), (F.col("sum") + F.coalesce("s", F.lit(0.0))).alias("sum"),
-            (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "reach")
+        above = open_.union(rooted).select("tree_key", F.col("message").alias("up"), F.col("up").alias("next"),
+                                           F.col("sum").alias("s"), F.col("n").alias("m"))
+        reach = cut(open_.join(above, ["tree_key", "up"]).select(
+            "tree_key", "message", F.col("next").alias("up"), (F.col("sum") + F.col("s")).alias("sum"),
+            (F.col("n") + F.col("m")).alias("n")), "reach")
+        open_, rooted = reach.filter("up IS NOT NULL"), rooted.union(reach.filter("up IS NULL"))
     parents = kept.select("tree_key", F.col("parent").alias("message")).filter("message IS NOT NULL").distinct()
-    leaves = reach.filter("up IS NULL").join(parents, ["tree_key", "message"], "left_anti")
+    leaves = rooted.join(parents, ["tree_key", "message"], "left_anti")
     ranked = leaves.withColumn("branch", F.row_number().over(
         Window.partitionBy("tree_key").orderBy((F.col("sum") / F.col("n")).desc(), "message")))
     if best is not None:
