@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +26,9 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Entries each worker remembers.
 REMEMBERED = 1 << 18
 SHORT = 48
+#: A merge is one number: its rank above the id it makes, so the least number is the first merge.
+ID_BITS = 32
+NO_MERGE = 1 << 80
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -52,7 +56,7 @@ class Tokenizer:
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             left, right = (bytes(alphabet[c] for c in x) for x in (left, right))
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            self.merges[ids[left], ids[right]] = rank << ID_BITS | ids[left + right]
         met = np.zeros((256, 256), dtype=bool)
         for token in ids:
             for a, b in zip(token, token[1:]):
@@ -75,21 +79,24 @@ class Tokenizer:
 
     def _piece(self, piece: str) -> bytes:
         parts = self.fragments(piece.encode("utf-8", "surrogatepass"))
-        return self.fragment(parts[0]) if len(parts) == 1 else b"".join(map(self.fragment, parts))
+        return self._fragment(parts[0]) if len(parts) == 1 else b"".join(map(self.fragment, parts))
 
     def _fragment(self, raw: bytes) -> bytes:
         symbols = [self.single[b] for b in raw]
-        symbols = self._scan(symbols) if len(symbols) <= SHORT else self._queue(symbols)
-        return np.array(symbols, dtype="<i4").tobytes()
+        return array("i", self._scan(symbols) if len(symbols) <= SHORT else self._queue(symbols)).tobytes()
 
     def _scan(self, s: list[int]) -> list[int]:
-        """Merge the best pair, leftmost first, until none is left."""
+        """Merge the first-ranked pair, leftmost first, until none is left."""
         get = self.merges.get
-        while len(s) > 1:
-            best = min(((m[0], i, m[1]) for i, m in enumerate(map(get, zip(s, s[1:]))) if m), default=None)
-            if best is None:
-                break
-            s[best[1]:best[1] + 2] = [best[2]]
+        found = [get(pair, NO_MERGE) for pair in zip(s, s[1:])]
+        while found and (best := min(found)) < NO_MERGE:
+            i = found.index(best)
+            s[i] = best & 0xFFFFFFFF
+            del s[i + 1], found[i]
+            if i:
+                found[i - 1] = get((s[i - 1], s[i]), NO_MERGE)
+            if i < len(found):
+                found[i] = get((s[i], s[i + 1]), NO_MERGE)
         return s
 
     def _queue(self, s: list[int]) -> list[int]:
@@ -100,16 +107,16 @@ class Tokenizer:
         def offer(i: int) -> None:
             j = after[i]
             if j < n and (m := self.merges.get((s[i], s[j]))):
-                heapq.heappush(heap, (m[0], i, m[1], s[i], s[j]))
+                heapq.heappush(heap, (m, i, s[i], s[j]))
 
         for i in range(n):
             offer(i)
         while heap:
-            _, i, new, left, right = heapq.heappop(heap)
+            best, i, left, right = heapq.heappop(heap)
             j = after[i]
             if s[i] != left or j >= n or s[j] != right:
                 continue
-            s[i], s[j], after[i] = new, -1, after[j]
+            s[i], s[j], after[i] = best & 0xFFFFFFFF, -1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             offer(i)
