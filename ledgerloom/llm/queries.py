@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, forced_bpe, mixing, quality_llr, simhash_bytes
+from . import chat_trees, forced_bpe, mixing, quality_llr, simhash_bytes, toxicity
 from .common import documents
 
 #: Tokenizer file of op7, read by every worker.
@@ -59,6 +59,14 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = docs.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), toxicity.score("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.TOXIC_AT).cast("int"))
+
+
 @query
 def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bytes.classes(documents(spark, sf_dir)).select(
