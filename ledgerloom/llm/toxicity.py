@@ -34,9 +34,10 @@ from pyspark.sql import types as T
 #: at most ``SAMPLE_CHARS`` characters.  Scoring has no such bounds.
 SAMPLE = {1: 1500, 0: 3000}
 SAMPLE_CHARS = 50_000
-#: Words of a window; least share of sample documents with a distinctive word, and how much more often than the other class.
+#: Words of a window; least share of sample documents with a distinctive word (the best of these on the calibration
+#: documents is taken), and how much more often than in the other class it must be.
 WORDS = 4
-SHARE = 0.012
+SHARES = (0.01, 0.02, 0.03, 0.05)
 TIMES = 20
 LOW, HIGH = -12, 30
 FILLER = bytes(range(128, 160))
@@ -96,15 +97,15 @@ def _one_of_each(texts: list[bytes]) -> list[bytes]:
     return out
 
 
-def _distinctive(own: list[bytes], other: list[bytes]) -> bytes:
+def _distinctive(own: list[bytes], other: list[bytes], share: float) -> bytes:
     mine, theirs = (Counter(w for t in texts for w in set(t.lower().split())) for texts in (own, other))
-    least = max(3, SHARE * len(own))
+    least = max(3, share * len(own))
     words = [w for w, n in mine.items() if n >= least and n / len(own) >= TIMES * (theirs[w] + 0.5) / (len(other) + 1)]
     return b" " + b" ".join(sorted(words, key=lambda w: (mine[w], w))) + b" " + FILLER
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic regression on one feature, by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Weighted logistic regression on one feature, by Newton steps with a small ridge: slope, offset, loss."""
     design, beta = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
@@ -114,15 +115,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
         beta += step
         if abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
+    margin = np.clip(design @ beta, -30, 30)
+    return float(beta[0]), float(beta[1]), float((weight * np.log1p(np.exp(np.where(y > 0, -margin, margin)))).sum())
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], toxic_share: float) -> Model | None:
-    """A model from sample texts; every second text makes the dictionaries, the others calibrate.  None without both classes."""
-    toxic, ordinary = _one_of_each(toxic), _one_of_each(ordinary)
-    if len(toxic) < 2 or len(ordinary) < 2:
-        return None
-    rude, plain = _distinctive(toxic[::2], ordinary[::2]), _distinctive(ordinary[::2], toxic[::2])
+def _calibrated(toxic: list[bytes], ordinary: list[bytes], toxic_share: float, share: float) -> tuple[float, Model]:
+    rude, plain = _distinctive(toxic[::2], ordinary[::2], share), _distinctive(ordinary[::2], toxic[::2], share)
     size = max(len(rude), len(plain))
     rude, plain = (b"\xff" * (size - len(x)) + x for x in (rude, plain))
     found = [[saved(t, plain, rude) for t in texts[1::2]] for texts in (toxic, ordinary)]
@@ -131,7 +129,16 @@ def train(toxic: list[bytes], ordinary: list[bytes], toxic_share: float) -> Mode
     x = [np.array([ratios[v].sum() / np.sqrt(max(1, len(v))) for v in f]) for f in found]
     y = np.concatenate([np.ones(len(x[0])), np.zeros(len(x[1]))])
     weight = np.concatenate([np.full(len(x[0]), toxic_share * len(y) / len(x[0])), np.full(len(x[1]), (1 - toxic_share) * len(y) / len(x[1]))])
-    return Model(plain, rude, tuple(map(float, ratios)), *_logistic(np.concatenate(x), y, weight))
+    slope, offset, loss = _logistic(np.concatenate(x), y, weight)
+    return loss, Model(plain, rude, tuple(map(float, ratios)), slope, offset)
+
+
+def train(toxic: list[bytes], ordinary: list[bytes], toxic_share: float) -> Model | None:
+    """A model from sample texts; every second text makes the dictionaries, the others calibrate.  None without both classes."""
+    toxic, ordinary = _one_of_each(toxic), _one_of_each(ordinary)
+    if len(toxic) < 2 or len(ordinary) < 2:
+        return None
+    return min((_calibrated(toxic, ordinary, toxic_share, share) for share in SHARES), key=lambda m: m[0])[1]
 
 
 def held_out(doc_id: str | Column) -> Column:
