@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, forced_bpe, mixing, quality_llr, simhash_bytes, toxicity
+from . import chat_trees, forced_bpe, mixing, quality_llr, simhash_bytes, suffix_dedup, toxicity
 from .common import documents
 
 #: Tokenizer file of op7, read by every worker.
@@ -67,6 +67,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.TOXIC_AT).cast("int"))
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bytes.classes(documents(spark, sf_dir)).select(
