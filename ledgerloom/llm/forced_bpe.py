@@ -1,34 +1,30 @@
 """Byte-level BPE with forced boundaries.
 
 Two bytes that are never neighbours inside any token of the vocabulary can never
-be merged across, so a cut between them is certain.  Every piece of the
-pre-tokenizer is cut there, the fragments are encoded on their own, and their
-ids are concatenated: the same ids as of the whole, from short fragments that
-repeat across texts and are remembered.
+be merged across, so a cut between them is certain.  Texts are cut at such pairs
+where the pre-tokenizer too must begin anew: before a blank or line end that
+follows a printable ASCII character, and between two ASCII letters.  Each
+fragment is encoded on its own and the ids are concatenated: the same ids as of
+the whole, from pieces of bounded size however long the text.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed value: the pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries each worker remembers.
-REMEMBERED = 1 << 18
-SHORT = 48
-#: A merge is one number: its rank above the id it makes, so the least number is the first merge.
-ID_BITS = 32
-NO_MERGE = 1 << 80
+#: A fragment ends at the first certain cut after so many bytes.
+FRAGMENT = 512
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -39,7 +35,7 @@ def _byte_of_char() -> dict[str, int]:
 
 
 class Tokenizer:
-    """A vocabulary file of a byte-level BPE: tokens, merges, special tokens, certain cuts."""
+    """A vocabulary file of a byte-level BPE whose token ids follow the order of merges: tokens, special tokens, cuts."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -47,89 +43,48 @@ class Tokenizer:
         alphabet, vocab = _byte_of_char(), spec["model"]["vocab"]
         ids = {bytes(alphabet[c] for c in token): i for token, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        made = [ids[bytes(alphabet[c] for x in (m.split(" ") if isinstance(m, str) else m) for c in x)] for m in spec["model"]["merges"]]
+        if made != sorted(made):
+            raise ValueError("token ids do not follow the order of merges")
         self.bytes_of = np.empty(max([*ids.values(), *self.special.values()]) + 1, dtype=object)
         self.bytes_of[:] = b""
         for token, i in [*ids.items(), *((s.encode(), i) for s, i in self.special.items())]:
             self.bytes_of[i] = token
-        self.single = [ids[bytes([b])] for b in range(256)]
-        self.merges = {}
-        for rank, pair in enumerate(spec["model"]["merges"]):
-            left, right = pair.split(" ") if isinstance(pair, str) else pair
-            left, right = (bytes(alphabet[c] for c in x) for x in (left, right))
-            self.merges[ids[left], ids[right]] = rank << ID_BITS | ids[left + right]
         met = np.zeros((256, 256), dtype=bool)
         for token in ids:
-            for a, b in zip(token, token[1:]):
-                met[a, b] = True
-        self.met = met.tolist()
-        self.pattern = regex.compile(PIECES)
+            pair = np.frombuffer(token, np.uint8)
+            met[pair[:-1], pair[1:]] = True
+        byte = np.arange(256)
+        printed, blank = (byte > 32) & (byte < 127), (byte == 32) | (byte == 10)
+        letter = ((byte | 32) >= 97) & ((byte | 32) <= 122)
+        self.cut = ~met & ((printed[:, None] & blank) | (letter[:, None] & letter))
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.piece = lru_cache(REMEMBERED)(self._piece)
-        self.fragment = lru_cache(REMEMBERED >> 2)(self._fragment)
+        self.fragment_ids = tiktoken.Encoding("fragments", pat_str=PIECES, mergeable_ranks=ids, special_tokens={}).encode_ordinary
 
     def fragments(self, raw: bytes) -> list[bytes]:
-        """``raw`` cut between all bytes that no token has side by side."""
-        met, out, start = self.met, [], 0
-        for i in range(1, len(raw)):
-            if not met[raw[i - 1]][raw[i]]:
-                out.append(raw[start:i])
-                start = i
+        """``raw`` cut at certain boundaries, each piece at least FRAGMENT bytes long if a cut comes in time."""
+        data = np.frombuffer(raw, np.uint8)
+        at = np.flatnonzero(self.cut[data[:-1], data[1:]]) + 1
+        out, start, n = [], 0, len(raw)
+        while n - start > FRAGMENT:
+            i = np.searchsorted(at, start + FRAGMENT)
+            if i == len(at):
+                break
+            out.append(raw[start:at[i]])
+            start = int(at[i])
         out.append(raw[start:])
         return out
 
-    def _piece(self, piece: str) -> bytes:
-        parts = self.fragments(piece.encode("utf-8", "surrogatepass"))
-        return self._fragment(parts[0]) if len(parts) == 1 else b"".join(map(self.fragment, parts))
-
-    def _fragment(self, raw: bytes) -> bytes:
-        symbols = [self.single[b] for b in raw]
-        return array("i", self._scan(symbols) if len(symbols) <= SHORT else self._queue(symbols)).tobytes()
-
-    def _scan(self, s: list[int]) -> list[int]:
-        """Merge the first-ranked pair, leftmost first, until none is left."""
-        get = self.merges.get
-        found = [get(pair, NO_MERGE) for pair in zip(s, s[1:])]
-        while found and (best := min(found)) < NO_MERGE:
-            i = found.index(best)
-            s[i] = best & 0xFFFFFFFF
-            del s[i + 1], found[i]
-            if i:
-                found[i - 1] = get((s[i - 1], s[i]), NO_MERGE)
-            if i < len(found):
-                found[i] = get((s[i], s[i + 1]), NO_MERGE)
-        return s
-
-    def _queue(self, s: list[int]) -> list[int]:
-        """The same for long fragments: candidate pairs in a heap over a linked list."""
-        n = len(s)
-        before, after, heap = [i - 1 for i in range(n)], [i + 1 for i in range(n)], []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if j < n and (m := self.merges.get((s[i], s[j]))):
-                heapq.heappush(heap, (m, i, s[i], s[j]))
-
-        for i in range(n):
-            offer(i)
-        while heap:
-            best, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if s[i] != left or j >= n or s[j] != right:
-                continue
-            s[i], s[j], after[i] = best & 0xFFFFFFFF, -1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return [x for x in s if x >= 0]
+    def _plain(self, text: str) -> list[int]:
+        return [i for part in self.fragments(text.encode("utf-8", "surrogatepass")) for i in self.fragment_ids(part.decode("utf-8", "surrogatepass"))]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         if self.splitter is None or not self.splitter.search(text):
-            return b"".join(map(self.piece, self.pattern.findall(text)))
-        return b"".join(np.array([self.special[part]], dtype="<i4").tobytes() if part in self.special
-                        else b"".join(map(self.piece, self.pattern.findall(part))) for part in self.splitter.split(text))
+            found = self._plain(text)
+        else:
+            found = [i for part in self.splitter.split(text) for i in ([self.special[part]] if part in self.special else self._plain(part))]
+        return np.array(found, dtype="<i4").tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.bytes_of[ids].tolist()).decode("utf-8", "replace")
