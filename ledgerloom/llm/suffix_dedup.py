@@ -37,8 +37,10 @@ from .common import cut, order_id
 LENGTH = 50
 TRIGGER = 20
 #: Bytes of text for each bucket of triggers, and of text packed at a time.
-BUCKET_BYTES = 16_000_000
-PACK_BYTES = 8_000_000
+BUCKET_BYTES = 8_000_000
+PACK_BYTES = 4_000_000
+#: Phrase texts packed at a time.
+PACK_TEXTS = 20_000
 U = np.uint64
 BASE = 0x5851F42D4C957F2D
 PACKED = "bucket int, low binary, high binary, text binary, places binary, rows binary, ids binary"
@@ -177,30 +179,36 @@ def _meet(table: pa.Table) -> pa.Table:
 
 def _bring(buckets: int):
     """Texts of dictionary phrases, packed by bucket of their trigger."""
+    names = [x.split()[0] for x in BROUGHT.split(", ")]
+    types = [pa.int32(), *[pa.binary()] * 5]
+
+    def pack(cells: list[tuple]) -> pa.RecordBatch:
+        trigger, start, doc, key = (np.array(x, dtype=np.int64) for x in list(zip(*cells, strict=True))[:4])
+        bucket = trigger % buckets
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+        out: list[list] = [[] for _ in names]
+        for a, b in zip(edges[:-1], edges[1:]):
+            at = order[a:b]
+            texts = [cells[i][4] for i in at]
+            for column, value in zip(out, (int(bucket[at[0]]), trigger[at].astype("<i8").tobytes(),
+                                           _squeeze(start[at], np.array([len(t) for t in texts])), doc[at].astype("<i8").tobytes(),
+                                           key[at].astype("<i8").tobytes(), b"".join(texts)), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: list[tuple] = []
         for batch in batches:
-            cells: list[tuple] = []
             for key, doc, raw, marks in zip(*batch.columns, strict=True):
-                data = raw.as_buffer().to_pybytes()
-                cells += [(m["trigger"], m["start"], doc.as_py(), key.as_py(), data[m["start"]:m["stop"]]) for m in marks.as_py()]
-            if not cells:
-                continue
-            trigger, start, doc, key = (np.array(x, dtype=np.int64) for x in list(zip(*cells, strict=True))[:4])
-            bucket = trigger % buckets
-            order = np.argsort(bucket, kind="stable")
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
-            out: list[list] = [[] for _ in range(6)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                at = order[a:b]
-                texts = [cells[i][4] for i in at]
-                for column, value in zip(out, (int(bucket[at[0]]), trigger[at].astype("<i8").tobytes(),
-                                               _squeeze(start[at], np.array([len(t) for t in texts])), doc[at].astype("<i8").tobytes(),
-                                               key[at].astype("<i8").tobytes(), b"".join(texts)), strict=True):
-                    column.append(value)
-            types = [pa.int32(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
-                                             names=[x.split()[0] for x in BROUGHT.split(", ")])
+                data, key, doc = raw.as_buffer(), key.as_py(), doc.as_py()
+                for trigger, start, stop in zip(*(marks.values.field(i).to_pylist() for i in range(3)), strict=True):
+                    cells.append((trigger, start, doc, key, data[start:stop].to_pybytes()))
+                if len(cells) >= PACK_TEXTS:
+                    yield pack(cells)
+                    cells = []
+        if cells:
+            yield pack(cells)
 
     return run
 
