@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, forced_bpe, mixing, quality_llr, simhash_bytes, suffix_dedup, toxicity
+from . import chat_trees, forced_bpe, mixing, quality_llr, simhash_bytes, suffix_dedup, toxicity, winnowing
 from .common import documents
 
 #: Tokenizer file of op7, read by every worker.
@@ -73,6 +73,13 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowing.spelt("runs").alias("fingerprint"),
+        winnowing.spelt("edited_runs").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 @query
 def op6_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bytes.classes(documents(spark, sf_dir)).select(
