@@ -48,7 +48,7 @@ def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(t[3], packed)
     least = F.col(t[3])
     for i, by in enumerate((1, 2, 4)):
-        df = df.withColumn(f"{t[4]}{i}", _shifted(least, by, F.least))
+        df = df.withColumn(f"{t[4]}{i}", _shifted(least, by, lambda a, b: F.least(a, b)))
         least = F.col(f"{t[4]}{i}")
     chosen = F.when(F.size(t[3]) >= W, F.array_distinct(least)).when(F.size(t[3]) > 0, F.array(F.array_min(t[3]))).otherwise(F.col(t[3]))
     return df.withColumn(out, chosen).drop(*t, *(f"{t[4]}{i}" for i in range(3)))
