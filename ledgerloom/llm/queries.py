@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, forced_bpe, mixing, quality_llr, simhash_bytes, suffix_dedup, toxicity, winnowing
+from . import chat_trees, forced_bpe, lm_scoring, mixing, paragraph_dedup, quality_llr, simhash_bytes, suffix_dedup, toxicity, winnowing
 from .common import documents
 
 #: Tokenizer file of op7, read by every worker.
@@ -67,6 +67,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= toxicity.TOXIC_AT).cast("int"))
 
 
+@query
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return lm_scoring.score(docs, lm_scoring.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text")).select(
@@ -76,7 +87,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.compare(documents(spark, sf_dir)).select(
-        F.col("id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowing.spelt("runs").alias("fingerprint"),
+        F.col("id").alias("doc_id"), "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), winnowing.spelt("runs").alias("fingerprint"),
         winnowing.spelt("edited_runs").alias("edited_fingerprint"), "near_edited", "near_next")
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, order_id, word_array
+from .common import cut, order_id, real_id, word_array
 
 K = 5
 W = 8
@@ -90,7 +90,7 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """Fingerprints of every text and of its edited text: the last quarter of its characters replaced by the first as
     many (or all) of the next document in order of id, after the last the first.
 
-    Columns: id, n_chars, edited, runs, edited_runs, near_edited, near_next.  A missing text counts as empty, a missing id
+    Columns: id, next_id, n_chars, edited, runs, edited_runs, near_edited, near_next.  A missing text counts as empty, a missing id
     as the largest; rows of one id follow each other by row hash, and equal rows come out alike.
     """
     own = docs.select(F.xxhash64(order_id(doc_id), F.col(text)).alias("row"), order_id(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -98,13 +98,13 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     order = cut(followers(size.select("id", "row")), "order")
     ask = order.join(size.groupBy("row").agg(F.max(F.floor(F.col("n_chars") / 4)).cast("int").alias("quarter")), "row")
     ask = ask.select(F.col("next").alias("row"), F.col("row").alias("asker"), "quarter")
-    told = own.join(ask, "row").select("asker", F.expr("substring(text, 1, quarter)").alias("head"), "text")
-    told = fingerprinted(told, "text", "next_runs").select(F.col("asker").alias("row"), "head", hashes("next_runs").alias("next_hashes"))
-    told = told.groupBy("row").agg(F.first("head").alias("head"), F.first("next_hashes").alias("next_hashes"))
+    told = own.join(ask, "row").select("asker", F.col("id").alias("next_id"), F.expr("substring(text, 1, quarter)").alias("head"), "text")
+    told = fingerprinted(told, "text", "next_runs").select(F.col("asker").alias("row"), "next_id", "head", hashes("next_runs").alias("next_hashes"))
+    told = told.groupBy("row").agg(*(F.first(c).alias(c) for c in ("next_id", "head", "next_hashes")))
     both = own.join(told, "row").withColumn("n_chars", F.length("text").cast("long"))
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.col("head"))
     both = fingerprinted(fingerprinted(both.withColumn("edited", edited), "text", "runs"), "edited", "edited_runs")
     both = both.withColumns({"__own": hashes("runs"), "__edited": hashes("edited_runs")})
-    return both.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("id"), "n_chars", "edited", "runs", "edited_runs",
+    return both.select(real_id("id").alias("id"), real_id("next_id").alias("next_id"), "n_chars", "edited", "runs", "edited_runs",
                        likeness(F.col("__own"), F.col("__edited")).alias("near_edited"),
                        likeness(F.col("__own"), F.col("next_hashes")).alias("near_next"))
