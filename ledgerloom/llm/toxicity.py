@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = {}
     for y, rows in SAMPLE.items():
         ids = F.broadcast(marked.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows).select("id"))  # at most ``rows`` ids
-        sample = docs.join(ids, F.col(doc_id) == F.col("id")).filter(F.length(text) <= SAMPLE_CHARS).select("id", F.col(text).alias("t"))
+        sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids, "id").filter(F.length("t") <= SAMPLE_CHARS)
         texts[y] = [r["t"].encode() for r in sample.orderBy(F.xxhash64("id"), "id", "t").limit(rows).collect()]
     return train(texts[1], texts[0], share)
 
