@@ -39,8 +39,9 @@ TRIGGER = 20
 #: Bytes of text for each bucket of triggers, and of text packed at a time.
 BUCKET_BYTES = 8_000_000
 PACK_BYTES = 4_000_000
-#: Phrase texts packed at a time.
+#: Phrase texts packed at a time, and buckets of phrase texts for each bucket of triggers: their suffixes need more room.
 PACK_TEXTS = 20_000
+FINER = 4
 U = np.uint64
 BASE = 0x5851F42D4C957F2D
 PACKED = "bucket int, low binary, high binary, text binary, places binary, rows binary, ids binary"
@@ -257,7 +258,7 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     ask = (found.filter("NOT whole").groupBy(F.col("row").alias("__row"))
            .agg(F.collect_set(F.struct("trigger", "start", "stop")).alias("marks")))
     texts = own.join(ask, "__row").select("__row", "__doc", "raw", "marks")
-    inner = cut(texts.mapInArrow(_bring(buckets), BROUGHT).groupBy("bucket").applyInArrow(_order, "row bigint, start int, stop int"), "suffixes")
+    inner = cut(texts.mapInArrow(_bring(FINER * buckets), BROUGHT).groupBy("bucket").applyInArrow(_order, "row bigint, start int, stop int"), "suffixes")
     return found.filter("whole").select("row", "start", "stop").union(inner)
 
 
