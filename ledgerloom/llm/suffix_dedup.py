@@ -68,6 +68,12 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def _release() -> None:
+    """Give back what a reused worker would hold on to between tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def _prefix(data: np.ndarray) -> np.ndarray:
     """Running polynomial hash; the hash of data[i:j] is (p[j] - p[i]) / BASE^i."""
     out = np.zeros(len(data) + 1, U)
@@ -140,6 +146,7 @@ def _pack(buckets: int):
                     rows, found, size = [], [], 0
         if rows:
             yield pack(rows, found)
+        _release()
 
     return run
 
@@ -239,6 +246,7 @@ def _order(table: pa.Table) -> pa.Table:
     dup[order] = doc[phrase][order] > doc[phrase][order][first][np.cumsum(first) - 1]
     hit = np.flatnonzero(dup)
     new = _firsts(phrase[hit], hit - np.arange(len(hit)))
+    _release()
     head, tail = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] if len(hit) else hit
     return pa.table({"row": row[phrase[head]], "start": (start[phrase[head]] + within[head]).astype(np.int32),
                      "stop": (start[phrase[tail]] + within[tail] + LENGTH).astype(np.int32)})
