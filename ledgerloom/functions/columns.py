@@ -61,8 +61,34 @@ def best_vendor() -> Column:
     return F.coalesce("vendor_name", "party_name", "account_name")
 
 
-def best_customer() -> Column:
-    return F.coalesce("customer_name", "party_name", "account_name")
+def first_nonzero(*columns: str) -> Column:
+    """The first of the columns that is neither null nor zero (a missing side is stored as 0), else 0."""
+    return F.coalesce(*[F.nullif(F.col(c), F.lit(0)) for c in columns], F.lit(0))
+
+
+def party_columns(gl: DataFrame) -> DataFrame:
+    """Per ledger, the column that names its vendors and the one that names its customers.
+
+    The specific column where any row of the ledger fills it, else
+    ``party_name``, else ``account_name``.  One row per ledger.
+    """
+    def chosen(specific: str) -> Column:
+        return (F.when(F.count(specific) > 0, F.lit(specific))
+                .when(F.count("party_name") > 0, F.lit("party_name")).otherwise(F.lit("account_name")))
+
+    return gl.groupBy("ledger_id").agg(
+        chosen("vendor_name").alias("vendor_column"), chosen("customer_name").alias("customer_column"))
+
+
+def with_parties(gl: DataFrame, choice: DataFrame) -> DataFrame:
+    """Adds ``vendor_party`` and ``customer_party``: the value of the ledger's chosen column, null where that is null."""
+    def value(column: str, specific: str) -> Column:
+        return (F.when(F.col(column) == specific, F.col(specific))
+                .when(F.col(column) == "party_name", F.col("party_name")).otherwise(F.col("account_name")))
+
+    return gl.join(choice, "ledger_id", "left").withColumns({
+        "vendor_party": value("vendor_column", "vendor_name"),
+        "customer_party": value("customer_column", "customer_name")}).drop("vendor_column", "customer_column")
 
 
 def any_party() -> Column:

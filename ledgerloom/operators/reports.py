@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import (
-    CR, DR, best_credit, best_customer, best_debit, best_vendor, keyword_any,
-    money, month, num, top_per, total_if,
+    CR, DR, best_credit, best_debit, first_nonzero, keyword_any, money, month, num,
+    party_columns, top_per, total_if, with_parties,
 )
 
 L = "ledger_id"
@@ -27,14 +27,27 @@ def _report(fn: Callable[[DataFrame, str], Ordered]) -> Callable[[DataFrame, str
     return fn
 
 
-def report(name: str, gl: DataFrame, as_of: str, ordered: bool = True) -> DataFrame:
-    """Run a report; ``ordered=False`` leaves out the final sort (for joins, unions, sinks)."""
+def report(name: str, gl: DataFrame, as_of: str, ordered: bool = True, parties: DataFrame | None = None) -> DataFrame:
+    """Run a report; ``ordered=False`` leaves out the final sort (for joins, unions, sinks).
+
+    ``parties`` is ``party_columns(gl)`` kept as a table: a stored table of one
+    row per ledger has a known size, so Spark joins it without moving the ledger.
+    """
     if name not in REPORTS:
         raise KeyError(f"no report named {name}; have {sorted(REPORTS)}")
+    if name in PARTY_REPORTS:
+        gl = with_parties(gl, party_columns(gl) if parties is None else parties)
     rows, order = REPORTS[name](gl, as_of)
     return rows.orderBy(*order) if ordered else rows
 
 
+# reports that name vendors or customers by the column their ledger uses
+PARTY_REPORTS = {
+    "overdue_debtors_30_60_90", "vendor_ledger", "customer_ledger", "creditors_top_10", "debtors_top_10",
+    "top_customers", "sales_last_quarter", "vendor_payment_summary", "customer_receipts_summary",
+    "purchase_register", "sales_register", "pending_bills",
+}
+
 # --- shared shapes -----------------------------------------------------------
 
 BALANCE_GROUPS = ["asset", "liabilit", "equity", "capital", "loan", "reserve"]
@@ -55,11 +68,9 @@ def _has_date(gl: DataFrame) -> DataFrame:
     return gl.filter(F.col("transaction_date").isNotNull())
 
 
-def _listing(rows: DataFrame, k: int | None, *columns: Column) -> Ordered:
-    """Newest rows first; ``row_id`` breaks ties."""
+def _listing(rows: DataFrame, *columns: Column) -> Ordered:
+    """All rows, newest first; ``row_id`` breaks ties."""
     newest = [F.col("transaction_date").desc_nulls_first(), F.col("row_id")]
-    if k is not None:
-        rows = top_per(rows, [L], newest, k)
     return _sorted(rows.select(L, "row_id", "transaction_date", *columns), *newest)
 
 
@@ -146,7 +157,7 @@ def overdue_debtors_30_60_90(gl, as_of):
     age = F.datediff(F.lit(as_of).cast("date"), F.col("transaction_date"))
     net = best_debit() - CR()
     agg = _has_date(gl).groupBy(
-        L, F.coalesce("customer_name", "party_name", "account_name", F.lit("Unknown")).alias("customer")
+        L, F.coalesce("customer_party", F.lit("Unknown")).alias("customer")
     ).agg(
         total_if(age.between(0, 30), net).alias("a"), total_if(age.between(31, 60), net).alias("b"),
         total_if(age.between(61, 90), net).alias("c"), total_if(age > 90, net).alias("d"),
@@ -161,7 +172,7 @@ def overdue_debtors_30_60_90(gl, as_of):
 
 @_report
 def vendor_ledger(gl, as_of):
-    agg = gl.filter(best_vendor().isNotNull()).groupBy(L, best_vendor().alias("vendor")).agg(
+    agg = gl.filter(F.col("vendor_party").isNotNull()).groupBy(L, F.col("vendor_party").alias("vendor")).agg(
         F.count(F.lit(1)).alias("transactions"), money(F.sum(best_debit())).alias("total_purchases"),
         money(F.sum(CR())).alias("total_paid"), money(F.sum(best_debit()) - F.sum(CR())).alias("outstanding"))
     return _sorted(agg, _desc("outstanding"), F.col("vendor"))
@@ -169,7 +180,7 @@ def vendor_ledger(gl, as_of):
 
 @_report
 def customer_ledger(gl, as_of):
-    agg = gl.filter(best_customer().isNotNull()).groupBy(L, best_customer().alias("customer")).agg(
+    agg = gl.filter(F.col("customer_party").isNotNull()).groupBy(L, F.col("customer_party").alias("customer")).agg(
         F.count(F.lit(1)).alias("transactions"), money(F.sum(best_credit())).alias("total_sales"),
         money(F.sum(DR())).alias("total_received"), money(F.sum(best_credit()) - F.sum(DR())).alias("outstanding"))
     return _sorted(agg, _desc("outstanding"), F.col("customer"))
@@ -183,17 +194,17 @@ def _top_party(gl: DataFrame, party: Column, name: str, value: Column) -> Ordere
 
 @_report
 def creditors_top_10(gl, as_of):
-    return _top_party(gl, best_vendor(), "creditor", F.sum(best_debit()) - F.sum(CR()))
+    return _top_party(gl, F.col("vendor_party"), "creditor", F.sum(best_debit()) - F.sum(CR()))
 
 
 @_report
 def debtors_top_10(gl, as_of):
-    return _top_party(gl, best_customer(), "debtor", F.sum(best_credit()) - F.sum(DR()))
+    return _top_party(gl, F.col("customer_party"), "debtor", F.sum(best_credit()) - F.sum(DR()))
 
 
 @_report
 def top_customers(gl, as_of):
-    agg = gl.filter(best_customer().isNotNull()).groupBy(L, best_customer().alias("customer")).agg(
+    agg = gl.filter(F.col("customer_party").isNotNull()).groupBy(L, F.col("customer_party").alias("customer")).agg(
         F.count(F.lit(1)).alias("transactions"), money(F.sum(best_credit())).alias("total_revenue"))
     order = [_desc("total_revenue"), F.col("customer")]
     return _sorted(top_per(agg, [L], order, 10), *order)
@@ -258,7 +269,7 @@ def payroll_summary(gl, as_of):
 @_report
 def tds_summary(gl, as_of):
     party = F.coalesce("party_name", "vendor_name", "account_name", F.lit("Unknown"))
-    amount = F.coalesce("debit_amount", "credit_amount", "net_amount", F.lit(0))
+    amount = first_nonzero("debit_amount", "credit_amount", "net_amount")
     agg = (gl.filter(keyword_any(["account_name", "description", "account_group"], ["tds"]))
            .groupBy(L, month().alias("month"), party.alias("deductee"))
            .agg(money(F.sum(amount)).alias("tds_amount")))
@@ -277,10 +288,10 @@ def cash_flow_monthly(gl, as_of):
 @_report
 def sales_last_quarter(gl, as_of):
     lo, hi = previous_quarter(as_of)
-    hit = keyword_any(["voucher_type"], ["sales", "invoice"]) | best_customer().isNotNull()
+    hit = keyword_any(["voucher_type"], ["sales", "invoice"]) | F.col("customer_party").isNotNull()
     d = F.col("transaction_date")
     agg = gl.filter((d >= lo) & (d < hi) & hit).groupBy(
-        L, month().alias("month"), F.coalesce(best_customer(), F.lit("Unknown")).alias("customer")
+        L, month().alias("month"), F.coalesce(F.col("customer_party"), F.lit("Unknown")).alias("customer")
     ).agg(money(F.sum(best_credit())).alias("sales"))
     return _sorted(agg, F.col("month"), _desc("sales"), F.col("customer"))
 
@@ -347,21 +358,21 @@ def depreciation_schedule(gl, as_of):
 
 @_report
 def vendor_payment_summary(gl, as_of):
-    hit = keyword_any(["voucher_type"], ["payment"]) | best_vendor().isNotNull()
+    hit = keyword_any(["voucher_type"], ["payment"]) | F.col("vendor_party").isNotNull()
     agg = _has_date(gl).filter(hit).groupBy(
-        L, F.coalesce(best_vendor(), F.lit("Unknown")).alias("vendor"), month().alias("month")
+        L, F.coalesce(F.col("vendor_party"), F.lit("Unknown")).alias("vendor"), month().alias("month")
     ).agg(F.count(F.lit(1)).alias("payments"),
-          money(F.sum(F.coalesce("credit_amount", "debit_amount", F.lit(0)))).alias("total_paid"))
+          money(F.sum(CR())).alias("total_paid"))
     return _sorted(agg, F.col("month"), _desc("total_paid"), F.col("vendor"))
 
 
 @_report
 def customer_receipts_summary(gl, as_of):
-    hit = keyword_any(["voucher_type"], ["receipt"]) | best_customer().isNotNull()
+    hit = keyword_any(["voucher_type"], ["receipt"]) | F.col("customer_party").isNotNull()
     agg = _has_date(gl).filter(hit).groupBy(
-        L, F.coalesce(best_customer(), F.lit("Unknown")).alias("customer"), month().alias("month")
+        L, F.coalesce(F.col("customer_party"), F.lit("Unknown")).alias("customer"), month().alias("month")
     ).agg(F.count(F.lit(1)).alias("receipts"),
-          money(F.sum(F.coalesce("debit_amount", "credit_amount", F.lit(0)))).alias("total_received"))
+          money(F.sum(DR())).alias("total_received"))
     return _sorted(agg, F.col("month"), _desc("total_received"), F.col("customer"))
 
 
@@ -387,18 +398,18 @@ def period_close_summary(gl, as_of):
 
 @_report
 def purchase_register(gl, as_of):
-    rows = gl.filter(keyword_any(["voucher_type"], ["purchase", "bill"]) | best_vendor().isNotNull())
+    rows = gl.filter(keyword_any(["voucher_type"], ["purchase", "bill"]) | F.col("vendor_party").isNotNull())
     return _listing(
-        rows, None, F.coalesce(best_vendor(), F.lit("Unknown")).alias("vendor"),
+        rows, F.coalesce(F.col("vendor_party"), F.lit("Unknown")).alias("vendor"),
         F.coalesce("reference_number", "document_number").alias("bill_no"),
         F.col("description").alias("narration"), money(best_debit()).alias("amount"))
 
 
 @_report
 def sales_register(gl, as_of):
-    rows = gl.filter(keyword_any(["voucher_type"], ["sales", "invoice"]) | best_customer().isNotNull())
+    rows = gl.filter(keyword_any(["voucher_type"], ["sales", "invoice"]) | F.col("customer_party").isNotNull())
     return _listing(
-        rows, None, F.coalesce(best_customer(), F.lit("Unknown")).alias("customer"),
+        rows, F.coalesce(F.col("customer_party"), F.lit("Unknown")).alias("customer"),
         F.coalesce("reference_number", "document_number").alias("invoice_no"),
         F.col("description").alias("narration"), money(best_credit()).alias("amount"))
 
@@ -411,7 +422,7 @@ def _voucher_columns() -> list[Column]:
 @_report
 def journal_entries(gl, as_of):
     hit = keyword_any(["voucher_type"], ["journal", "jv"]) | keyword_any(["description"], ["journal"])
-    return _listing(gl.filter(hit), 200, *_voucher_columns())
+    return _listing(gl.filter(hit), *_voucher_columns())
 
 
 @_report
@@ -419,20 +430,20 @@ def contra_entries(gl, as_of):
     cash_to_bank = keyword_any(["account_name"], ["cash"]) & keyword_any(["description"], ["bank"])
     bank_to_cash = keyword_any(["account_name"], ["bank"]) & keyword_any(["description"], ["cash"])
     hit = keyword_any(["voucher_type"], ["contra"]) | cash_to_bank | bank_to_cash
-    return _listing(gl.filter(hit), 200, *_voucher_columns())
+    return _listing(gl.filter(hit), *_voucher_columns())
 
 
 @_report
 def provisions(gl, as_of):
     rows = gl.filter(keyword_any(["account_name", "description", "account_group"], ["provision"]))
-    return _listing(rows, 200, F.col("account_name").alias("account"),
+    return _listing(rows, F.col("account_name").alias("account"),
                     F.col("account_group"), F.col("description").alias("narration"), *_sides())
 
 
 @_report
 def write_offs(gl, as_of):
     rows = gl.filter(keyword_any(["account_name", "description"], ["write%off", "bad debt", "written off"]))
-    return _listing(rows, 200, F.col("account_name").alias("account"),
+    return _listing(rows, F.col("account_name").alias("account"),
                     F.col("description").alias("narration"), *_sides())
 
 
@@ -441,7 +452,7 @@ def intercompany_transactions(gl, as_of):
     hit = keyword_any(["account_name"], ["intercompany", "inter company", "related party", "group company",
                                          "subsidiary", "holding"]) | keyword_any(
         ["description"], ["intercompany", "related party", "group company"])
-    return _listing(gl.filter(hit), 200, F.col("account_name").alias("entity"),
+    return _listing(gl.filter(hit), F.col("account_name").alias("entity"),
                     F.col("description").alias("narration"), *_sides())
 
 
@@ -449,7 +460,7 @@ def intercompany_transactions(gl, as_of):
 def large_transactions(gl, as_of):
     # a missing side is stored as 0 here, so the larger side is the amount
     amount = F.greatest(DR(), CR(), F.abs(num("net_amount")))
-    return _listing(gl.filter(amount >= 100000), 50, F.col("account_name").alias("account"),
+    return _listing(gl.filter(amount >= 100000), F.col("account_name").alias("account"),
                     F.col("reference_number").alias("reference"),
                     F.col("description").alias("narration"), money(amount).alias("amount"))
 
@@ -459,9 +470,8 @@ def pending_bills(gl, as_of):
     today = F.lit(as_of).cast("date")
     rows = gl.filter(keyword_any(["voucher_type"], ["purchase", "invoice", "bill"])
                      & F.col("due_date").isNotNull() & (F.col("due_date") < today))
-    rows = top_per(rows, [L], [F.col("due_date").asc(), F.col("row_id")], 100)
     out = rows.select(
-        L, "row_id", F.coalesce(best_vendor(), F.lit("Unknown")).alias("vendor"),
+        L, "row_id", F.coalesce(F.col("vendor_party"), F.lit("Unknown")).alias("vendor"),
         F.coalesce("reference_number", "document_number").alias("bill_no"),
         "transaction_date", "due_date", F.datediff(today, "due_date").alias("days_overdue"),
         money(best_debit()).alias("amount"))
@@ -594,11 +604,11 @@ PINNED = [
 ]
 
 
-def dashboard_cards(gl: DataFrame, as_of: str) -> DataFrame:
+def dashboard_cards(gl: DataFrame, as_of: str, parties: DataFrame | None = None) -> DataFrame:
     """The pinned cards of every ledger in one long table."""
     out = None
     for position, (name, title, label, value) in enumerate(PINNED):
-        card = report(name, gl, as_of, ordered=False).select(
+        card = report(name, gl, as_of, ordered=False, parties=parties).select(
             L, F.lit(position).alias("position"), F.lit(title).alias("title"),
             F.col(label).alias("label"), F.col(value).alias("value"))
         out = card if out is None else out.unionByName(card)

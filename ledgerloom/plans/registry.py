@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.columns import party_columns
 from ..sources import trade_ledger as tl
 from ..sources.staging import staged
 
@@ -40,6 +41,11 @@ class Data:
         """The ledger every operator runs on: excluded rows dropped once, up front."""
         return self.gl_all.filter("NOT excluded")
 
+    @cached_property
+    def parties(self) -> DataFrame:
+        """The party columns each ledger uses, stored: its size is known when a join is planned."""
+        return staged(self.spark, "party_columns", self.sf_dir, lambda: party_columns(self.gl))
+
     @cached_property
     def overrides(self) -> DataFrame:
         return tl.account_overrides(self.spark, self.sf_dir)

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from ..operators import reports
 from ..sources.trade_ledger import AS_OF
-from .registry import register
+from .registry import cte, register
 
 AS = f"DATE '{AS_OF}'"
-VENDOR = "COALESCE(vendor_name, party_name, account_name)"
-CUSTOMER = "COALESCE(customer_name, party_name, account_name)"
+VENDOR, CUSTOMER = "vendor_party", "customer_party"
+# the ledger with the party column each ledger uses: the specific one where any row fills it
+cte("gl_parties", """SELECT gl.*,
+    CASE WHEN has_vendor THEN vendor_name WHEN has_party THEN party_name ELSE account_name END AS vendor_party,
+    CASE WHEN has_customer THEN customer_name WHEN has_party THEN party_name ELSE account_name END AS customer_party
+    FROM gl JOIN (SELECT ledger_id, BOOL_OR(vendor_name IS NOT NULL) AS has_vendor,
+                         BOOL_OR(customer_name IS NOT NULL) AS has_customer,
+                         BOOL_OR(party_name IS NOT NULL) AS has_party FROM gl GROUP BY 1) USING (ledger_id)""", ("gl",))
 CAT = "COALESCE(account_group, 'Unclassified')"
 MTH = "strftime(transaction_date, '%Y-%m')"
 DRS, CRS = "SUM(debit_amount)", "SUM(credit_amount)"
@@ -38,9 +44,8 @@ def topk(inner: str, order: str, k: int) -> str:
             f"(PARTITION BY ledger_id ORDER BY {order}) <= {k}")
 
 
-def rows(cond: str, cols: str, k: int | None) -> str:
-    inner = f"SELECT ledger_id, row_id, transaction_date, {cols} FROM gl WHERE {cond}"
-    return inner if k is None else topk(inner, "transaction_date DESC NULLS FIRST, row_id", k)
+def rows(cond: str, cols: str, table: str = "gl") -> str:
+    return f"SELECT ledger_id, row_id, transaction_date, {cols} FROM {table} WHERE {cond}"
 
 
 ACCT, DESC, VT, GRP = "account_name", "description", "voucher_type", "account_group"
@@ -51,9 +56,9 @@ AGE = f"({AS} - transaction_date)"
 NET = "debit_amount - credit_amount"
 
 
-def _bal(key: str, alias: str, expr: str, extra: str = "") -> str:
-    return (f"SELECT ledger_id, {key} AS {alias}, {r2(expr)} AS outstanding FROM gl "
-            f"GROUP BY 1, 2 HAVING {expr} > 0{extra}")
+def _bal(key: str, alias: str, expr: str, table: str = "gl") -> str:
+    return (f"SELECT ledger_id, {key} AS {alias}, {r2(expr)} AS outstanding FROM {table} "
+            f"GROUP BY 1, 2 HAVING {expr} > 0")
 
 
 def _cc(value: str, alias: str, counted: bool) -> str:
@@ -81,13 +86,13 @@ SQL = {
         {r2(f"COALESCE(MAX(closing_balance), SUM(credit_amount - debit_amount))")} AS balance
         FROM gl WHERE {kw(ACCT, ['cash', 'bank'])} OR ({kw(ACCT, ['savings'])} AND closing_balance IS NOT NULL)
         GROUP BY 1, 2 HAVING MAX(closing_balance) IS NOT NULL OR ROUND({CRS} - {DRS}, 2) > 0""",
-    "overdue_debtors_30_60_90": f"""SELECT ledger_id, {CUSTOMER} AS customer,
+    "overdue_debtors_30_60_90": f"""SELECT ledger_id, COALESCE({CUSTOMER}, 'Unknown') AS customer,
         {r2(when(f"{AGE} BETWEEN 0 AND 30", NET))} AS "0_30_days",
         {r2(when(f"{AGE} BETWEEN 31 AND 60", NET))} AS "31_60_days",
         {r2(when(f"{AGE} BETWEEN 61 AND 90", NET))} AS "61_90_days",
         {r2(when(f"{AGE} > 90", NET))} AS over_90_days,
         {r2(f"SUM({NET})")} AS total_outstanding
-        FROM gl WHERE {HAS_DATE} GROUP BY 1, 2 HAVING ROUND(SUM({NET}), 2) > 0""",
+        FROM gl_parties WHERE {HAS_DATE} GROUP BY 1, 2 HAVING ROUND(SUM({NET}), 2) > 0""",
     "gst_summary": f"""SELECT ledger_id, {MTH} AS month,
         {r2(when(kw([ACCT, DESC], ['cgst']), 'net_amount'))} AS cgst,
         {r2(when(kw([ACCT, DESC], ['sgst']), 'net_amount'))} AS sgst,
@@ -95,21 +100,21 @@ SQL = {
         {r2("SUM(net_amount)")} AS total_gst FROM gl WHERE {GST} GROUP BY 1, 2""",
     "vendor_ledger": f"""SELECT ledger_id, {VENDOR} AS vendor, COUNT(*) AS transactions,
         {r2(DRS)} AS total_purchases, {r2(CRS)} AS total_paid, {r2(f"{DRS} - {CRS}")} AS outstanding
-        FROM gl WHERE {VENDOR} IS NOT NULL GROUP BY 1, 2""",
+        FROM gl_parties WHERE {VENDOR} IS NOT NULL GROUP BY 1, 2""",
     "customer_ledger": f"""SELECT ledger_id, {CUSTOMER} AS customer, COUNT(*) AS transactions,
         {r2(CRS)} AS total_sales, {r2(DRS)} AS total_received, {r2(f"{CRS} - {DRS}")} AS outstanding
-        FROM gl WHERE {CUSTOMER} IS NOT NULL GROUP BY 1, 2""",
-    "creditors_top_10": topk(_bal(VENDOR, "creditor", f"ROUND({DRS} - {CRS}, 2)"), "outstanding DESC, creditor", 10),
-    "debtors_top_10": topk(_bal(CUSTOMER, "debtor", f"ROUND({CRS} - {DRS}, 2)"), "outstanding DESC, debtor", 10),
+        FROM gl_parties WHERE {CUSTOMER} IS NOT NULL GROUP BY 1, 2""",
+    "creditors_top_10": topk(_bal(VENDOR, "creditor", f"ROUND({DRS} - {CRS}, 2)", f"gl_parties WHERE {VENDOR} IS NOT NULL"), "outstanding DESC, creditor", 10),
+    "debtors_top_10": topk(_bal(CUSTOMER, "debtor", f"ROUND({CRS} - {DRS}, 2)", f"gl_parties WHERE {CUSTOMER} IS NOT NULL"), "outstanding DESC, debtor", 10),
     "top_customers": topk(f"""SELECT ledger_id, {CUSTOMER} AS customer, COUNT(*) AS transactions,
-        {r2(CRS)} AS total_revenue FROM gl WHERE {CUSTOMER} IS NOT NULL GROUP BY 1, 2""",
+        {r2(CRS)} AS total_revenue FROM gl_parties WHERE {CUSTOMER} IS NOT NULL GROUP BY 1, 2""",
                           "total_revenue DESC, customer", 10),
     "purchase_register": rows(f"{kw(VT, ['purchase', 'bill'])} OR {VENDOR} IS NOT NULL",
-                              f"{VENDOR} AS vendor, reference_number AS bill_no, description AS narration, "
-                              f"{r2('debit_amount')} AS amount", None),
+                              f"COALESCE({VENDOR}, 'Unknown') AS vendor, reference_number AS bill_no, description AS narration, "
+                              f"{r2('debit_amount')} AS amount", "gl_parties"),
     "sales_register": rows(f"{kw(VT, ['sales', 'invoice'])} OR {CUSTOMER} IS NOT NULL",
-                           f"{CUSTOMER} AS customer, reference_number AS invoice_no, description AS narration, "
-                           f"{r2('credit_amount')} AS amount", None),
+                           f"COALESCE({CUSTOMER}, 'Unknown') AS customer, reference_number AS invoice_no, description AS narration, "
+                           f"{r2('credit_amount')} AS amount", "gl_parties"),
     "payroll_summary": f"""SELECT ledger_id, {MTH} AS month,
         COUNT(DISTINCT COALESCE(party_name, account_name, 'Unknown')) AS employees, {r2(DRS)} AS total_salary
         FROM gl WHERE {kw(ACCT, ['salary', 'payroll', 'wages', 'remuneration', 'staff'])}
@@ -124,7 +129,7 @@ SQL = {
     "expense_by_voucher_type": f"""SELECT ledger_id, voucher_type AS type, COUNT(*) AS transactions,
         {r2(DRS)} AS total_amount FROM gl WHERE voucher_type IS NOT NULL GROUP BY 1, 2""",
     "tds_summary": f"""SELECT ledger_id, {MTH} AS month,
-        COALESCE(party_name, vendor_name, account_name, 'Unknown') AS deductee, {r2(DRS)} AS tds_amount
+        COALESCE(party_name, vendor_name, account_name, 'Unknown') AS deductee, {r2('SUM(CASE WHEN debit_amount <> 0 THEN debit_amount WHEN credit_amount <> 0 THEN credit_amount ELSE COALESCE(net_amount, 0) END)')} AS tds_amount
         FROM gl WHERE {kw([ACCT, DESC, GRP], ['tds'])} GROUP BY 1, 2, 3""",
     "bank_reconciliation": f"""SELECT ledger_id, account_name AS bank_account, COUNT(*) AS entries,
         {r2(CRS)} AS total_credits, {r2(DRS)} AS total_debits, {r2(f"{CRS} - {DRS}")} AS net_balance FROM gl
@@ -134,7 +139,7 @@ SQL = {
         COUNT(*) AS count, {r2(DRS)} AS total_advance FROM gl WHERE {kw([ACCT, DESC, VT], ['advance'])}
         GROUP BY 1, 2 HAVING ROUND({DRS}, 2) > 0""",
     "sales_last_quarter": f"""SELECT ledger_id, {MTH} AS month, COALESCE({CUSTOMER}, 'Unknown') AS customer,
-        {r2(CRS)} AS sales FROM gl WHERE transaction_date >= {Q0} AND transaction_date < {Q1}
+        {r2(CRS)} AS sales FROM gl_parties WHERE transaction_date >= {Q0} AND transaction_date < {Q1}
         AND ({kw(VT, ['sales', 'invoice'])} OR {CUSTOMER} IS NOT NULL) GROUP BY 1, 2, 3""",
     "expenses_last_quarter": f"""SELECT ledger_id, {MTH} AS month, {CAT} AS category, {r2(DRS)} AS expenses
         FROM gl WHERE transaction_date >= {Q0} AND transaction_date < {Q1} GROUP BY 1, 2, 3""",
@@ -155,24 +160,24 @@ SQL = {
     "zero_balance_accounts": f"""SELECT ledger_id, account_name, COALESCE(account_group, 'Unknown') AS category,
         {r2(f"COALESCE(MAX(closing_balance), SUM({NET}))")} AS balance FROM gl WHERE account_name IS NOT NULL
         GROUP BY 1, 2, 3 HAVING ABS(ROUND(COALESCE(MAX(closing_balance), SUM({NET})), 2)) < 0.01""",
-    "journal_entries": rows(f"{kw(VT, ['journal', 'jv'])} OR {kw(DESC, ['journal'])}", VCH, 200),
+    "journal_entries": rows(f"{kw(VT, ['journal', 'jv'])} OR {kw(DESC, ['journal'])}", VCH),
     "contra_entries": rows(f"{kw(VT, ['contra'])} OR ({kw(ACCT, ['cash'])} AND {kw(DESC, ['bank'])}) "
-                           f"OR ({kw(ACCT, ['bank'])} AND {kw(DESC, ['cash'])})", VCH, 200),
+                           f"OR ({kw(ACCT, ['bank'])} AND {kw(DESC, ['cash'])})", VCH),
     "provisions": rows(kw([ACCT, DESC, GRP], ["provision"]),
-                       f"account_name AS account, account_group, description AS narration, {SIDES}", 200),
+                       f"account_name AS account, account_group, description AS narration, {SIDES}"),
     "write_offs": rows(kw([ACCT, DESC], ["write%off", "bad debt", "written off"]),
-                       f"account_name AS account, description AS narration, {SIDES}", 200),
+                       f"account_name AS account, description AS narration, {SIDES}"),
     "intercompany_transactions": rows(
         f"{kw(ACCT, ['intercompany', 'inter company', 'related party', 'group company', 'subsidiary', 'holding'])}"
         f" OR {kw(DESC, ['intercompany', 'related party', 'group company'])}",
-        f"account_name AS entity, description AS narration, {SIDES}", 200),
+        f"account_name AS entity, description AS narration, {SIDES}"),
     "large_transactions": rows(
         "GREATEST(debit_amount, credit_amount, ABS(net_amount)) >= 100000",
         "account_name AS account, reference_number AS reference, description AS narration, "
-        f"{r2('GREATEST(debit_amount, credit_amount, ABS(net_amount))')} AS amount", 50),
-    "pending_bills": topk(f"""SELECT ledger_id, row_id, {VENDOR} AS vendor, reference_number AS bill_no,
+        f"{r2('GREATEST(debit_amount, credit_amount, ABS(net_amount))')} AS amount"),
+    "pending_bills": f"""SELECT ledger_id, row_id, COALESCE({VENDOR}, 'Unknown') AS vendor, reference_number AS bill_no,
         transaction_date, due_date, CAST({AS} - due_date AS INTEGER) AS days_overdue, {r2('debit_amount')} AS amount
-        FROM gl WHERE {kw(VT, ['purchase', 'invoice', 'bill'])} AND due_date < {AS}""", "due_date, row_id", 100),
+        FROM gl_parties WHERE {kw(VT, ['purchase', 'invoice', 'bill'])} AND due_date < {AS}""",
     "multi_currency_summary": f"""SELECT ledger_id, COALESCE(currency_code, 'INR') AS currency,
         COUNT(*) AS transactions, {r2(DRS)} AS total_debits, {r2(CRS)} AS total_credits FROM gl GROUP BY 1, 2""",
     "unrealized_gains_losses": f"""SELECT ledger_id, COALESCE(currency_code, 'INR') AS currency,
@@ -209,10 +214,10 @@ SQL = {
         WHERE {kw("COALESCE(account_group, account_name)", reports.ASSET_GROUPS)} GROUP BY 1, 2, 3""",
     "depreciation_schedule": f"""SELECT ledger_id, {MTH} AS month, account_name AS asset,
         {r2(DRS)} AS depreciation_amount FROM gl WHERE {kw([ACCT, GRP, DESC], ['depreciation'])} GROUP BY 1, 2, 3""",
-    "vendor_payment_summary": f"""SELECT ledger_id, {VENDOR} AS vendor, {MTH} AS month, COUNT(*) AS payments,
-        {r2(CRS)} AS total_paid FROM gl WHERE {HAS_DATE} GROUP BY 1, 2, 3""",
-    "customer_receipts_summary": f"""SELECT ledger_id, {CUSTOMER} AS customer, {MTH} AS month,
-        COUNT(*) AS receipts, {r2(DRS)} AS total_received FROM gl WHERE {HAS_DATE} GROUP BY 1, 2, 3""",
+    "vendor_payment_summary": f"""SELECT ledger_id, COALESCE({VENDOR}, 'Unknown') AS vendor, {MTH} AS month, COUNT(*) AS payments,
+        {r2(CRS)} AS total_paid FROM gl_parties WHERE {HAS_DATE} AND ({kw(VT, ['payment'])} OR {VENDOR} IS NOT NULL) GROUP BY 1, 2, 3""",
+    "customer_receipts_summary": f"""SELECT ledger_id, COALESCE({CUSTOMER}, 'Unknown') AS customer, {MTH} AS month,
+        COUNT(*) AS receipts, {r2(DRS)} AS total_received FROM gl_parties WHERE {HAS_DATE} AND ({kw(VT, ['receipt'])} OR {CUSTOMER} IS NOT NULL) GROUP BY 1, 2, 3""",
     "account_monthly_drill": f"""SELECT ledger_id, account_name, {MTH} AS month, {r2(DRS)} AS debits,
         {r2(CRS)} AS credits, {r2(f"{CRS} - {DRS}")} AS net FROM gl
         WHERE {HAS_DATE} AND account_name IS NOT NULL GROUP BY 1, 2, 3""",
@@ -224,12 +229,14 @@ SQL = {
 assert set(SQL) == set(reports.REPORTS), set(SQL) ^ set(reports.REPORTS)
 
 for _name in reports.REPORTS:
-    register(_name, lambda d, n=_name: reports.report(n, d.gl, d.as_of), SQL[_name])
+    register(_name, lambda d, n=_name: reports.report(n, d.gl, d.as_of, ordered=False, parties=d.parties), SQL[_name],
+             uses=("gl_parties",) if _name in reports.PARTY_REPORTS else ("gl",))
 
 register(
     "dashboard_cards",
-    lambda d: reports.dashboard_cards(d.gl, d.as_of),
+    lambda d: reports.dashboard_cards(d.gl, d.as_of, d.parties),
     "\nUNION ALL ".join(
         f"SELECT ledger_id, {i} AS position, '{title}' AS title, {label} AS label, {value} AS value FROM ({SQL[n]})"
         for i, (n, title, label, value) in enumerate(reports.PINNED)),
+    uses=("gl_parties",),
 )
