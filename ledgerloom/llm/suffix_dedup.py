@@ -24,7 +24,7 @@ buckets follows the bytes of the corpus, so no task grows with it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, order_id
+from .common import cut, give_back, order_id
 
 LENGTH = 50
 TRIGGER = 20
@@ -68,10 +68,25 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _release() -> None:
-    """Give back what a reused worker would hold on to between tasks."""
-    _powers.clear()
-    pa.default_memory_pool().release_unused()
+def _batches(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run`` over the batches of a task; what it held goes back once it has ended."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _powers.clear()
+        give_back()
+
+    return task
+
+
+def _group(run: Callable[[pa.Table], pa.Table]):
+    """``run`` on one bucket; what it held goes back once it has ended."""
+    def task(table: pa.Table) -> pa.Table:
+        out = run(table)
+        _powers.clear()
+        give_back()
+        return out
+
+    return task
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -146,9 +161,8 @@ def _pack(buckets: int):
                     rows, found, size = [], [], 0
         if rows:
             yield pack(rows, found)
-        _release()
 
-    return run
+    return _batches(run)
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -218,7 +232,7 @@ def _bring(buckets: int):
         if cells:
             yield pack(cells)
 
-    return run
+    return _batches(run)
 
 
 def _order(table: pa.Table) -> pa.Table:
@@ -246,7 +260,6 @@ def _order(table: pa.Table) -> pa.Table:
     dup[order] = doc[phrase][order] > doc[phrase][order][first][np.cumsum(first) - 1]
     hit = np.flatnonzero(dup)
     new = _firsts(phrase[hit], hit - np.arange(len(hit)))
-    _release()
     head, tail = hit[new], hit[np.append(np.flatnonzero(new)[1:] - 1, len(hit) - 1)] if len(hit) else hit
     return pa.table({"row": row[phrase[head]], "start": (start[phrase[head]] + within[head]).astype(np.int32),
                      "stop": (start[phrase[tail]] + within[tail] + LENGTH).astype(np.int32)})
@@ -262,11 +275,11 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     total = own.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     buckets = min(65_536, 1 + total // BUCKET_BYTES)
     found = cut(own.select("__row", "__doc", "raw").mapInArrow(_pack(buckets), PACKED).groupBy("bucket")
-                .applyInArrow(_meet, "row bigint, start int, stop int, trigger bigint, whole boolean"), "phrases")
+                .applyInArrow(_group(_meet), "row bigint, start int, stop int, trigger bigint, whole boolean"), "phrases")
     ask = (found.filter("NOT whole").groupBy(F.col("row").alias("__row"))
            .agg(F.collect_set(F.struct("trigger", "start", "stop")).alias("marks")))
     texts = own.join(ask, "__row").select("__row", "__doc", "raw", "marks")
-    inner = cut(texts.mapInArrow(_bring(FINER * buckets), BROUGHT).groupBy("bucket").applyInArrow(_order, "row bigint, start int, stop int"), "suffixes")
+    inner = cut(texts.mapInArrow(_bring(FINER * buckets), BROUGHT).groupBy("bucket").applyInArrow(_group(_order), "row bigint, start int, stop int"), "suffixes")
     return found.filter("whole").select("row", "start", "stop").union(inner)
 
 
