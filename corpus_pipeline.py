@@ -52,7 +52,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows of whole texts that travel to a worker at a time; results do not depend on it.
+BATCH_ROWS = 1_000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
