@@ -185,7 +185,7 @@ def acct_compare(gl: DataFrame, account: str, start: str, end: str) -> DataFrame
 def acct_top_entries(gl: DataFrame, account: str, start: str, end: str, k: int = 5) -> DataFrame:
     amount = F.greatest(DR(), CR())
     rows = _slice(gl, account, start, end).withColumn("amount", amount)
-    top = top_per(rows, [L], [F.col("amount").desc(), F.col("row_id")], min(20, max(1, k)))
+    top = top_per(rows, [L], [F.col("amount").desc(), F.col("row_id")], k)
     return top.select(L, "row_id", "transaction_date", "reference_number", "voucher_type",
                       F.col("amount").cast("double").alias("amount"), "description")
 
@@ -195,11 +195,10 @@ def acct_by_voucher(gl: DataFrame, account: str, start: str, end: str) -> DataFr
         F.count(F.lit(1)).alias("count"), _money(F.sum(DR()), "total_debit"), _money(F.sum(CR()), "total_credit"))
 
 
-def acct_find(gl: DataFrame, pattern: str, start: str, end: str, k: int = 20) -> DataFrame:
-    agg = gl.filter(F.lower("account_name").like(pattern.lower()) & in_period(start, end)).groupBy(
+def acct_find(gl: DataFrame, pattern: str, start: str, end: str) -> DataFrame:
+    return gl.filter(F.lower("account_name").like(pattern.lower()) & in_period(start, end)).groupBy(
         L, "account_name").agg(F.count(F.lit(1)).alias("entry_count"), _money(F.sum(DR()), "total_debit"),
                                _money(F.sum(CR()), "total_credit"))
-    return top_per(agg, [L], [F.col("account_name")], k)
 
 
 def claim_check(claims: DataFrame, results: DataFrame, on: list[str], tolerance: float = 0.005) -> DataFrame:

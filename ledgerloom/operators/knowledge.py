@@ -13,9 +13,9 @@ L = "ledger_id"
 
 
 def slug(c: Column) -> Column:
-    """lower case, runs of anything else to '-', no dash at either end, 60 characters."""
+    """lower case, runs of anything else to '-', no dash at either end; whole, so that long names keep their own keys."""
     s = F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")
-    s = F.substring(F.regexp_replace(s, "^-|-$", ""), 1, 60)
+    s = F.regexp_replace(s, "^-|-$", "")
     return F.when(s == "", "unknown").otherwise(s)
 
 
@@ -116,19 +116,15 @@ def knowledge_merge(answers: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
     return counted.join(lists, keys)
 
 
-RECURRING_TOP, RECURRING_MIN = 50, 2
+RECURRING_MIN = 2
 
 
-def recurring_patterns(items: DataFrame, k: int = RECURRING_TOP) -> DataFrame:
-    """Watch items per ledger, case-insensitively counted; most frequent, then latest, first ``k``.
-
-    ``items``: (ledger_id, item, seen_at).
-    """
+def recurring_patterns(items: DataFrame) -> DataFrame:
+    """Watch items per ledger, case-insensitively counted.  ``items``: (ledger_id, item, seen_at)."""
     key = F.lower(F.trim("item"))
     agg = items.filter(key != "").groupBy(L, key.alias("pattern")).agg(
         F.count(F.lit(1)).alias("count"), F.max("seen_at").alias("last_seen"))
-    top = top_per(agg, [L], [F.col("count").desc(), F.col("last_seen").desc(), F.col("pattern")], k)
-    return top.withColumn("surfaced", F.col("count") >= RECURRING_MIN)
+    return agg.withColumn("surfaced", F.col("count") >= RECURRING_MIN)
 
 
 def knowledge_stats(knowledge: DataFrame) -> DataFrame:

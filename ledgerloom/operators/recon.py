@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import CR, DR, keyword_any, low, top_per, total_if
+from ..functions.columns import CR, DR, keyword_any, low, total_if
 from .accounts import account_types, recon_bucket, with_account_type
 from .checks import P0, P1, with_period
 
@@ -214,25 +214,21 @@ def _failed(results: DataFrame, name: str) -> DataFrame:
     return results.filter((F.col("recon") == name) & (F.col("status") == "FAILED")).select(L)
 
 
-def _lines(rows: DataFrame, *extra: Column, order: list[Column], k: int = 50) -> DataFrame:
-    return top_per(rows, [L], order, k).select(
+def _lines(rows: DataFrame, *extra: Column) -> DataFrame:
+    return rows.select(
         L, "row_id", "reference_number", "transaction_date", "account_name",
         F.col("debit_amount").cast("double").alias("debit_amount"),
         F.col("credit_amount").cast("double").alias("credit_amount"), *extra)
 
 
-NEWEST = lambda: [F.col("transaction_date").desc_nulls_first(), F.col("row_id")]
-OLDEST = lambda: [F.col("transaction_date").asc_nulls_last(), F.col("row_id")]
-
-
 def unattributed_rows(name: str, gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
-    """Control-account rows with no vendor (``recon_ap``) or customer (``recon_ar``), newest 50 per failed ledger."""
+    """Control-account rows with no vendor (``recon_ap``) or customer (``recon_ar``) of each failed ledger."""
     t = BY_NAME[name]
     who = "vendor_name" if name == "recon_ap" else "customer_name"
     rows = bucket_rows(with_period(gl, start, end), overrides, t.bucket, t.fallback)
     bare = rows.filter(F.col("own") & (F.col("transaction_date") <= F.col(P1))
                        & (F.coalesce(who, F.lit("")) == "") & (F.coalesce("party_name", F.lit("")) == ""))
-    return _lines(bare.join(_failed(recon(name, gl, start, end, overrides), name), L, "left_semi"), order=NEWEST())
+    return _lines(bare.join(_failed(recon(name, gl, start, end, overrides), name), L, "left_semi"))
 
 
 def voucher_anti(gl: DataFrame, start: str, end: str) -> DataFrame:
@@ -253,25 +249,25 @@ def voucher_semi(gl: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def unbalanced_bank_rows(gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
-    """Legs of the bank vouchers whose bank legs do not net to zero, first 50 per failed ledger."""
+    """Legs of the bank vouchers whose bank legs do not net to zero, of each failed ledger."""
     v = bank_vouchers(with_period(gl, start, end), overrides)
     bad = v.filter(F.col("touches_bank") & F.col("reference_number").isNotNull() & (F.abs("bank_gap") > 0.01))
     rows = gl.join(bad.select(L, "reference_number"), [L, "reference_number"], "left_semi")
     rows = rows.join(_failed(recon_bank_internal(gl, start, end, overrides), "recon_bank_internal"), L, "left_semi")
-    return _lines(rows, order=[F.col("reference_number"), *OLDEST()])
+    return _lines(rows)
 
 
 def control_rows(name: str, gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
-    """Oldest 50 in-period rows of the control accounts of a failed ledger (bank, GST and stock templates)."""
+    """All in-period rows of the control accounts of a failed ledger (bank, GST and stock templates)."""
     t = BY_NAME[name]
     rows = bucket_rows(with_period(gl, start, end), overrides, t.bucket, t.fallback)
     rows = rows.filter(F.col("own") & _in_period())
     rows = rows.join(_failed(recon(name, gl, start, end, overrides), name), L, "left_semi")
-    return _lines(rows, (CR() - DR()).cast("double").alias("net"), order=OLDEST())
+    return _lines(rows, (CR() - DR()).cast("double").alias("net"))
 
 
 def party_outstanding(name: str, gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
-    """Largest 20 party balances on the control accounts of a failed ledger (AP / AR templates)."""
+    """All party balances on the control accounts of a failed ledger (AP / AR templates)."""
     t = BY_NAME[name]
     sign = 1 if name == "recon_tpl_ap" else -1
     who = F.coalesce("party_name", "vendor_name" if sign == 1 else "customer_name", "account_name")
@@ -279,5 +275,5 @@ def party_outstanding(name: str, gl: DataFrame, start: str, end: str, overrides:
     agg = rows.filter(F.col("own") & (F.col("transaction_date") <= F.col(P1))).groupBy(L, who.alias("party")).agg(
         (F.sum(DR() - CR()) * sign).alias("o")).filter(F.abs("o") > 0.01)
     agg = agg.join(_failed(recon(name, gl, start, end, overrides), name), L, "left_semi")
-    return top_per(agg, [L], [F.col("o").desc(), F.col("party")], 20).select(
+    return agg.select(
         L, "party", F.round("o", 2).cast("double").alias("outstanding"))

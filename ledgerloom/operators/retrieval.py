@@ -1,9 +1,8 @@
 """Retrieval over past questions and confirmed knowledge: token overlap and exact vector top-k.
 
-Every search is scoped to a ledger (as the application scopes it to a
-workspace), so the joins are equi-joins on (ledger, token) or ledger; the
-candidate side is a bounded newest-n list per ledger, which keeps the work
-linear in the number of questions asked.
+All past questions and all knowledge rows are searched.  Candidates come from
+equi-joins on (ledger, token); question similarity joins only the rarest tokens
+of each side (prefix filtering, exact), so common words bring no pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ aging outstanding overdue payable receivable vendor customer debtor creditor bal
 monthly quarterly annual weekly top highest lowest summary ledger baaki udhar jama mahine saal bikri
 """.split()
 FINANCE_BOOST = 0.05
-MIN_SIMILARITY, MIN_CONFIDENCE, MAX_AGE_DAYS, NEWEST, ENOUGH = 0.3, 0.7, 180, 200, 3
+MIN_SIMILARITY, MIN_CONFIDENCE, MAX_AGE_DAYS, ENOUGH = 0.3, 0.7, 180, 3
 
 
 def question_tokens(text: Column) -> Column:
@@ -59,47 +58,54 @@ def good_examples(log: DataFrame, as_of: str) -> DataFrame:
         & (F.col("feedback").isNull() | (F.col("feedback") != "thumbs_down")))
 
 
-def _scored(asked: DataFrame, examples: DataFrame, on: list[str]) -> DataFrame:
-    """Token-level equi-join, then one count per (question, example)."""
-    e = examples.select(*[c for c in on if c != "token"], F.col("query_id").alias("example_id"), "created_at",
-                        F.col(L).alias("example_ledger"), F.size("tokens").alias("en"), F.explode("tokens").alias("token"))
-    q = asked.select(L, "question_id", F.size("tokens").alias("qn"), F.explode("tokens").alias("token"))
-    pair = q.join(e.drop(L) if L not in on else e, on)
-    out = pair.groupBy(L, "question_id", "example_id", "example_ledger", "created_at").agg(
-        F.count(F.lit(1)).alias("shared"), F.count_if(F.col("token").isin(FINANCE_TERMS)).alias("finance"),
-        F.first("qn").alias("qn"), F.first("en").alias("en"))
-    sim = _similarity(F.col("shared"), F.col("finance"), F.col("qn"), F.col("en"))
-    return out.withColumn("similarity", F.round(sim, 6)).filter(sim > MIN_SIMILARITY)
+def _prefix(rows: DataFrame, rarity: DataFrame, keys: list[str]) -> DataFrame:
+    """The rarest tokens of each row, as many as a similar row must meet at least one of.
+
+    A row of n tokens needs more than 0.3 n / (1 + 0.05 n) shared ones: the
+    other side cannot be smaller than what is shared, and each shared token
+    adds at most 0.05.  Two rows that share m tokens meet within the first
+    n - m + 1 of either in any fixed order.
+    """
+    ranked = rows.select(*keys, F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(rarity, "token", "left").withColumn(
+        "pos", F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("seen", F.lit(0)), "token")))
+    # a hair below the bound, so that rounding can only add candidates
+    need = F.floor(F.lit(MIN_SIMILARITY) * F.col("n") / (1 + FINANCE_BOOST * F.col("n")) - 1e-9) + 1
+    return ranked.filter(F.col("pos") <= F.col("n") - need + 1).select(*keys, "token")
+
+
+def _scored(asked: DataFrame, examples: DataFrame, own: bool) -> DataFrame:
+    """Pairs above the least similarity, within the ledger (``own``) or with all other ledgers."""
+    rarity = examples.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("seen"))
+    e = _prefix(examples, rarity, ["query_id", L]).withColumnRenamed(L, "example_ledger")
+    q = _prefix(asked, rarity, ["question_id", L])
+    met = q.join(e, "token").filter(F.col("example_ledger") == F.col(L) if own else F.col("example_ledger") != F.col(L))
+    pairs = met.select("question_id", L, "query_id").distinct()
+    pairs = pairs.join(asked.select("question_id", L, F.col("tokens").alias("qt")), ["question_id", L]).join(
+        examples.select("query_id", "created_at", F.col("tokens").alias("et")), "query_id")
+    shared = F.array_intersect("qt", "et")
+    finance = F.size(F.filter(shared, lambda t: t.isin(FINANCE_TERMS)))
+    sim = _similarity(F.size(shared), finance, F.size("qt"), F.size("et"))
+    return pairs.withColumn("raw", sim).filter(F.col("raw") > MIN_SIMILARITY).select(
+        L, "question_id", F.col("query_id").alias("example_id"), "created_at", F.round("raw", 6).alias("similarity"))
 
 
 def similar_questions(asked: DataFrame, log: DataFrame, as_of: str, k: int = 5) -> DataFrame:
     """The ``k`` best examples for each asked question.
 
-    ``asked``: (ledger_id, question_id, question).  The ledger's own newest 200
-    examples come first; only when fewer than three of them are similar, the
-    newest 200 of all other ledgers follow.
+    ``asked``: (ledger_id, question_id, question).  All good examples of the own
+    ledger come first; only when fewer than three of them are similar, those of
+    all other ledgers follow.
     """
-    newest = [F.col("created_at").desc(), F.col("query_id").desc()]
-    own = top_per(good_examples(log, as_of), [L], newest, NEWEST).select(
+    examples = good_examples(log, as_of).select(
         L, "query_id", "created_at", question_tokens(F.col("question")).alias("tokens"))
     asked = asked.select(L, "question_id", question_tokens(F.col("question")).alias("tokens"))
-    near = _scored(asked, own, [L, "token"]).withColumn("path", F.lit(1))
+    near = _scored(asked, examples, own=True).withColumn("path", F.lit(1))
     enough = near.groupBy(L, "question_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= ENOUGH)
-    # The newest 200 rows of "all ledgers but mine" always lie among the newest 400 of the
-    # per-ledger lists, because at most 200 of those 400 are mine.  So 400 rows serve every ledger.
-    wide = own.orderBy(*newest).limit(2 * NEWEST)
-    # one window over these 400 rows, whatever the size of the log
-    ranked = wide.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*newest)))
-    mine = ranked.groupBy(L).agg(F.collect_list("pos").alias("own_pos"))
     rest = asked.join(enough, [L, "question_id"], "left_anti")
-    far = _scored(rest, ranked, ["token"]).join(ranked.select(F.col("query_id").alias("example_id"), "pos"), "example_id")
-    far = far.filter(F.col("example_ledger") != F.col(L)).join(mine, L, "left")
-    before_mine = F.coalesce(F.size(F.filter("own_pos", lambda p: p < F.col("pos"))), F.lit(0))
-    far = far.filter(F.col("pos") - before_mine <= NEWEST).withColumn("path", F.lit(2))
-    both = near.unionByName(far.select(near.columns))
+    far = _scored(rest, examples, own=False).withColumn("path", F.lit(2))
     order = [F.col("path"), F.col("similarity").desc(), F.col("created_at").desc(), F.col("example_id").desc()]
     w = Window.partitionBy(L, "question_id").orderBy(*order)
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
+    return near.unionByName(far).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
         L, "question_id", "example_id", "path", "rank", "similarity")
 
 
@@ -117,9 +123,10 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(queries: DataFrame, knowledge: DataFrame, k: int = 5, min_similarity: float = 0.5) -> DataFrame:
     """Exact nearest knowledge rows of the same ledger for each query vector; rejected rows never show.
 
-    ``queries``: (ledger_id, question_id, query_vector).  ``k`` is held to 1..50.
+    ``queries``: (ledger_id, question_id, query_vector).  ``k`` is at least 1.
     """
-    k = max(1, min(50, k))
+    if k < 1:
+        raise ValueError(f"k must be at least 1, not {k}")
     rows = knowledge.filter(F.col("embedding").isNotNull() & (F.col("verdict") != "REJECTED"))
     sim = rows.join(queries, L).select(
         L, "question_id", "answer_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("similarity"))
@@ -134,7 +141,7 @@ NOISE_WORDS = """
 the is at of on and a an to in for with by this that it be are was were or if but not do does did have has had you your
 we us our i my me amount balance total entry entries period close report data show tell get want need please help
 """.split()
-MIN_KNOWLEDGE_CONFIDENCE, CANDIDATES, FRESH_DAYS = 0.4, 200, 365
+MIN_KNOWLEDGE_CONFIDENCE, FRESH_DAYS = 0.4, 365
 
 
 def stem(w: Column) -> Column:
@@ -153,17 +160,15 @@ def keywords(text: Column) -> Column:
 
 
 def keyword_retrieval(prompts: DataFrame, knowledge: DataFrame, as_of: str, k: int = 5) -> DataFrame:
-    """Overlap x trust x freshness over each ledger's 200 best-established rows, top ``k`` per prompt.
+    """Overlap x trust x freshness over all usable rows of a ledger, top ``k`` per prompt.
 
     ``prompts``: (ledger_id, question_id, question).
     """
     usable = knowledge.filter((F.col("verdict") != "REJECTED") & (F.col("confidence") >= MIN_KNOWLEDGE_CONFIDENCE))
-    best = top_per(usable, [L], [F.col("reaffirmation_count").desc(), F.col("last_reaffirmed_at").desc(),
-                                 F.col("answer_id")], CANDIDATES)
     trust = F.col("confidence") * F.least(F.lit(2.0), 1 + F.log10("reaffirmation_count"))
     age = F.datediff(F.lit(as_of).cast("date"), "last_reaffirmed_at")
     fresh = F.when(age < FRESH_DAYS, 1.0).otherwise(F.greatest(F.lit(0.5), 1.0 - (age - FRESH_DAYS) / 730))
-    rows = best.select(L, "answer_id", (trust * fresh).alias("weight"),
+    rows = usable.select(L, "answer_id", (trust * fresh).alias("weight"),
                        F.explode(keywords(F.concat_ws(" ", "context", "answer"))).alias("word"))
     asked = prompts.select(L, "question_id", F.explode(keywords(F.col("question"))).alias("word"))
     hits = asked.join(rows, [L, "word"]).groupBy(L, "question_id", "answer_id").agg(
@@ -184,8 +189,8 @@ def knowledge_context(prompts: DataFrame, queries: DataFrame, knowledge: DataFra
 
 def query_log_page(log: DataFrame, limit: int, status: str | None = None, verdict: str | None = None,
                    ledger_id: int | None = None, date_from: str | None = None, date_to: str | None = None,
-                   cursor: int | None = None) -> DataFrame:
-    """Newest first; ``cursor`` is the last id already seen (keyset paging, no offset)."""
+                   cursor: tuple[str, int] | None = None) -> DataFrame:
+    """Newest first; ``cursor`` is (created_at, query_id) of the last row already seen (keyset paging, no offset)."""
     for column, value in (("status", status), ("verdict", verdict), (L, ledger_id)):
         if value is not None:
             log = log.filter(F.col(column) == value)
@@ -194,5 +199,6 @@ def query_log_page(log: DataFrame, limit: int, status: str | None = None, verdic
     if date_to is not None:
         log = log.filter(F.col("created_at") <= F.lit(date_to).cast("date"))
     if cursor is not None:
-        log = log.filter(F.col("query_id") < cursor)
+        day, last = F.lit(cursor[0]).cast("date"), cursor[1]
+        log = log.filter((F.col("created_at") < day) | ((F.col("created_at") == day) & (F.col("query_id") < last)))
     return log.orderBy(F.col("created_at").desc(), F.col("query_id").desc()).limit(limit)

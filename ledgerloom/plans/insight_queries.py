@@ -16,7 +16,7 @@ from ..sources import operational as ops
 from ..sources.trade_ledger import AS_OF, PERIOD
 from .check_queries import ISSUES
 from .registry import cte, register
-from .report_queries import AS, r2, topk
+from .report_queries import AS, r2
 
 _case = "CASE CAST(floor(doc_id / 25) AS INTEGER) " + " ".join(
     f"WHEN {i} THEN '{k}'" for i, k in enumerate(ops.KEYS)) + " ELSE 'manual:doc-' || doc_id END"
@@ -54,8 +54,8 @@ def issues(d):
 
 
 def slug(c: str) -> str:
-    return f"""COALESCE(NULLIF(substr(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'),
-      1, 60), ''), 'unknown')"""
+    return f"""COALESCE(NULLIF(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), ''),
+      'unknown')"""
 
 
 register("pattern_keys",
@@ -106,9 +106,8 @@ register("recurring_patterns", lambda d: K.recurring_patterns(
     d.table("events").select((F.col("user_id") % 25).cast("int").alias("ledger_id"),
                              F.concat(F.lit(" "), F.upper("event_type"), F.lit(" "), (F.col("user_id") % 97).cast("string")).alias("item"),
                              F.col("ts").cast("date").alias("seen_at"))),
-    topk("""SELECT CAST(user_id % 25 AS INTEGER) AS ledger_id, lower(event_type || ' ' || (user_id % 97)) AS pattern,
-    COUNT(*) AS count, MAX(CAST(ts AS DATE)) AS last_seen, COUNT(*) >= 2 AS surfaced FROM events GROUP BY 1, 2""",
-         "count DESC, last_seen DESC, pattern", 50), uses=())
+    """SELECT CAST(user_id % 25 AS INTEGER) AS ledger_id, lower(event_type || ' ' || (user_id % 97)) AS pattern,
+    COUNT(*) AS count, MAX(CAST(ts AS DATE)) AS last_seen, COUNT(*) >= 2 AS surfaced FROM events GROUP BY 1, 2""", uses=())
 _facets = " UNION ALL ".join(f"""SELECT '{f}' AS facet, {f} AS value, COUNT(*) AS rows, COUNT(embedding) AS with_embedding,
   ROUND(CAST(COUNT(embedding) AS DOUBLE) / COUNT(*), 4) AS coverage FROM kb GROUP BY 2""" for f in ("verdict", "source"))
 register("agg_group_count", lambda d: K.knowledge_stats(kb(d)), _facets, uses=("kb",))
@@ -234,8 +233,7 @@ register("similar_questions", lambda d: T.similar_questions(asked(d), qlog(d), A
     AND (row_count IS NULL OR row_count > 0) AND feedback IS NULL),
   q AS (SELECT ledger_id, query_id AS question_id, {qtok('question')} AS qt FROM qlog),
   cand AS (SELECT l.ledger_id AS scope, g.*, CASE WHEN l.ledger_id = g.ledger_id THEN 1 ELSE 2 END AS path
-    FROM (SELECT DISTINCT ledger_id FROM q) l, good g
-    QUALIFY ROW_NUMBER() OVER (PARTITION BY scope, path ORDER BY created_at DESC, query_id DESC) <= 200),
+    FROM (SELECT DISTINCT ledger_id FROM q) l, good g),
   s AS (SELECT q.ledger_id, question_id, cand.query_id AS example_id, cand.path, created_at, {SIM} AS raw
     FROM q JOIN cand ON q.ledger_id = cand.scope WHERE len(list_intersect(qt, et)) > 0),
   k AS (SELECT *, COUNT(*) FILTER (path = 1) OVER (PARTITION BY ledger_id, question_id) AS n1 FROM s WHERE raw > 0.3)
@@ -276,8 +274,7 @@ def kwords(c: str) -> str:
 cte("kwhits", f"""WITH rows AS (SELECT ledger_id, answer_id, confidence * LEAST(2.0, 1 + log10(reaffirmation_count))
     * CASE WHEN {AS} - last_reaffirmed_at < 365 THEN 1.0 ELSE GREATEST(0.5, 1.0 - CAST({AS} - last_reaffirmed_at - 365
       AS DOUBLE) / 730) END AS weight, unnest({kwords("context || ' ' || answer")}) AS word
-    FROM (SELECT * FROM kb WHERE verdict <> 'REJECTED' AND confidence >= 0.4 QUALIFY ROW_NUMBER() OVER (PARTITION BY ledger_id
-      ORDER BY reaffirmation_count DESC, last_reaffirmed_at DESC, answer_id) <= 200)),
+    FROM kb WHERE verdict <> 'REJECTED' AND confidence >= 0.4),
   q AS (SELECT ledger_id, query_id AS question_id, unnest({kwords('question')}) AS word FROM qlog)
   SELECT q.ledger_id, question_id, answer_id, ROUND(COUNT(*) * MAX(weight), 6) AS score FROM q JOIN rows
   ON q.ledger_id = rows.ledger_id AND q.word = rows.word GROUP BY 1, 2, 3""", uses=("kb", "qlog"))
@@ -301,11 +298,12 @@ register("knowledge_context", lambda d: T.knowledge_context(asked(d), _prompt_ve
   vm AS (SELECT * FROM (SELECT * FROM vs {KTOP}) WHERE score >= 0.55)
   SELECT ledger_id, question_id, answer_id, 'vector' AS retrieval, score FROM vm
   UNION ALL SELECT ledger_id, question_id, answer_id, 'keyword' AS retrieval, score FROM (SELECT * FROM kwhits
-    WHERE (ledger_id, question_id) NOT IN (SELECT (ledger_id, question_id) FROM vm) {KTOP})""", uses=("kwhits",))
-register("query_log_page", lambda d: T.query_log_page(qlog(d), 50, status="COMPLETED", date_from="2001-01-01", cursor=50000)
+    WHERE NOT EXISTS (SELECT 1 FROM vm WHERE vm.ledger_id = kwhits.ledger_id AND vm.question_id = kwhits.question_id) {KTOP})""",
+         uses=("kwhits",))
+register("query_log_page", lambda d: T.query_log_page(qlog(d), 50, status="COMPLETED", date_from="2001-01-01", cursor=("2001-06-01", 50000))
          .select("query_id", "ledger_id", "confidence", "created_at"),
          """SELECT query_id, ledger_id, confidence, created_at FROM qlog WHERE status = 'COMPLETED'
-         AND created_at >= DATE '2001-01-01' AND query_id < 50000 ORDER BY created_at DESC, query_id DESC LIMIT 50""", uses=("qlog",))
+         AND created_at >= DATE '2001-01-01' AND (created_at < DATE '2001-06-01' OR (created_at = DATE '2001-06-01' AND query_id < 50000)) ORDER BY created_at DESC, query_id DESC LIMIT 50""", uses=("qlog",))
 
 # --- pulse ---------------------------------------------------------------------------
 

@@ -98,7 +98,6 @@ register("recon_run", lambda d: R.recon_run(d.gl, *d.period, d.overrides), "SELE
 
 LINE = (f"ledger_id, row_id, reference_number, transaction_date, account_name, "
         f"CAST(debit_amount AS DOUBLE) AS debit_amount, CAST(credit_amount AS DOUBLE) AS credit_amount")
-NEW, OLD = "transaction_date DESC NULLS FIRST, row_id", "transaction_date NULLS LAST, row_id"
 
 
 def failed(name: str) -> str:
@@ -107,27 +106,25 @@ def failed(name: str) -> str:
 
 for _n, _who, _b in (("recon_ap", "vendor_name", "payable"), ("recon_ar", "customer_name", "receivable")):
     register(f"{_n}_detail", lambda d, n=_n: R.unattributed_rows(n, d.gl, *d.period, d.overrides),
-             topk(f"""SELECT {LINE} FROM {own(_b, _b)} WHERE own AND {UPTO} AND COALESCE({_who}, '') = ''
-             AND COALESCE(party_name, '') = '' AND {failed(_n)}""", NEW, 50), uses=TYPED)
+             f"""SELECT {LINE} FROM {own(_b, _b)} WHERE own AND {UPTO} AND COALESCE({_who}, '') = ''
+             AND COALESCE(party_name, '') = '' AND {failed(_n)}""", uses=TYPED)
 for _n, _b, _f in (("recon_tpl_bank", "bank", "bank"), ("recon_tpl_gst", "tax", "gst")):
     register(f"{_n}_detail", lambda d, n=_n: R.control_rows(n, d.gl, *d.period, d.overrides),
-             topk(f"SELECT {LINE}, CAST(-{NET} AS DOUBLE) AS net FROM {own(_b, _f)} WHERE own AND {IN_P} AND {failed(_n)}",
-                  OLD, 50), uses=TYPED)
+             f"SELECT {LINE}, CAST(-{NET} AS DOUBLE) AS net FROM {own(_b, _f)} WHERE own AND {IN_P} AND {failed(_n)}", uses=TYPED)
 for _n, _b, _w, _s in (("recon_tpl_ap", "payable", "vendor_name", ""), ("recon_tpl_ar", "receivable", "customer_name", "-")):
     register(f"{_n}_detail", lambda d, n=_n: R.party_outstanding(n, d.gl, *d.period, d.overrides),
-             topk(f"""SELECT ledger_id, COALESCE(party_name, {_w}, account_name) AS party,
+             f"""SELECT ledger_id, COALESCE(party_name, {_w}, account_name) AS party,
              {r2(f'{_s}SUM{NET}')} AS outstanding FROM {own(_b, _b)} WHERE own AND {UPTO} AND {failed(_n)}
-             GROUP BY 1, 2 HAVING ABS(SUM{NET}) > 0.01""", "outstanding DESC, party", 20), uses=TYPED)
+             GROUP BY 1, 2 HAVING ABS(SUM{NET}) > 0.01""", uses=TYPED)
 register("recon_bank_internal_detail", lambda d: R.unbalanced_bank_rows(d.gl, *d.period, d.overrides),
-         topk(f"""SELECT {LINE} FROM gl WHERE (ledger_id, reference_number) IN (SELECT (ledger_id, reference_number)
+         f"""SELECT {LINE} FROM gl WHERE (ledger_id, reference_number) IN (SELECT (ledger_id, reference_number)
          FROM {own('bank', 'bank')} WHERE own AND {IN_P} AND reference_number IS NOT NULL
-         GROUP BY ledger_id, reference_number HAVING ABS(SUM{NET}) > 0.01) AND {failed('recon_bank_internal')}""",
-              "reference_number, " + OLD, 50), uses=TYPED)
+         GROUP BY ledger_id, reference_number HAVING ABS(SUM{NET}) > 0.01) AND {failed('recon_bank_internal')}""", uses=TYPED)
 register("voucher_anti",
          lambda d: R.voucher_anti(d.gl, *d.period).select("ledger_id", "row_id", "reference_number"),
-         f"""SELECT ledger_id, row_id, reference_number FROM gl WHERE {IN_P} AND {SALES_IN}
-         AND (ledger_id, reference_number) NOT IN (SELECT (ledger_id, reference_number) FROM gl
-           WHERE {ACCT} LIKE '%gst%' AND reference_number IS NOT NULL) AND reference_number IS NOT NULL""")
+         f"""SELECT ledger_id, row_id, reference_number FROM gl s WHERE {IN_P} AND {SALES_IN} AND reference_number IS NOT NULL
+         AND NOT EXISTS (SELECT 1 FROM gl t WHERE t.ledger_id = s.ledger_id AND t.reference_number = s.reference_number
+           AND lower(coalesce(t.account_name, '')) LIKE '%gst%')""")
 register("voucher_semi",
          lambda d: R.voucher_semi(d.gl, *d.period).groupBy("ledger_id", "account_name").agg(
              F.count(F.lit(1)).alias("legs"), F.round(F.sum("net_amount"), 2).cast("double").alias("net")),
@@ -225,9 +222,9 @@ register("acct_by_voucher", lambda d: X.acct_by_voucher(d.gl, ACC, *d.period),
          f"""SELECT ledger_id, voucher_type, COUNT(*) AS count, {r2('SUM(debit_amount)')} AS total_debit,
          {r2('SUM(credit_amount)')} AS total_credit {ROWS} GROUP BY 1, 2""")
 register("acct_find", lambda d: X.acct_find(d.gl, "%GST%", *d.period),
-         topk(f"""SELECT ledger_id, account_name, COUNT(*) AS entry_count, {r2('SUM(debit_amount)')} AS total_debit,
+         f"""SELECT ledger_id, account_name, COUNT(*) AS entry_count, {r2('SUM(debit_amount)')} AS total_debit,
          {r2('SUM(credit_amount)')} AS total_credit FROM gl WHERE lower(account_name) LIKE '%gst%' AND {IN_P}
-         GROUP BY 1, 2""", "account_name", 20))
+         GROUP BY 1, 2""")
 
 
 def _claims(d):

@@ -281,3 +281,38 @@ def test_digest_is_idempotent(spark, tmp_path):
 def test_ascii_edges_ignore_accents():
     import re
     assert re.search(M.ascii_edges(r"\b1234\b"), "é1234", re.ASCII)
+
+
+def test_party_column_is_chosen_per_ledger(spark):
+    from ledgerloom.operators.reports import report
+
+    gl = ledger(spark, [
+        (1, "a", D(2024, 5, 1), "Sundry Debtors", 100, 0, "Acme"), (1, "a", D(2024, 5, 1), "Sales", 0, 100),
+        (2, "b", D(2024, 5, 1), "Sundry Debtors", 70, 0)])
+    got = {(r.ledger_id, r.customer) for r in report("customer_ledger", gl, "2024-06-30").collect()}
+    assert got == {(1, "Acme"), (2, "Sundry Debtors")}
+    aged = {(r.ledger_id, r.customer): r.total_outstanding for r in report("overdue_debtors_30_60_90", gl, "2024-06-30").collect()}
+    assert aged == {(1, "Acme"): 100.0, (2, "Sundry Debtors"): 70.0}
+
+
+def test_tds_summary_takes_the_filled_side(spark):
+    from ledgerloom.operators.reports import report
+
+    gl = ledger(spark, [(1, "a", D(2024, 5, 1), "TDS Payable", 0, 25, "Acme"), (1, "b", D(2024, 5, 2), "TDS Payable", 5, 0, "Acme")])
+    assert [r.tds_amount for r in report("tds_summary", gl, "2024-06-30").collect()] == [30.0]
+
+
+def test_pages_of_the_query_log_are_the_whole_log(spark):
+    log = spark.createDataFrame([(i, 1, "COMPLETED", D(2024, 1, 1 + (i * 7) % 5)) for i in range(23)],
+                                "query_id long, ledger_id int, status string, created_at date")
+    seen, cursor = [], None
+    while page := retrieval.query_log_page(log, 4, cursor=cursor).collect():
+        seen += [(r.created_at, r.query_id) for r in page]
+        cursor = (str(page[-1].created_at), page[-1].query_id)
+    assert seen == sorted(((r.created_at, r.query_id) for r in log.collect()), reverse=True)
+
+
+def test_long_names_keep_their_own_keys(spark):
+    names = ["Account " * 12 + tail for tail in ("north", "south")]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select(K.manual_key(F.col("n")).alias("k")).collect()
+    assert len({r.k for r in rows}) == 2
