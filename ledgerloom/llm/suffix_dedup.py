@@ -29,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, order_id
@@ -283,23 +283,41 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return found.filter("whole").select("row", "start", "stop").union(inner)
 
 
-def _remove(texts: pa.Array, lists: pa.Array) -> pa.Array:
-    kept, removed, runs = [], [], []
+def _cells(texts: pa.Array, lists: pa.Array) -> Iterator[tuple[bytes, int, int]]:
+    """What remains of each text, its removed bytes and its removed runs."""
     for raw, cells in zip(texts, lists, strict=True):
         data = raw.as_buffer().to_pybytes() if raw.is_valid else b""
         if not cells.is_valid or not len(cells):
-            kept.append(data), removed.append(0), runs.append(0)
+            yield data, 0, 0
             continue
         packed = np.sort(cells.values.to_numpy())
         start, stop = packed >> 32, np.maximum.accumulate(packed & 0xFFFFFFFF)
         new = np.append(True, start[1:] > stop[:-1])
         begin, end = start[new], stop[np.append(np.flatnonzero(new)[1:] - 1, len(stop) - 1)]
-        kept.append(b"".join(data[a:b] for a, b in zip(np.append(0, end), np.append(begin, len(data)))))
-        removed.append(int((end - begin).sum())), runs.append(len(begin))
+        yield b"".join(data[a:b] for a, b in zip(np.append(0, end), np.append(begin, len(data)))), int((end - begin).sum()), len(begin)
+
+
+def _remove(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    kept, removed, runs = ([*x] for x in zip(*_cells(texts, lists))) if len(texts) else ([], [], [])
     return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())],
                                       names=["kept", "n_removed", "n_spans"])
 
 
+def _remaining(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    return pa.array([kept.decode("utf-8", "ignore") for kept, _, _ in _cells(texts, lists)], pa.string())
+
+
+def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with ``__spans``: the packed spans to remove of each row, none where nothing repeats."""
+    marks = spans(docs, doc_id, text).groupBy(F.col("row").alias("__row")).agg(
+        F.collect_set(F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))).alias("__spans"))
+    return _keyed(docs, doc_id, text).join(marks, "__row", "left")
+
+
+def _raw(text: str) -> Column:
+    return F.coalesce(F.col(text), F.lit("")).cast("binary")
+
+
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``.
 
@@ -308,16 +326,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows of one id do not judge each other, and repeated rows come out alike.  An empty table stays empty.
     """
     plain = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
-    marks = spans(docs, doc_id, text).groupBy(F.col("row").alias("__row")).agg(
-        F.collect_set(F.shiftleft(F.col("start").cast("long"), 32).bitwiseOR(F.col("stop").cast("long"))).alias("__spans"))
     run = F.arrow_udf(_remove, "kept binary, n_removed bigint, n_spans bigint")
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    out = _keyed(docs.select(*plain), doc_id, text).join(marks, "__row", "left").withColumn("__out", run(raw, F.col("__spans")))
-    return out.select(*plain, "__out.kept", F.octet_length(raw).cast("long").alias("n_bytes"), "__out.n_removed", "__out.n_spans")
+    out = _marked(docs.select(*plain), doc_id, text).withColumn("__out", run(_raw(text), F.col("__spans")))
+    return out.select(*plain, "__out.kept", F.octet_length(_raw(text)).cast("long").alias("n_bytes"), "__out.n_removed", "__out.n_spans")
 
 
 def rewrite(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the remaining text; a character that a cut has halved is dropped with it.  Missing texts become empty."""
-    columns = docs.columns
-    run = F.arrow_udf(lambda raw: pa.array([x.as_py().decode("utf-8", "ignore") for x in raw], pa.string()), "string")
-    return dedup(docs, doc_id, text).withColumn(text, run(F.col("kept"))).select(*columns)
+    run = F.arrow_udf(_remaining, "string")
+    return _marked(docs, doc_id, text).withColumn(text, run(_raw(text), F.col("__spans"))).select(*docs.columns)
