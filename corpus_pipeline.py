@@ -36,9 +36,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether they decode to the text they came from."""
-    coded = docs.select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"), forced_bpe.encode("text", BPE_FILE).alias("ids"))
-    return coded.withColumn("decoded", forced_bpe.decode("ids", BPE_FILE)).select(
-        "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    coded = docs.select("doc_id", "source", forced_bpe.round_trip("text", BPE_FILE).alias("coded"))
+    return coded.select("doc_id", "source", "coded.ids", F.size("coded.ids").cast("long").alias("n_tokens"),
+                        F.col("coded.same").alias("round_trip"))
 
 
 STAGES = [

@@ -122,3 +122,21 @@ def decode(ids: str | Column, path: str) -> Column:
                          for x in column], pa.string())
 
     return F.arrow_udf(run, T.StringType())(F.col(ids) if isinstance(ids, str) else ids)
+
+
+def round_trip(text: str | Column, path: str) -> Column:
+    """``ids`` of a text column and whether they decode to it (``same``), in one pass; a missing text counts as empty."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        own, parts, ends, same = tokenizer(path), [], [0], []
+        for x in texts:
+            whole = x.as_py() or ""
+            ids = own.encode(whole)
+            parts.append(ids)
+            ends.append(ends[-1] + len(ids) // 4)
+            same.append(own.decode(np.frombuffer(ids, dtype="<i4")) == whole)
+        values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_())], names=["ids", "same"])
+
+    return F.arrow_udf(run, "ids array<int>, same boolean")(F.col(text) if isinstance(text, str) else text)
