@@ -196,10 +196,12 @@ def corpus_tokens(entities: DataFrame, keys: list[str]) -> DataFrame:
 
 def mask_audit(log: DataFrame, limit: int = 50) -> DataFrame:
     """The newest calls of each ledger with the masked items in total; unreadable JSON counts as none."""
+    if limit < 1:
+        raise ValueError("limit must be 1 or more")
     parsed = F.from_json("masked_json", "array<struct<category:string,count:int>>")
     total = F.aggregate(F.coalesce(parsed, F.array().cast("array<struct<category:string,count:int>>")), F.lit(0),
                         lambda acc, m: acc + F.coalesce(m["count"], F.lit(0)))
-    newest = top_per(log, ["ledger_id"], [F.col("created_at").desc(), F.col("call_id").desc()], max(1, min(200, limit)))
+    newest = top_per(log, ["ledger_id"], [F.col("created_at").desc(), F.col("call_id").desc()], limit)
     return newest.select("ledger_id", "call_id", "model", total.alias("masked_total"))
 
 

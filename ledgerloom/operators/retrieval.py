@@ -14,17 +14,21 @@ from ..functions.columns import top_per
 L = "ledger_id"
 
 # fixed values: words left out of question similarity
-STOP_WORDS = """
-a an the is are was were be been being have has had do does did will would could should may might shall can need dare
-ought in on at to for of with by from up about into through during before after above below between out off over under
-again further and but or nor so yet both either neither not only own same than too very just me my show give get list
-tell find all its ka ki ke ko se me hai hain tha the kya yeh woh aur ya jo jab tab
-""".split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "shall", "can", "need", "dare", "ought", "in", "on", "at",
+    "to", "for", "of", "with", "by", "from", "up", "about", "into", "through", "during", "before", "after", "above",
+    "below", "between", "out", "off", "over", "under", "again", "further", "and", "but", "or", "nor", "so", "yet",
+    "both", "either", "neither", "not", "only", "own", "same", "than", "too", "very", "just", "me", "my", "show",
+    "give", "get", "list", "tell", "find", "all", "its", "ka", "ki", "ke", "ko", "se", "me", "hai", "hain", "tha",
+    "the", "kya", "yeh", "woh", "aur", "ya", "jo", "jab", "tab",
+]
 # fixed values: discriminative finance terms
-FINANCE_TERMS = """
-aging outstanding overdue payable receivable vendor customer debtor creditor balance revenue expense salary gst tds
-monthly quarterly annual weekly top highest lowest summary ledger baaki udhar jama mahine saal bikri
-""".split()
+FINANCE_TERMS = [
+    "aging", "outstanding", "overdue", "payable", "receivable", "vendor", "customer", "debtor", "creditor", "balance",
+    "revenue", "expense", "salary", "gst", "tds", "monthly", "quarterly", "annual", "weekly", "top", "highest",
+    "lowest", "summary", "ledger", "baaki", "udhar", "jama", "mahine", "saal", "bikri",
+]
 FINANCE_BOOST = 0.05
 MIN_SIMILARITY, MIN_CONFIDENCE, MAX_AGE_DAYS, ENOUGH = 0.3, 0.7, 180, 3
 
@@ -137,10 +141,12 @@ def vector_topk(queries: DataFrame, knowledge: DataFrame, k: int = 5, min_simila
 # --- keywords ----------------------------------------------------------------------
 
 # fixed values: words left out of knowledge search
-NOISE_WORDS = """
-the is at of on and a an to in for with by this that it be are was were or if but not do does did have has had you your
-we us our i my me amount balance total entry entries period close report data show tell get want need please help
-""".split()
+NOISE_WORDS = [
+    "the", "is", "at", "of", "on", "and", "a", "an", "to", "in", "for", "with", "by", "this", "that", "it", "be",
+    "are", "was", "were", "or", "if", "but", "not", "do", "does", "did", "have", "has", "had", "you", "your", "we",
+    "us", "our", "i", "my", "me", "amount", "balance", "total", "entry", "entries", "period", "close", "report",
+    "data", "show", "tell", "get", "want", "need", "please", "help",
+]
 MIN_KNOWLEDGE_CONFIDENCE, FRESH_DAYS = 0.4, 365
 
 

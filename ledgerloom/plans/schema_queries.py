@@ -196,10 +196,10 @@ register("apply_exclusions", lambda d: S.apply_exclusions(d.gl_all, _toggles(d))
     F.count(F.lit(1)).alias("rows")),
     """SELECT ledger_id, CASE WHEN voucher_type = 'Sales' THEN NOT excluded ELSE excluded END AS excluded, COUNT(*) AS rows
     FROM gl_all GROUP BY 1, 2""", uses=("gl_all",))
-register("gl_search", lambda d: S.gl_search(d.gl_all, "bank", *PERIOD, voucher_type="payment", limit=500).select(
+register("gl_search", lambda d: S.gl_search(d.gl_all, "bank", *PERIOD, voucher_type="payment").select(
     "ledger_id", "row_id"), f"""SELECT ledger_id, row_id FROM gl_all WHERE transaction_date BETWEEN {P0} AND {P1}
     AND lower(voucher_type) = 'payment' AND {kw(['party_name', 'vendor_name', 'customer_name', 'account_name', 'reference_number',
-    'description'], ['bank'])} ORDER BY 1, 2 LIMIT 500""", uses=("gl_all",))
+    'description'], ['bank'])}""", uses=("gl_all",))
 
 # --- filters, columns, joins, aggregates, windows ------------------------------------
 

@@ -305,7 +305,7 @@ GAP26 = {
     "gl26q_003": gap("GL26Q-003", "CASE WHEN ABS(gl - deducted) > 5000 THEN 'critical' ELSE 'review' END", "name",
                      "NULLIF(pan, '')", "gl", "deducted", "ABS(gl - deducted)", "per_name WHERE ABS(gl - deducted) > 1"),
     "gl26q_004": gap("GL26Q-004", "'info'", "party", "reference_number", "eff", "NULL", "eff",
-                     """tds_gl WHERE party <> '' AND (ledger_id, party) NOT IN (SELECT (ledger_id, right_name) FROM pairs)"""),
+                     """tds_gl WHERE party <> '' AND NOT EXISTS (SELECT 1 FROM pairs WHERE pairs.ledger_id = tds_gl.ledger_id AND pairs.right_name = tds_gl.party)"""),
     "gl26q_005": gap("GL26Q-005", "CASE WHEN x > 5000 THEN 'critical' ELSE 'review' END", "NULL", "NULL", "NULL", "x", "x",
                      "(SELECT ledger_id, SUM(tds_deducted) - SUM(tds_deposited) AS x FROM form GROUP BY 1) WHERE x > 1"),
 }
@@ -330,9 +330,9 @@ GAPG1 = {
     "gl_gstr1_001": gap("G1GL-001", "CASE WHEN ABS(g - d) > 50000 THEN 'critical' ELSE 'review' END", "NULL", "NULL", "g", "d",
                         "ABS(g - d)", f"{TG1} WHERE ABS(g - d) > 100"),
     "gl_gstr1_002": gap("G1GL-002", "'review'", "COALESCE(customer_name, party_name)", "ref", "eff", "NULL", "eff",
-                        "sales_gl WHERE ref <> '' AND (ledger_id, ref) NOT IN (SELECT (ledger_id, ref) FROM inv)"),
+                        "sales_gl WHERE ref <> '' AND NOT EXISTS (SELECT 1 FROM inv WHERE inv.ledger_id = sales_gl.ledger_id AND inv.ref = sales_gl.ref)"),
     "gl_gstr1_003": gap("G1GL-003", "'review'", "NULLIF(receiver, '')", "ref", "NULL", "taxable", "taxable",
-                        "inv WHERE (ledger_id, ref) NOT IN (SELECT (ledger_id, ref) FROM sales_gl WHERE ref <> '')"),
+                        "inv WHERE NOT EXISTS (SELECT 1 FROM sales_gl WHERE sales_gl.ledger_id = inv.ledger_id AND sales_gl.ref = inv.ref AND sales_gl.ref <> '')"),
     "gl_gstr1_004": gap("G1GL-004", "'review'", "NULL", "NULL", "NULL", "a", "b",
                         f"(SELECT ledger_id, SUM(taxable_value) AS a, SUM{TAX} AS b FROM g1 WHERE {MIX} GROUP BY 1)"),
     "gl_gstr1_005": gap("G1GL-005", "'info'", "NULL", "NULL", "NULL", "a", "0",

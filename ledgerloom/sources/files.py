@@ -31,7 +31,7 @@ def src_delimited(spark: SparkSession, path: str) -> DataFrame:
 def parse_number(c: Column) -> Column:
     """Currency signs, commas and spaces dropped, then the number the text starts with; NULL when there is none."""
     clean = F.regexp_replace(c, r"[₹$€£,\s]", "")
-    return F.regexp_extract(clean, r"^[+-]?\d*\.?\d+", 0).try_cast(MONEY)
+    return F.regexp_extract(clean, r"^[+-]?\d*\.?\d+(?:[eE][+-]?\d+)?", 0).try_cast(MONEY)
 
 
 def parse_day(c: Column) -> Column:
