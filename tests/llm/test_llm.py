@@ -169,6 +169,9 @@ def test_bpe(docs, none):
         assert np.frombuffer(own.encode(text), "<i4").tolist() == library.encode(text, add_special_tokens=False).ids
         assert b"".join(own.fragments(text.encode())) == text.encode()
     assert none.select(forced_bpe.encode("text", BPE)).count() == 0
+    for r in docs.select("text", forced_bpe.encode("text", BPE).alias("ids"), forced_bpe.round_trip("text", BPE).alias("coded")).collect():
+        assert r.coded.ids == r.ids and r.coded.same
+    assert none.select(forced_bpe.round_trip("text", BPE)).count() == 0
 
 
 def test_mixing(docs, none):
