@@ -316,3 +316,27 @@ def test_long_names_keep_their_own_keys(spark):
     names = ["Account " * 12 + tail for tail in ("north", "south")]
     rows = spark.createDataFrame([(n,) for n in names], "n string").select(K.manual_key(F.col("n")).alias("k")).collect()
     assert len({r.k for r in rows}) == 2
+
+
+def test_edits_at_one_instant_are_decided(spark):
+    gl = ledger(spark, [(1, "V1", D(2024, 4, 2), "Rent", 10, 0), (1, "V1", D(2024, 4, 2), "Bank", 0, 10)])
+    edits = spark.createDataFrame([(1, "r0", "description", "b", 5), (1, "r0", "description", "a", 5), (1, "r0", "description", "z", 4)],
+                                  "ledger_id int, row_id string, field string, value string, edited_at int")
+    for order in (edits.orderBy("value"), edits.orderBy(F.desc("value"))):
+        got = {r.row_id: r.description for r in schema_intel.apply_corrections(gl, order).collect()}
+        assert got["r0"] == "b"
+    toggles = spark.createDataFrame([(1, "r1", False, 5), (1, "r1", True, 5), (1, "r0", True, 4), (1, "r0", False, 5)],
+                                    "ledger_id int, row_id string, exclude boolean, edited_at int")
+    got = {r.row_id: r.excluded for r in schema_intel.apply_exclusions(gl, toggles).collect()}
+    assert got == {"r0": False, "r1": True}
+
+
+def test_numbers_with_an_exponent(spark):
+    df = spark.createDataFrame([("1.2e3",), ("₹ 1,500.50",), ("7 e",), ("x",)], "s string")
+    assert [None if r.n is None else float(r.n) for r in df.select(files.parse_number(F.col("s")).alias("n")).collect()] == [1200.0, 1500.5, 7.0, None]
+
+
+def test_mask_audit_refuses_no_rows(spark):
+    log = spark.createDataFrame([], "ledger_id int, call_id int, model string, masked_json string, created_at date")
+    with pytest.raises(ValueError):
+        P.mask_audit(log, 0)
