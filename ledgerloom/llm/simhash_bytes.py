@@ -97,29 +97,30 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id, row_hash, fp, group``: rows with the smallest fingerprint their own one links to.  Ids play no part in it."""
+    rows = cut(docs.select(order_id(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("row_hash"),
+                           fingerprint(text).alias("fp")), "simhash")
+    prints = cut(rows.select("fp").distinct(), "prints")
+    found = components(links(prints)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    return cut(rows.join(found, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "groups")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, row_hash, fp, component_id``: one row per document row.
 
-    Fingerprints link at three or fewer differing bits; ``component_id`` is the smallest doc_id reachable.
-    A missing or blank text has fingerprint 0 and links like any other; a missing doc_id comes last and names a
-    component only where no document has an id.  Repeated rows share a component.  An empty table gives none.
+    Fingerprints link at three or fewer differing bits; ``component_id`` is the smallest doc_id reachable by these links alone: rows
+    that share an id, or have none, are not linked by it.  A missing or blank text has fingerprint 0 and links like any other; a
+    missing doc_id comes last and names a component only where no document has an id.  An empty table gives none.
     """
-    rows = cut(docs.select(order_id(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("row_hash"),
-                           fingerprint(text).alias("fp")), "simhash")
-    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("rep")), "prints")
-    pairs = links(prints)
-    ends = [prints.select(F.col("fp").alias(k), F.col("rep").alias(f"{k}_rep")) for k in ("a", "b")]
-    found = components(pairs.join(ends[0], "a").join(ends[1], "b"), "a_rep", "b_rep")
-    named = prints.join(found, prints["rep"] == found["node"], "left").select(
-        "fp", F.coalesce("component", "rep").alias("component"))
-    return rows.join(named, "fp").select(real_id("id").alias("doc_id"), "row_hash", "fp",
-                                         real_id("component").alias("component_id"))
+    rows = _grouped(docs, doc_id, text)
+    least = rows.groupBy("group").agg(F.min("id").alias("component"))
+    return rows.join(least, "group").select(real_id("id").alias("doc_id"), "row_hash", "fp", real_id("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest doc_id; of repeated rows, one."""
-    stay = (classes(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(order_id("doc_id").alias("__id"), F.col("row_hash").alias("__hash"), "component_id"))
-    stay = stay.groupBy("component_id").agg(F.min("__hash").alias("__hash"), F.min("__id").alias("__id")).drop("component_id")
+    """``docs`` with one document of each group of linked fingerprints: the one of smallest doc_id; of repeated rows, one."""
+    stay = _grouped(docs, doc_id, text).groupBy("group").agg(F.min(F.struct("id", "row_hash")).alias("least"))
+    stay = stay.select(F.col("least.id").alias("__id"), F.col("least.row_hash").alias("__hash"))
     keyed = docs.withColumns({"__id": order_id(doc_id), "__hash": F.xxhash64(F.col(text))})
     return keyed.join(stay, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)

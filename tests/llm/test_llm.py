@@ -158,6 +158,15 @@ def test_simhash(docs, none, monkeypatch):
     assert simhash_bytes.classes(none).count() == 0
 
 
+def test_simhash_ids_do_not_link(spark):
+    other = " ".join(f"river{i} stone" for i in range(60))
+    rows = spark.createDataFrame([(None, BASE), (None, other), (7, BASE), (8, LONG), (8, other[::-1])], "doc_id bigint, text string")
+    got = {r.row_hash: r.component_id for r in simhash_bytes.classes(rows).collect()}
+    assert [got[r.h] for r in rows.select(F.xxhash64("text").alias("h")).collect()] == [7, None, 7, 8, 8]
+    kept = {(r.doc_id, r.text) for r in simhash_bytes.keep_one(rows).collect()}
+    assert kept == {(7, BASE), (None, other), (8, LONG), (8, other[::-1])}
+
+
 def test_bpe(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(BPE)
