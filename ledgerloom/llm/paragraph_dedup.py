@@ -1,7 +1,8 @@
 """Repeated paragraphs: MinHash banding, exact Jaccard, components.
 
-A paragraph is a line of at least ``SHINGLE`` words.  Equal paragraphs are one text
-from the start.  Each distinct text gets ``BANDS`` keys of ``ROWS`` least hashes over
+A paragraph is a line of one word or more.  Equal paragraphs are one text from the
+start.  One of fewer than ``SHINGLE`` words has its whole word sequence as its only
+shingle, so it resembles its equals alone and needs no banding.  Each longer text gets ``BANDS`` keys of ``ROWS`` least hashes over
 its five-word shingles: at a similarity of 0.8 a pair shares a key with a
 probability of 99.8 %.  Texts that share a key are joined, their exact Jaccard
 similarity is computed, and linked texts form components.  Of a component the
@@ -97,11 +98,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     has no paragraphs, a missing id counts as the largest; a repeated row is one document.  An empty table gives none.
     """
     own = docs.select(F.xxhash64(order_id(doc_id), F.col(text)).alias("row"), order_id(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = own.select("row", "id", F.posexplode(F.split("text", "\n")).alias("place", "line")).filter(F.size(word_array("line")) >= SHINGLE)
+    lines = own.select("row", "id", F.posexplode(F.split("text", "\n")).alias("place", "line")).withColumn("size", F.size(word_array("line"))).filter("size > 0")
     lines = lines.withColumn("para", F.xxhash64(F.array_join(word_array(F.lower("line")), " ")))
     places = cut(lines.select("row", "id", "place", "para").distinct(), "places")
     counts = cut(places.groupBy("para").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "place")).alias("first")), "paragraphs")
-    texts = cut(lines.groupBy("para").agg(F.min("line").alias("text")), "texts")
+    texts = cut(lines.filter(F.col("size") >= SHINGLE).groupBy("para").agg(F.min("line").alias("text")), "texts")
     named = components(links(texts))
     grouped = counts.join(named.withColumnRenamed("node", "para"), "para", "left").withColumn("component", F.coalesce("component", "para"))
     heads = grouped.groupBy("component").agg(F.sum("n").alias("n"), F.min("first").alias("head")).filter("n > 1")

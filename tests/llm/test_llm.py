@@ -100,6 +100,12 @@ def test_paragraph_rounds(spark):
     assert {r.class_id for r in got} == {0} and sum(r.n_removed for r in got) == 59
 
 
+def test_short_paragraphs(spark):
+    rows = spark.createDataFrame([(1, "Yes  please"), (2, "yes please"), (3, "ok\n\nyes please\nok"), (4, "yes please now")], "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_paragraphs, r.removed, r.class_id) for r in paragraph_dedup.repeats(rows).collect()}
+    assert got == {1: (1, [], 1), 2: (1, [0], 1), 3: (3, [2, 3], 1), 4: (1, [], 4)}
+
+
 def cut_bytes(rows):
     seen, out = {}, {}
     order = [(2**63 if d is None else d, (t or "").encode()) for d, t, *_ in rows]
