@@ -18,7 +18,7 @@ the corpus starts in exactly one phrase.
 
 The order of whole suffixes over the entire parse is not built: only equality
 of ``LENGTH`` bytes matters here, and a phrase text holds such a string whole.
-Triggers travel packed, ten bytes and compressed places each; the number of
+Triggers travel packed, sixteen bytes (whole hashes of trigger and text) and compressed places each; the number of
 buckets follows the bytes of the corpus, so no task grows with it.
 """
 
@@ -44,7 +44,7 @@ PACK_TEXTS = 20_000
 FINER = 4
 U = np.uint64
 BASE = 0x5851F42D4C957F2D
-PACKED = "bucket int, low binary, high binary, text binary, places binary, rows binary, ids binary"
+PACKED = "bucket int, trigger binary, text binary, places binary, rows binary, ids binary"
 BROUGHT = "bucket int, trigger binary, places binary, ids binary, rows binary, text binary"
 _powers: list[np.ndarray] = []
 
@@ -129,20 +129,19 @@ def _pack(buckets: int):
     def pack(rows: list[tuple[int, int]], found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         trigger, first, last, text = (np.concatenate(x) for x in zip(*found, strict=True))
         which = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-        bucket = ((trigger >> U(48)) % U(buckets)).astype(np.int64)
+        bucket = (trigger % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
         keys, ids = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(6)]
         for a, b in zip(edges[:-1], edges[1:]):
             at = order[a:b]
             used, local = np.unique(which[at], return_inverse=True)
             for column, value in zip(out, (
-                    int(bucket[at[0]]), (trigger[at] & U(0xFFFFFFFF)).astype("<u4").tobytes(), (trigger[at] >> U(32)).astype("<u2").tobytes(),
-                    (text[at] & U(0xFFFFFFFF)).astype("<u4").tobytes(), _squeeze(np.diff(local, prepend=0), np.diff(first[at], prepend=0), last[at] - first[at]),
+                    int(bucket[at[0]]), trigger[at].astype("<u8").tobytes(), text[at].astype("<u8").tobytes(), _squeeze(np.diff(local, prepend=0), np.diff(first[at], prepend=0), last[at] - first[at]),
                     keys[used].astype("<i8").tobytes(), ids[used].astype("<i8").tobytes()), strict=True):
                 column.append(value)
-        types = [pa.int32(), *[pa.binary()] * 6]
+        types = [pa.int32(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
                                           names=[x.split()[0] for x in PACKED.split(", ")])
 
@@ -178,17 +177,17 @@ def _meet(table: pa.Table) -> pa.Table:
     """Phrases of one bucket: those repeated as a whole, and those whose trigger another document shares."""
     got: list[list[np.ndarray]] = [[] for _ in range(6)]
     for r in table.to_pylist():
-        low, high, text = (np.frombuffer(r[k], t) for k, t in (("low", "<u4"), ("high", "<u2"), ("text", "<u4")))
+        trigger, text = np.frombuffer(r["trigger"], "<i8"), np.frombuffer(r["text"], "<u8")
         local, first, length = _spread(r["places"], 3)
         local, first = np.cumsum(local), np.cumsum(first)
         rows, ids = (np.frombuffer(r[k], "<i8") for k in ("rows", "ids"))
-        for column, value in zip(got, (low.astype(np.int64) | high.astype(np.int64) << 32, text, ids[local], rows[local], first, length), strict=True):
+        for column, value in zip(got, (trigger, text, ids[local], rows[local], first, length), strict=True):
             column.append(value)
     trigger, text, doc, row, first, length = (np.concatenate(x) for x in got)
-    order = np.lexsort((doc, text, trigger))
+    order = np.lexsort((doc, length, text, trigger))
     trigger, text, doc, row, first, length = (x[order] for x in (trigger, text, doc, row, first, length))
     by_trigger = _firsts(trigger)
-    by_text = by_trigger | _firsts(text)
+    by_text = by_trigger | _firsts(text, length)
     whole = doc > doc[by_text][np.cumsum(by_text) - 1]
     stay = np.flatnonzero(~whole)
     starts = np.flatnonzero(_firsts(trigger[stay]))

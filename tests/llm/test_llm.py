@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,22 @@ def test_repeated_strings(spark, docs, none):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()]
 
 
+@pytest.mark.parametrize("changed", ["text", "trigger", "length"])
+def test_phrases_meet_on_whole_hashes(monkeypatch, changed):
+    """Two phrases that agree in 32 bits of the text's hash, or 48 of the trigger's and its bucket, are not one."""
+    values = {"trigger": (5, 5 + 2**60), "text": (9, 9 + 2**40), "length": (10, 11)}
+    made = iter([{k: v[i if k == changed else 0] for k, v in values.items()} for i in range(2)])
+
+    def phrases(data):
+        m = next(made)
+        return np.array([m["trigger"]], "u8"), np.array([0]), np.array([m["length"]]), np.array([m["text"]], "u8")
+
+    monkeypatch.setattr(suffix_dedup, "phrases", phrases)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array([b"x" * 60, b"y" * 61])], names=["row", "doc", "raw"])
+    met = suffix_dedup._meet(pa.Table.from_batches(list(suffix_dedup._pack(1)(iter([batch])))))
+    assert not any(met["whole"].to_pylist())
+
+
 def test_winnowing(docs, none):
     got = winnowing.compare(docs).collect()
     assert len(got) == len(ROWS) and winnowing.compare(none).count() == 0
