@@ -5,134 +5,83 @@ one vocabulary, one number of words and one smoothing.  A document's score is th
 of (loss under the background model - loss under the target model): the more
 like the trusted documents, the higher.
 
-Words are counted over all documents.  The vocabulary holds those with at least
-``WORD_SHARE`` of all words, so it has at most 1 / WORD_SHARE entries; bigrams are
-counted over all documents too, and those with at least ``PAIR_SHARE`` of all are
-kept as such, the others are left to the smoothing.  Both shares bound what each
-worker holds, whatever the size of the corpus.
+Every word and every bigram of the corpus is counted, none is too rare, and every
+trusted document counts for the target.  A word is the 64-bit hash of its text, so no
+dictionary is held anywhere.  Both models are one table, a row for each bigram with its
+two losses.  Documents are scored by a join with it and a sum by document.  The few
+bigrams with at least ``HOT_SHARE`` of all (at most 1 / HOT_SHARE) are joined where
+the documents are read, so a common bigram is never shuffled; all others by shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, order_id, word_array
 
-WORD_SHARE = 1e-5
-PAIR_SHARE = 1e-6
-#: Most trusted rows the target model is fitted on, those of smallest id hash.
-SAMPLE = 10_000
+#: Share of all bigrams from which one is joined without a shuffle; results do not depend on it.
+HOT_SHARE = 2e-5
 #: Weight of the word's own probability in a bigram's.
 PRIOR = 200.0
-UNKNOWN = 0
-PACK_WORDS = 2_000_000
+#: What stands before a document's first word.
+START = 0
 
 
 @dataclass(frozen=True)
 class Model:
-    """Codes of known bigrams with their counts; counts of each word before and as such; columns: background, target."""
-
-    vocabulary: dict[str, int]
-    codes: np.ndarray
-    pairs: np.ndarray
-    before: np.ndarray
-    words: np.ndarray
-
-    def losses(self, text: str) -> tuple[int, float, float]:
-        """Number of words, mean loss under the target and under the background model."""
-        codes = bigrams(text, self.vocabulary)
-        if not len(codes):
-            return 0, 0.0, 0.0
-        size = len(self.vocabulary) + 2
-        at = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
-        seen = np.where((self.codes[at] == codes)[:, None], self.pairs[at], 0.0) if len(self.codes) else np.zeros((len(codes), 2))
-        own = (self.words[codes % size] + 1.0) / (self.words.sum(axis=0) + size)
-        loss = -np.log((seen + PRIOR * own) / (self.before[codes // size] + PRIOR)).mean(axis=0)
-        return len(codes), float(loss[1]), float(loss[0])
-
-
-def bigrams(text: str, vocabulary: dict[str, int]) -> np.ndarray:
-    """Code of each word with the one before it; the first follows a mark of its own.  Unknown words are one word."""
-    get = vocabulary.get
-    ids = np.array([get(w, UNKNOWN) for w in _words(text)], dtype=np.int64)
-    size = len(vocabulary) + 2
-    return np.append(size - 1, ids[:-1]) * size + ids if len(ids) else ids
-
-
-def _words(text: str) -> list[str]:
-    return [w.decode("utf-8", "replace") for w in text.lower().encode("utf-8", "replace").split()]
-
-
-def _count(vocabulary: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], []]
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            codes = [np.concatenate(x) if x else np.empty(0, np.int64) for x in held]
-            found, where = np.unique(np.concatenate(codes), return_inverse=True)
-            n = [np.bincount(part, minlength=len(found)) for part in (where, where[len(codes[0]):])]
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[0]), pa.array(n[1])], names=["code", "background", "target"])
-
-        for batch in batches:
-            for text, trusted in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                codes = bigrams(text.as_py() or "", vocabulary)
-                held[bool(trusted)].append(codes)
-                size += len(codes)
-                if size >= PACK_WORDS:
-                    yield flush()
-                    held, size = [[], []], 0
-        if size:
-            yield flush()
-
-    return run
-
-
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Both models.  The target is at most ``sample`` rows labelled 1; without any, both models are the background's."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    counted = cut(docs.select(F.explode(word_array(F.lower(whole))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    known = counted.filter(F.col("n") >= max(2, WORD_SHARE * total)).orderBy("word")
-    vocabulary = {r["word"]: i + 1 for i, r in enumerate(known.select("word").collect())}  # at most 1 / WORD_SHARE
+    """``code, n, target_loss, background_loss`` of every bigram of the corpus, and the number of its words."""
+
+    losses: DataFrame
+    total: int
+
+
+def bigrams(text: str) -> Column:
+    """Each word's hash with that of the word before it."""
+    ids = F.transform(word_array(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda w: F.xxhash64(w))
+    return F.zip_with(F.concat(F.array(F.lit(START).cast("long")), F.slice(ids, F.lit(1), F.greatest(F.size(ids) - 1, F.lit(0)))), ids,
+                      lambda prev, word: F.when(word.isNotNull(), F.struct(prev.alias("prev"), word.alias("word"))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+    """Both models.  The target is all rows labelled 1; without any, both models are the background's."""
     ids = labels.filter(F.col(label) == 1).select(F.col(doc_id).cast("long").alias("__id")).filter("__id IS NOT NULL").distinct()
-    ids = F.broadcast(ids.orderBy(F.xxhash64("__id"), "__id").limit(sample).withColumn("__trusted", F.lit(True)))  # at most ``sample``
-    rows = docs.join(ids, order_id(doc_id) == F.col("__id"), "left").select(whole.alias("text"), F.coalesce("__trusted", F.lit(False)).alias("trusted"))
-    pairs = cut(rows.mapInArrow(_count(vocabulary), "code bigint, background bigint, target bigint")
-                .groupBy("code").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "pairs")
-    size = len(vocabulary) + 2
-    sums = []
-    for key in (F.floor(F.col("code") / size), F.col("code") % size):
-        table = np.zeros((size, 2))
-        for r in pairs.groupBy(key.cast("long").alias("k")).agg(F.sum("background").alias("b"), F.sum("target").alias("t")).collect():  # at most ``size``
-            table[r["k"]] = r["b"], r["t"]
-        sums.append(table)
-    kept = pairs.filter(F.col("background") >= max(2, PAIR_SHARE * total)).orderBy("code").toArrow()  # at most 1 / PAIR_SHARE
-    codes = kept.column("code").to_numpy()
-    counts = np.stack([kept.column(c).to_numpy().astype(float) for c in ("background", "target")], axis=1)
-    if not sums[1][:, 1].sum():
-        counts[:, 1], sums[0][:, 1], sums[1][:, 1] = counts[:, 0], sums[0][:, 0], sums[1][:, 0]
-    match = sums[1][:, 1].sum() / max(1.0, sums[1][:, 0].sum())  # the background's counts as if of as many words as the target's
-    for table in (counts, *sums):
-        table[:, 0] *= match
-    return Model(vocabulary, codes, counts, *sums)
+    rows = docs.join(ids.withColumn("__trusted", F.lit(1)), order_id(doc_id) == F.col("__id"), "left")
+    spelt = rows.select(F.explode(bigrams(text)).alias("g"), F.coalesce("__trusted", F.lit(0)).alias("trusted")).filter("g IS NOT NULL")
+    pairs = cut(spelt.groupBy("g.prev", "g.word").agg(F.count("*").alias("b"), F.sum("trusted").alias("t")), "pairs")
+    words = cut(pairs.groupBy("word").agg(F.sum("b").alias("own_b"), F.sum("t").alias("own_t")), "words")
+    before = pairs.groupBy("prev").agg(F.sum("b").alias("before_b"), F.sum("t").alias("before_t"))
+    n = words.agg(F.sum("own_b").alias("b"), F.sum("own_t").alias("t"), F.count("*").alias("size")).first()
+    total, trusted, size = n["b"] or 0, n["t"] or 0, n["size"] + 2
+    match = trusted / total if trusted else 1.0  # the background's counts as if of as many words as the target's
 
+    def loss(side: str, by: float) -> Column:
+        own = (F.col(f"own_{side}") * by + 1.0) / ((trusted or total) + size)
+        return -F.log((F.col(side) * by + PRIOR * own) / (F.col(f"before_{side}") * by + PRIOR))
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_words, target_loss, background_loss, score``: one row per row of ``docs``; all 0 without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = pairs.join(words, "word").join(before, "prev")
+    losses = held.select(F.xxhash64("prev", "word").alias("code"), F.col("b").alias("n"),
+                         loss("t" if trusted else "b", 1.0).alias("target_loss"), loss("b", match).alias("background_loss"))
+    return Model(cut(losses, "losses"), total)
 
-    def run(texts: pa.Array) -> pa.Array:
-        found = [shared.value.losses(x.as_py() or "") for x in texts]
-        n, target, background = zip(*found, strict=True) if found else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(target, pa.float64()), pa.array(background, pa.float64())],
-                                          names=["n_words", "target_loss", "background_loss"])
 
-    scored = docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(run, "n_words bigint, target_loss double, background_loss double")(F.col(text)).alias("s"))
-    return scored.select("doc_id", "s.*").withColumn("score", F.col("background_loss") - F.col("target_loss"))
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_words, target_loss, background_loss, score``: one row per row of ``docs``; all 0 without words.
+
+    ``docs`` are documents the model was fitted on, so each of their bigrams has its counts.
+    """
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(order_id(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
+    codes = own.select("row", F.explode(F.transform(bigrams("text"), lambda g: F.when(g.isNotNull(), F.xxhash64(g["prev"], g["word"])))).alias("code"))
+    codes = codes.filter("code IS NOT NULL")
+    often = F.col("n") >= HOT_SHARE * model.total
+    hot = F.broadcast(model.losses.filter(often).drop("n"))  # at most 1 / HOT_SHARE
+    rare = codes.join(hot.select("code"), "code", "left_anti")
+    sums = [F.count("*").alias("k"), F.sum("target_loss").alias("t"), F.sum("background_loss").alias("b")]
+    parts = [codes.join(hot, "code").groupBy("row").agg(*sums), rare.join(model.losses.filter(~often).drop("n"), "code").groupBy("row").agg(*sums)]
+    found = parts[0].union(parts[1]).groupBy("row").agg(F.sum("k").alias("k"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    sizes = own.select("doc_id", "row", F.size(word_array("text")).cast("long").alias("n_words"))
+    out = sizes.join(found, "row", "left").select("doc_id", "n_words", *(F.coalesce(F.col(s) / F.col("k"), F.lit(0.0)).alias(c)
+                                                  for s, c in (("t", "target_loss"), ("b", "background_loss"))))
+    return out.withColumn("score", F.col("background_loss") - F.col("target_loss"))

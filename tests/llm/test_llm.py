@@ -226,6 +226,31 @@ def test_language_model(docs, none, labels):
     assert lm_scoring.score(none, lm_scoring.fit(none, labels.limit(0))).count() == 0
 
 
+def test_language_model_counts_every_word_and_bigram(docs, labels, monkeypatch):
+    spelt = [(d, re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())) for d, t, *_ in ROWS]
+    trusted = {1, 2, 4, 5, 7, 8, 10, 11}
+    sides = []
+    for rows in ([w for d, w in spelt if d in trusted], [w for _, w in spelt]):
+        pairs = Counter(p for w in rows for p in zip(["", *w], w))
+        own, before = Counter(), Counter()
+        for (prev, word), n in pairs.items():
+            own[word] += n
+            before[prev] += n
+        sides.append((pairs, own, before, sum(pairs.values())))
+    size, words = len(sides[1][1]) + 2, sides[0][3]
+
+    def loss(side, p):
+        pairs, own, before, total = side
+        by = words / total
+        return -np.log((pairs[p] * by + 200 * (own[p[1]] * by + 1) / (words + size)) / (before[p[0]] * by + 200))
+
+    want = {d: [np.mean([loss(s, p) for p in zip(["", *w], w)]) if w else 0 for s in sides] for d, w in spelt}
+    for share in (lm_scoring.HOT_SHARE, 0.01, 2.0):  # every bigram joined where it is read, some, none
+        monkeypatch.setattr(lm_scoring, "HOT_SHARE", share)
+        for r in lm_scoring.score(docs, lm_scoring.fit(docs, labels)).collect():
+            assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id]) and r.score == pytest.approx(want[r.doc_id][1] - want[r.doc_id][0])
+
+
 def test_quality(docs, none, labels):
     model = quality_llr.fit(docs, labels)
     rows = quality_llr.judge(docs, model).collect()
