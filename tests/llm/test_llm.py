@@ -164,6 +164,15 @@ def test_winnowing(docs, none):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def test_winnowing_of_short_and_unspaced_texts(spark):
+    texts = ["one two six", "a short line of nine words stands here now", "".join(chr(0x4E00 + 37 * i % 2000) for i in range(400)),
+             "".join(chr(0x5E00 + 41 * i % 2000) for i in range(400)), "letter", " ".join(f"w{i}" for i in range(15)), LONG]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    got = {r.id: r for r in winnowing.compare(rows, "id").collect()}
+    assert len(got) == len(texts) and all(r.near_edited > 0 for r in got.values())
+    assert len(got[2].runs) > 40 and got[2].near_edited > 0.4 and got[2].near_next == 0
+
+
 def test_simhash(docs, none, monkeypatch):
     prints = [(2**63 - 1 if d is None else d, simhash_bytes.simhash((t or "").encode())) for d, t, *_ in ROWS]
     least = {d: d for d, _ in prints}
