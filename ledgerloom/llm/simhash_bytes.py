@@ -1,10 +1,10 @@
-"""SimHash near-duplicates through a byte-position index with count filtering.
+"""SimHash near-duplicates through an index of composite byte positions.
 
 Fingerprints of 64 bits that differ in at most three bits differ in at most
 three of their eight bytes, so they share five positional bytes or more.  The
 index therefore posts a fingerprint under each choice of five byte positions
 (56 postings of 40 bits): only pairs that reach the guaranteed count ever meet.
-Each pair's shared positional bytes are then tallied, and the Hamming distance
+A tally of shared positional bytes thus filters nothing more; the Hamming distance
 is verified.
 
 Equal fingerprints are one index entry, so copies never pair up.  A posting
