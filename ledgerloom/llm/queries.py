@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_trees, forced_bpe, lm_scoring, mixing, paragraph_dedup, quality_llr, simhash_bytes, suffix_dedup, toxicity, winnowing
+from . import (chat_trees, forced_bpe, label_shards, lm_scoring, mixing, paragraph_dedup, quality_llr, shared_search, simhash_bytes, spelling,
+               suffix_dedup, toxicity, winnowing)
 from .common import documents
 
 #: Tokenizer file of op7, read by every worker.
@@ -144,3 +145,36 @@ summed AS (
 SELECT doc_id, size, source_size, target,
   size * (whole + CASE WHEN need > 0 AND need - (upto - here) > 0 AND (upto <= need OR need - (upto - here) > here / 2) THEN 1 ELSE 0 END) AS taken
 FROM summed"""
+
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(documents(spark, sf_dir)))
+
+
+@query
+def op12_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLES["op12_shared_search"] = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+  sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY 1),
+  whole AS (SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS length FROM sizes),
+  tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY 1, 2),
+  df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY 1),
+  q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+  part AS (SELECT tf.term, tf.doc_id, floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+      * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * total) // length)))) AS part
+    FROM tf JOIN df USING (term) JOIN sizes USING (doc_id), whole WHERE tf.term IN (SELECT term FROM q)),
+  s AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM q JOIN part USING (term) GROUP BY 1, 2),
+  r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50"""
+
+
+@query
+def op13_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return label_shards.shards(documents(spark, sf_dir).select("doc_id", "text"))
