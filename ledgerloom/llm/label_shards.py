@@ -147,18 +147,25 @@ def cut_links(labels: DataFrame, links: DataFrame) -> int:
     return links.join(ends[0], "a").join(ends[1], "b").filter("a_shard <> b_shard").count()
 
 
-def copy_links(rows: DataFrame, most: int) -> DataFrame:
+def copy_links(rows: DataFrame, total: int, most: int) -> DataFrame:
     """``a, b, weight``: equal ``key`` rows as stars, one a piece of at most about ``most`` rows; the pieces' centres form a star too.
 
-    ``rows``: ``node, key``.  As many links as rows at most, whatever the group; a group is never one task's.
+    ``rows``: ``node, key``, ``total`` of them.  As many links as rows at most, whatever the group; a group is never one task's: those
+    with a share ``HUB`` of all rows, fewer than its inverse, meet their sizes and centres by broadcast.
     """
-    groups = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    held = rows.join(groups, "key").withColumn("piece", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most)))
-    centres = cut(held.groupBy("key", "piece").agg(F.min("node").alias("b")), "centres")
-    heads = centres.groupBy("key").agg(F.min("b").alias("head"))
-    spokes = held.select("key", "piece", F.col("node").alias("a")).join(centres, ["key", "piece"]).select("a", "b")
-    bridges = centres.join(heads, "key").select(F.col("b").alias("a"), F.col("head").alias("b"))
-    return spokes.union(bridges).filter("a <> b").withColumn("weight", F.lit(1).cast("long"))
+    groups = cut(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "groups")
+    large = groups.filter(F.col("n") > total * HUB)
+    small = groups.filter(F.col("n") <= total * HUB)
+    piece = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / most))
+    parts = []
+    for held, hint in ((rows.join(F.broadcast(large), "key"), F.broadcast), (rows.join(small, "key"), lambda x: x)):
+        held = held.withColumn("piece", piece)
+        centres = cut(held.groupBy("key", "piece").agg(F.min("node").alias("b")), "centres")
+        heads = centres.groupBy("key").agg(F.min("b").alias("head"))
+        parts.append(held.select("key", "piece", F.col("node").alias("a")).join(hint(centres), ["key", "piece"]).select("a", "b"))
+        parts.append(centres.join(heads, "key").select(F.col("b").alias("a"), F.col("head").alias("b")))
+    spokes, bridges, more, rest = parts
+    return spokes.union(bridges).union(more).union(rest).filter("a <> b").withColumn("weight", F.lit(1).cast("long"))
 
 
 def shards(docs: DataFrame, links: DataFrame | None = None, n: int = SHARDS, rounds: int = ROUNDS, doc_id: str = "doc_id",
@@ -177,7 +184,7 @@ def shards(docs: DataFrame, links: DataFrame | None = None, n: int = SHARDS, rou
     count = rows.count()
     quota = [count // n + (j < count % n) for j in range(n)]
     if links is None:
-        found = copy_links(rows.select("node", "key"), max(2, count // n // 2))
+        found = copy_links(rows.select("node", "key"), count, max(2, count // n // 2))
     else:
         weight = F.col("weight") if "weight" in links.columns else F.lit(1)
         ends = [rows.filter(real_id("id").isNotNull()).select(F.col("id").alias(f"{k}_id"), F.col("node").alias(k)) for k in ("a", "b")]
