@@ -1,4 +1,4 @@
-"""Retrieval over past questions and confirmed knowledge: token overlap and exact vector top-k.
+"""Retrieval over past questions and confirmed knowledge: token overlap, and vector top-k through a partitioned index.
 
 All past questions and all knowledge rows are searched.  Candidates come from
 equi-joins on (ledger, token); question similarity joins only the rarest tokens
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import top_per
+from . import vector_index
+from .vector_index import VectorIndex
 
 L = "ledger_id"
 
@@ -124,18 +126,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_topk(queries: DataFrame, knowledge: DataFrame, k: int = 5, min_similarity: float = 0.5) -> DataFrame:
-    """Exact nearest knowledge rows of the same ledger for each query vector; rejected rows never show.
+def vector_topk(queries: DataFrame, index: VectorIndex, k: int = 5, min_similarity: float = 0.5) -> DataFrame:
+    """Exact nearest knowledge rows of the same ledger for each query vector, through the index; rejected rows never show.
 
     ``queries``: (ledger_id, question_id, query_vector).  ``k`` is at least 1.
     """
-    if k < 1:
-        raise ValueError(f"k must be at least 1, not {k}")
-    rows = knowledge.filter(F.col("embedding").isNotNull() & (F.col("verdict") != "REJECTED"))
-    sim = rows.join(queries, L).select(
-        L, "question_id", "answer_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 6).alias("similarity"))
-    top = top_per(sim, [L, "question_id"], [F.col("similarity").desc(), F.col("answer_id")], k)
-    return top.filter(F.col("similarity") >= min_similarity)
+    return vector_index.search(queries, index, k, min_similarity)
 
 
 # --- keywords ----------------------------------------------------------------------
@@ -183,9 +179,9 @@ def keyword_retrieval(prompts: DataFrame, knowledge: DataFrame, as_of: str, k: i
     return top_per(scored, [L, "question_id"], [F.col("score").desc(), F.col("answer_id")], k)
 
 
-def knowledge_context(prompts: DataFrame, queries: DataFrame, knowledge: DataFrame, as_of: str, k: int = 5) -> DataFrame:
+def knowledge_context(prompts: DataFrame, queries: DataFrame, knowledge: DataFrame, index: VectorIndex, as_of: str, k: int = 5) -> DataFrame:
     """Vector matches of at least 0.55 where a prompt has any, else keyword matches."""
-    by_vector = vector_topk(queries, knowledge, k, 0.55).select(
+    by_vector = vector_topk(queries, index, k, 0.55).select(
         L, "question_id", "answer_id", F.lit("vector").alias("retrieval"), F.col("similarity").alias("score"))
     rest = prompts.join(by_vector.select(L, "question_id").distinct(), [L, "question_id"], "left_anti")
     by_word = keyword_retrieval(rest, knowledge, as_of, k).select(

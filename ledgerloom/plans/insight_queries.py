@@ -11,8 +11,10 @@ from ..operators import pulse as P
 from ..operators import readiness as Y
 from ..operators import recon as R
 from ..operators import retrieval as T
+from ..operators import vector_index
 from ..operators.accounts import account_types
 from ..sources import operational as ops
+from ..sources.staging import built
 from ..sources.trade_ledger import AS_OF, PERIOD
 from .check_queries import ISSUES
 from .registry import cte, register
@@ -245,12 +247,16 @@ register("similar_questions", lambda d: T.similar_questions(asked(d), qlog(d), A
 
 
 def vectors(d):
-    """Each ledger asks with the vector of its first knowledge row."""
-    return kb(d).groupBy("ledger_id").agg(F.min("answer_id").alias("question_id"),
-                                          F.min_by("embedding", "answer_id").alias("query_vector"))
+    """Every knowledge row asks with its own vector."""
+    return kb(d).select("ledger_id", F.col("answer_id").alias("question_id"), F.col("embedding").alias("query_vector"))
 
 
-cte("vq", "SELECT ledger_id, MIN(answer_id) AS question_id, min_by(embedding, answer_id) AS v FROM kb GROUP BY 1", uses=("kb",))
+def index(d):
+    """The vector index of the knowledge rows, written once for the application."""
+    return built(d.spark, "vector_index", d.sf_dir, lambda path: vector_index.build(kb(d), path), lambda path: vector_index.load(d.spark, path))
+
+
+cte("vq", "SELECT ledger_id, answer_id AS question_id, embedding AS v FROM kb", uses=("kb",))
 
 
 def vec(n: float) -> str:
@@ -260,7 +266,7 @@ def vec(n: float) -> str:
       ORDER BY similarity DESC, answer_id) <= 5) WHERE similarity >= {n}"""
 
 
-register("vector_topk", lambda d: T.vector_topk(vectors(d), kb(d), 5, 0.1), vec(0.1), uses=("vq",))
+register("vector_topk", lambda d: T.vector_topk(vectors(d), index(d), 5, 0.1), vec(0.1), uses=("vq",))
 STEM = """CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%es' AND length(w) > 4
   THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND length(w) > 3 THEN left(w, length(w) - 1) WHEN w LIKE '%ing'
   AND length(w) > 5 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND length(w) > 4 THEN left(w, length(w) - 2) ELSE w END"""
@@ -284,15 +290,15 @@ register("keyword_retrieval", lambda d: T.keyword_retrieval(asked(d), kb(d), AS_
 
 
 def _prompt_vectors(d):
-    """Every third question carries a vector: that of the knowledge row with its number."""
-    return asked(d).filter("question_id % 3 = 0").withColumn("slot", F.floor(F.col("question_id") / 1000)).join(
+    """A question carries the vector of the knowledge row with its number, where there is one."""
+    return asked(d).withColumn("slot", F.floor(F.col("question_id") / 1000)).join(
         d.table("embeddings").select(F.col("vec_id").alias("slot"), F.col("embedding").alias("query_vector")), "slot").select(
         "ledger_id", "question_id", "query_vector")
 
 
-register("knowledge_context", lambda d: T.knowledge_context(asked(d), _prompt_vectors(d), kb(d), AS_OF), f"""
+register("knowledge_context", lambda d: T.knowledge_context(asked(d), _prompt_vectors(d), kb(d), index(d), AS_OF), f"""
   WITH pv AS (SELECT ledger_id, query_id AS question_id, embedding AS v FROM qlog JOIN embeddings
-    ON vec_id = query_id // 1000 WHERE query_id % 3 = 0),
+    ON vec_id = query_id // 1000),
   vs AS (SELECT kb.ledger_id, question_id, answer_id, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]),
     CAST(v AS DOUBLE[])), 6) AS score FROM kb JOIN pv ON kb.ledger_id = pv.ledger_id WHERE verdict <> 'REJECTED'),
   vm AS (SELECT * FROM (SELECT * FROM vs {KTOP}) WHERE score >= 0.55)

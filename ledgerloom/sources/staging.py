@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from hashlib import sha1
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
 
+T = TypeVar("T")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a small input at least one partition per core.
 
@@ -37,3 +41,15 @@ def staged(spark: SparkSession, name: str, source: str, build: Callable[[], Data
         build().write.mode("overwrite").parquet(path)
         _BUILT[key] = path
     return spark.read.parquet(_BUILT[key])
+
+
+def built(spark: SparkSession, name: str, source: str, build: Callable[[str], T], load: Callable[[str], T]) -> T:
+    """A structure of several tables: ``build(path)`` on first use in this application, ``load(path)`` after."""
+    app = spark.sparkContext.applicationId
+    key = (app, name, source)
+    if key in _BUILT:
+        return load(_BUILT[key])
+    path = f"{shared_dir(spark)}/ledgerloom/{app}/{name}-{sha1(source.encode()).hexdigest()[:12]}"
+    made = build(path)
+    _BUILT[key] = path
+    return made

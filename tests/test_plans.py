@@ -50,4 +50,4 @@ def test_written_ledger_prunes_partitions(spark, sf, tmp_path):
 
 
 def test_top_k_is_limited_before_the_shuffle(spark, sf):
-    assert "WindowGroupLimit" in plan(entry.queries()["large_transactions"](spark, sf))
+    assert "WindowGroupLimit" in plan(entry.queries()["vector_topk"](spark, sf))
