@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .rollups import Rollups
+
 # fixed values: the financial account types
 ACCOUNT_TYPES = [
     "REVENUE", "COGS", "EXPENSE", "OTHER_INCOME", "CURRENT_ASSET", "FIXED_ASSET", "INVESTMENT",
@@ -119,8 +121,10 @@ def classify_by_name(name: Column) -> Column:
     return out
 
 
-def accounts_of(gl: DataFrame) -> DataFrame:
+def accounts_of(gl: DataFrame | Rollups) -> DataFrame:
     """The distinct accounts of each ledger with the group they post under."""
+    if isinstance(gl, Rollups):
+        return gl.chart()
     return (
         gl.filter(F.col("account_name").isNotNull() & (F.col("account_name") != ""))
         .groupBy("ledger_id", "account_name")
@@ -153,7 +157,7 @@ def with_account_type(accounts: DataFrame, overrides: DataFrame | None = None) -
         .drop("_fixed", "_group", "_name"))
 
 
-def account_types(gl: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def account_types(gl: DataFrame | Rollups, overrides: DataFrame | None = None) -> DataFrame:
     return with_account_type(accounts_of(gl), overrides)
 
 

@@ -4,7 +4,8 @@ Every check yields Issue rows ``(ledger_id, code, severity, category, title,
 affected_rows, exposure, detail)``, at most one per ledger and code.  Counts
 and exposure cover all affected rows.  The checks share four passes over the
 ledger (by account, by voucher, by day, by duplicate key); a full scan reads
-the ledger four times, not once per check.  The rows behind an issue come from
+the ledger four times, not once per check, and once (for duplicates, in the
+period) where ``Rollups`` stand in for it.  The rows behind an issue come from
 ``account_findings`` / ``voucher_findings`` / ``duplicate_refs`` as tables,
 since a set of references has no size bound.
 """
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import CR, DR, any_party, keyword_any, low, top_per, total_if
 from .accounts import with_account_type
+from .rollups import STANDARD_TYPES, Rollups
 
 L = "ledger_id"
 ISSUE = [L, "code", "severity", "category", "title", "affected_rows", "exposure", "detail"]
@@ -37,17 +39,22 @@ SCAN_CODES = ["trial_balance_mismatch", "duplicate_transactions", "date_outliers
               "tds_potentially_missed", "debtors_overdue"]
 
 P0, P1 = "p_start", "p_end"
+#: What a check reads: the postings, or the rollups kept for them.
+Ledger = DataFrame | Rollups
 
 
-def with_period(gl: DataFrame, start: str, end: str) -> DataFrame:
+def with_period(gl: Ledger, start: str, end: str) -> Ledger:
     """The same period for every ledger."""
+    if isinstance(gl, Rollups):
+        gl = gl.within(start, end)
     return (gl.withColumn(P0, F.lit(start).cast("date")).withColumn(P1, F.lit(end).cast("date")))
 
 
-def with_recent_period(gl: DataFrame, days: int = 90) -> DataFrame:
+def with_recent_period(gl: Ledger, days: int = 90) -> Ledger:
     """Per ledger: the last ``days`` days of its own data."""
-    last = gl.groupBy(L).agg(F.max("transaction_date").alias(P1))
-    return gl.join(last.withColumn(P0, F.date_sub(P1, days)), L)
+    dated = gl.days if isinstance(gl, Rollups) else gl
+    last = dated.groupBy(L).agg(F.max("transaction_date").alias(P1)).withColumn(P0, F.date_sub(P1, days))
+    return gl.each(lambda df: df.join(last, L)) if isinstance(gl, Rollups) else gl.join(last, L)
 
 
 def _in_period() -> Column:
@@ -76,10 +83,10 @@ NONE = lambda: F.lit(None)
 # --- pass 1: by account --------------------------------------------------------
 
 
-def account_findings(gl: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def account_findings(gl: Ledger, overrides: DataFrame | None = None) -> DataFrame:
     """One row per ledger and account with its in-period and to-date figures and flags."""
     upto = F.col("transaction_date") <= F.col(P1)
-    rolled = gl.groupBy(L, "account_name").agg(
+    rolled = gl.by_account(_in_period(), upto) if isinstance(gl, Rollups) else gl.groupBy(L, "account_name").agg(
         F.max("account_group").alias("account_group"), F.max(P1).alias(P1),
         F.count_if(_in_period()).alias("entries"),
         total_if(_in_period(), DR()).alias("dr"), total_if(_in_period(), CR()).alias("cr"),
@@ -102,7 +109,7 @@ def account_findings(gl: DataFrame, overrides: DataFrame | None = None) -> DataF
         .withColumn("looks_receivable", keyword_any(["account_name"], ["debtor", "receivable"])))
 
 
-def _account_issues(gl: DataFrame, codes: Sequence[str], overrides: DataFrame | None) -> DataFrame:
+def _account_issues(gl: Ledger, codes: Sequence[str], overrides: DataFrame | None) -> DataFrame:
     acct = account_findings(gl, overrides)
     mapped = F.col("kind") == "RECEIVABLE"
 
@@ -146,11 +153,12 @@ def _account_issues(gl: DataFrame, codes: Sequence[str], overrides: DataFrame |
 # --- pass 2: by voucher --------------------------------------------------------
 
 
-def voucher_findings(gl: DataFrame) -> DataFrame:
+def voucher_findings(gl: Ledger) -> DataFrame:
     """One row per in-period voucher with its totals and flags."""
     acct, kind = low("account_name"), low("voucher_type")
     size = F.abs(CR() - DR())
-    rolled = gl.filter(_in_period() & F.col("reference_number").isNotNull()).groupBy(L, "reference_number").agg(
+    rolled = gl.by_voucher(_in_period()) if isinstance(gl, Rollups) else gl.filter(
+            _in_period() & F.col("reference_number").isNotNull()).groupBy(L, "reference_number").agg(
         F.max("transaction_date").alias("day"), F.max("party_name").alias("party"),
         F.max("voucher_type").alias("voucher_type"),
         F.sum(DR()).alias("dr"), F.sum(CR()).alias("cr"),
@@ -168,7 +176,7 @@ def voucher_findings(gl: DataFrame) -> DataFrame:
                     & F.col("pays_vendor") & ~F.col("has_tds") & (F.col("reference_number") != "")))
 
 
-def _voucher_issues(gl: DataFrame, codes: Sequence[str]) -> DataFrame:
+def _voucher_issues(gl: Ledger, codes: Sequence[str]) -> DataFrame:
     v = voucher_findings(gl)
     flags = {"voucher_imbalance": ("unbalanced", "diff"), "gst_mismatch": ("gst_off", "gst_diff"),
              "tds_potentially_missed": ("tds_missed", "amount")}
@@ -190,12 +198,10 @@ def _voucher_issues(gl: DataFrame, codes: Sequence[str]) -> DataFrame:
 
 # --- pass 3: by day ------------------------------------------------------------
 
-# fixed values: the standard voucher types a full period holds
-STANDARD_TYPES = ["sales", "purchase", "receipt", "payment"]
-
-
-def day_findings(gl: DataFrame) -> DataFrame:
+def day_findings(gl: Ledger) -> DataFrame:
     """One row per ledger and date (a NULL date included); as small as a calendar."""
+    if isinstance(gl, Rollups):
+        return gl.days
     kind = low("voucher_type")
     return gl.groupBy(L, "transaction_date").agg(
         F.max(P0).alias(P0), F.max(P1).alias(P1),
@@ -208,7 +214,7 @@ def weekdays_between(start: Column, end: Column) -> Column:
     return F.size(F.filter(F.sequence(start, end), lambda d: F.weekday(d) < 5))
 
 
-def _day_issues(gl: DataFrame, codes: Sequence[str]) -> DataFrame:
+def _day_issues(gl: Ledger, codes: Sequence[str]) -> DataFrame:
     date = F.col("transaction_date")
     outside = (date < F.date_sub(P0, OUTLIER_BEFORE)) | (date > F.date_add(P1, OUTLIER_AFTER))
     inside = _in_period()
@@ -259,8 +265,9 @@ def _day_issues(gl: DataFrame, codes: Sequence[str]) -> DataFrame:
 KEY = [L, "party", "amount"]
 
 
-def _dup_rows(gl: DataFrame) -> DataFrame:
+def _dup_rows(gl: Ledger) -> DataFrame:
     """Rows that can take part in a pair, counted per (key, day, reference)."""
+    gl = gl.gl if isinstance(gl, Rollups) else gl
     amount = F.greatest(DR(), CR())
     return (
         gl.filter(_in_period() & (amount > DUP_MIN_AMOUNT) & F.col("reference_number").isNotNull())
@@ -277,7 +284,7 @@ def _pairs_within(days: DataFrame, keys: list[str]) -> Column:
     return F.col("n") * before + F.col("n") * (F.col("n") - 1) / 2
 
 
-def _pair_counts(gl: DataFrame) -> DataFrame:
+def _pair_counts(gl: Ledger) -> DataFrame:
     """Pairs per key: all pairs less pairs of one reference; no pair is ever built.
 
     The window only sees per-day counts, so even a key with a third of all rows
@@ -292,7 +299,7 @@ def _pair_counts(gl: DataFrame) -> DataFrame:
         .groupBy(*KEY).agg(F.sum("pairs").cast("bigint").alias("pairs")).filter("pairs > 0"))
 
 
-def _duplicate_issues(gl: DataFrame) -> DataFrame:
+def _duplicate_issues(gl: Ledger) -> DataFrame:
     agg = _pair_counts(gl).groupBy(L).agg(
         F.sum("pairs").alias("n"), F.sum(F.col("pairs") * F.col("amount")).alias("x"))
     return _stack(agg, [(
@@ -301,7 +308,7 @@ def _duplicate_issues(gl: DataFrame) -> DataFrame:
         F.col("n"), F.col("x"), NONE())])
 
 
-def _partners(gl: DataFrame) -> DataFrame:
+def _partners(gl: Ledger) -> DataFrame:
     """Each (key, day, ref) with the least and greatest reference within seven days of its key."""
     rows = _dup_rows(gl)
     per_day = rows.groupBy(*KEY, "day").agg(F.min("ref").alias("lo"), F.max("ref").alias("hi"))
@@ -311,13 +318,13 @@ def _partners(gl: DataFrame) -> DataFrame:
     return rows.join(near.filter("lo < hi"), [*KEY, "day"])
 
 
-def duplicate_refs(gl: DataFrame) -> DataFrame:
+def duplicate_refs(gl: Ledger) -> DataFrame:
     """Every reference with a partner: same party and amount, other reference, within seven days."""
     hit = _partners(gl).filter((F.col("lo") < F.col("ref")) | (F.col("ref") < F.col("hi")))
     return hit.select(L, F.col("ref").alias("reference_number")).distinct()
 
 
-def dup_pairs(gl: DataFrame, k: int = 30) -> DataFrame:
+def dup_pairs(gl: Ledger, k: int = 30) -> DataFrame:
     """The ``k`` largest duplicate pairs of each ledger, exactly, in linear work.
 
     Every left row with a later reference near it gives at least one pair, so
@@ -344,7 +351,7 @@ def dup_pairs(gl: DataFrame, k: int = 30) -> DataFrame:
 # --- public checks -------------------------------------------------------------
 
 
-def run_checks(gl: DataFrame, codes: Sequence[str], overrides: DataFrame | None = None) -> DataFrame:
+def run_checks(gl: Ledger, codes: Sequence[str], overrides: DataFrame | None = None) -> DataFrame:
     """Issues for ``codes`` over a ledger that carries its period columns."""
     parts = []
     for known, build in (
@@ -362,7 +369,7 @@ def run_checks(gl: DataFrame, codes: Sequence[str], overrides: DataFrame | None
     return out
 
 
-def check(code: str, gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
+def check(code: str, gl: Ledger, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
     return run_checks(with_period(gl, start, end), [code], overrides)
 
 
@@ -371,7 +378,7 @@ def sort_issues(issues: DataFrame) -> DataFrame:
     return issues.orderBy(L, rank, F.coalesce("exposure", F.lit(0.0)).desc(), "code")
 
 
-def scan(gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
+def scan(gl: Ledger, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
     """All ten checks, worst first."""
     return sort_issues(run_checks(with_period(gl, start, end), SCAN_CODES, overrides))
 
@@ -385,7 +392,7 @@ def scan_totals(issues: DataFrame) -> DataFrame:
         .alias("total_exposure"))
 
 
-def scan_examples(gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None, k: int = 5) -> DataFrame:
+def scan_examples(gl: Ledger, start: str, end: str, overrides: DataFrame | None = None, k: int = 5) -> DataFrame:
     """Up to five worst rows behind each issue, as (what, amount)."""
     gl = with_period(gl, start, end)
     acct, vch = account_findings(gl, overrides), voucher_findings(gl)
@@ -408,7 +415,7 @@ def scan_examples(gl: DataFrame, start: str, end: str, overrides: DataFrame | No
     return worst.select(L, "code", "what", F.round(F.col("size"), 2).cast("double").alias("size"))
 
 
-def affected_refs(gl: DataFrame, start: str, end: str) -> DataFrame:
+def affected_refs(gl: Ledger, start: str, end: str) -> DataFrame:
     """All voucher references behind the voucher-level issues, one row each."""
     gl = with_period(gl, start, end)
     by_voucher = voucher_findings(gl).select(L, "reference_number", F.explode(F.array_compact(F.array(
@@ -488,7 +495,7 @@ def company_profile(gl: DataFrame, overrides: DataFrame | None = None) -> DataFr
 # --- across ledgers ------------------------------------------------------------
 
 
-def recent_issues(gl: DataFrame, overrides: DataFrame | None = None, days: int = 90) -> DataFrame:
+def recent_issues(gl: Ledger, overrides: DataFrame | None = None, days: int = 90) -> DataFrame:
     """A scan of each ledger over the last ``days`` days of its own data."""
     return run_checks(with_recent_period(gl, days), SCAN_CODES, overrides)
 

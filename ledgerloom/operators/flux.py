@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import CR, DR, in_period, low, total_if, top_per
 from .accounts import with_account_type
+from .rollups import Rollups
 
 L = "ledger_id"
 
@@ -33,10 +34,12 @@ def prior_period_columns(start: Column, end: Column) -> tuple[Column, Column]:
     return F.date_sub(last, F.datediff(end, start)), last
 
 
-def account_periods(gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
+def account_periods(gl: DataFrame | Rollups, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
     """Per account: current and prior net (debit less credit) in one pass; absent sides are 0."""
     p0, p1 = prior_period(start, end)
     now, before = in_period(start, end), in_period(p0, p1)
+    if isinstance(gl, Rollups):
+        return with_account_type(gl.by_period(now, before, in_period(p0, end)), overrides)
     both = gl.filter(in_period(p0, end) & (F.coalesce("account_name", F.lit("")) != ""))
     return with_account_type(both.groupBy(L, "account_name").agg(
         F.max("account_group").alias("account_group"),
@@ -49,7 +52,7 @@ def _material(variance: Column, prior: Column) -> Column:
         (prior == 0) | (F.abs(variance) * 100 >= F.abs(prior) * MATERIAL_PCT))
 
 
-def flux(gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
+def flux(gl: DataFrame | Rollups, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
     """Account variances; rows under 1 on both sides are left out."""
     a = account_periods(gl, start, end, overrides)
     cur, pri = F.col("current"), F.col("prior")

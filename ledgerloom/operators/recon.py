@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import CR, DR, keyword_any, low, total_if
 from .accounts import account_types, recon_bucket, with_account_type
-from .checks import P0, P1, with_period
+from .checks import P0, P1, Ledger, with_period
+from .rollups import Rollups
 
 L = "ledger_id"
 
@@ -33,9 +34,11 @@ def _filled(*columns: str) -> Column:
     return F.coalesce(F.coalesce(*columns) != "", F.lit(False))
 
 
-def account_rollup(gl: DataFrame) -> DataFrame:
+def account_rollup(gl: Ledger) -> DataFrame:
     """(ledger, account, voucher type, attribution) sums in the period and up to its end."""
     net, upto = DR() - CR(), F.col("transaction_date") <= F.col(P1)
+    if isinstance(gl, Rollups):
+        return gl.by_attribution(_in_period(), upto)
     return gl.groupBy(
         L, "account_name", low("voucher_type").alias("vt"),
         _filled("vendor_name", "party_name").alias("has_vendor"), _filled("vendor_name").alias("vendor_col"),
@@ -121,7 +124,7 @@ def _status(agg: DataFrame, name: str, source: Column, target: Column, threshold
         F.when(variance <= threshold, "PASSED").otherwise("FAILED").alias("status"))
 
 
-def _run(gl: DataFrame, templates: list[Template], overrides: DataFrame | None) -> DataFrame:
+def _run(gl: Ledger, templates: list[Template], overrides: DataFrame | None) -> DataFrame:
     rows = account_rollup(gl)
     needs_types = any(t.bucket for t in templates)
     if needs_types:
@@ -143,7 +146,7 @@ def _run(gl: DataFrame, templates: list[Template], overrides: DataFrame | None)
     return agg.select(L, F.explode(F.array(*out)).alias("r")).select(L, "r.*")
 
 
-def bucket_rows(gl: DataFrame, overrides: DataFrame | None, bucket: str, fallback: list[str]) -> DataFrame:
+def bucket_rows(gl: Ledger, overrides: DataFrame | None, bucket: str, fallback: list[str]) -> DataFrame:
     """Flag ``own`` per row: account of the bucket, or of the fallback name where the ledger has none."""
     types = account_types(gl, overrides).withColumn("hit", F.coalesce(
         recon_bucket(F.col("account_type")) == bucket, F.lit(False)))
@@ -152,11 +155,12 @@ def bucket_rows(gl: DataFrame, overrides: DataFrame | None, bucket: str, fallbac
     has = types.groupBy(L).agg(F.bool_or("hit").alias("_any"))
     own = F.when(F.coalesce("_any", F.lit(False)), F.coalesce("hit", F.lit(False))).otherwise(
         keyword_any(["account_name"], fallback))
-    return (gl.join(types.select(L, "account_name", "hit"), [L, "account_name"], "left").join(has, L, "left")
+    rows = gl.gl if isinstance(gl, Rollups) else gl
+    return (rows.join(types.select(L, "account_name", "hit"), [L, "account_name"], "left").join(has, L, "left")
             .withColumn("own", own).drop("hit", "_any"))
 
 
-def bank_vouchers(gl: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def bank_vouchers(gl: Ledger, overrides: DataFrame | None = None) -> DataFrame:
     """Per voucher in the period: net of the bank legs, net of the others, and whether it touches bank."""
     flagged = bucket_rows(gl, overrides, "bank", ["bank"]).filter(_in_period())
     return flagged.groupBy(L, "reference_number").agg(
@@ -166,26 +170,27 @@ def bank_vouchers(gl: DataFrame, overrides: DataFrame | None = None) -> DataFram
         total_if(F.col("own"), DR() - CR()).alias("bank_gap"))
 
 
-def recon_bank_internal(gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
+def recon_bank_internal(gl: Ledger, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
     v = bank_vouchers(with_period(gl, start, end), overrides)
     sums = v.groupBy(L).agg(
         F.sum("bank_net").alias("s"),
         total_if(F.col("reference_number").isNotNull() & F.col("touches_bank"), F.col("other_net")).alias("t"))
     # a ledger with nothing in the period reconciles at zero
     nil = F.lit(0).cast("decimal(38,4)")
-    agg = gl.groupBy(L).agg(F.count(F.lit(1)).alias("_n")).join(sums, L, "left").select(
+    ledgers = gl.ledgers() if isinstance(gl, Rollups) else gl.select(L).distinct()
+    agg = ledgers.join(sums, L, "left").select(
         L, F.coalesce("s", nil).alias("s"), F.coalesce("t", nil).alias("t"))
     r = _status(agg, "recon_bank_internal", F.col("s"), F.col("t"), 1)
     return agg.select(L, r.alias("r")).select(L, "r.*")
 
 
-def recon(name: str, gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
+def recon(name: str, gl: Ledger, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
     if name == "recon_bank_internal":
         return recon_bank_internal(gl, start, end, overrides)
     return _run(with_period(gl, start, end), [BY_NAME[name]], overrides)
 
 
-def recon_watch_account(gl: DataFrame, start: str, end: str, fragment: str) -> DataFrame:
+def recon_watch_account(gl: Ledger, start: str, end: str, fragment: str) -> DataFrame:
     return _run(with_period(gl, start, end), [watch_account(fragment)], None)
 
 
@@ -201,7 +206,7 @@ def recon_watch_party(gl: DataFrame, start: str, end: str, fragment: str) -> Dat
 STANDARD = ["recon_ap", "recon_ar", "recon_gst_output", "recon_inventory"]
 
 
-def recon_run(gl: DataFrame, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
+def recon_run(gl: Ledger, start: str, end: str, overrides: DataFrame | None = None) -> DataFrame:
     """Every template for every ledger."""
     rest = _run(with_period(gl, start, end), TEMPLATES, overrides)
     return rest.unionByName(recon_bank_internal(gl, start, end, overrides))

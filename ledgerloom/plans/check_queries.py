@@ -212,8 +212,8 @@ for _name, _code in NAMES.items():
 
 SCAN = "\nUNION ALL ".join(ISSUES[c] for c in C.SCAN_CODES)
 cte("issues", SCAN, uses=TYPES)
-register("scan", lambda d: C.scan(d.gl, *d.period, d.overrides), "SELECT * FROM issues", uses=("issues",))
-register("scan_totals", lambda d: C.scan_totals(C.run_checks(C.with_period(d.gl, *d.period), C.SCAN_CODES, d.overrides)),
+register("scan", lambda d: C.scan(d.rollups, *d.period, d.overrides), "SELECT * FROM issues", uses=("issues",))
+register("scan_totals", lambda d: C.scan_totals(C.run_checks(C.with_period(d.rollups, *d.period), C.SCAN_CODES, d.overrides)),
          """SELECT ledger_id, COUNT(*) AS total_issues, COUNT(*) FILTER (severity = 'critical') AS critical,
          COUNT(*) FILTER (severity = 'review') AS review, COUNT(*) FILTER (severity = 'info') AS info,
          CAST(SUM(CAST(COALESCE(exposure, 0) AS DECIMAL(38,2))) AS DOUBLE) AS total_exposure
@@ -223,7 +223,7 @@ register("dup_pairs", lambda d: C.dup_pairs(C.with_period(d.gl, *d.period)),
          CAST(ROW_NUMBER() OVER (PARTITION BY ledger_id, party, amount, vch_a, date_a, vch_b, date_b) AS INTEGER) AS copy
          FROM {dup_join(S, E)} QUALIFY ROW_NUMBER() OVER (PARTITION BY ledger_id
          ORDER BY amount DESC, party, vch_a, date_a, vch_b, date_b) <= 30""")
-register("affected_refs", lambda d: C.affected_refs(d.gl, *d.period),
+register("affected_refs", lambda d: C.affected_refs(d.rollups, *d.period),
          f"""SELECT ledger_id, ref AS reference_number, 'gst_mismatch' AS code FROM {voucher_rollup(S, E)}
            WHERE cgst > 0 AND sgst > 0 AND igst = 0 AND ABS(cgst - sgst) > 0.01
          UNION ALL SELECT ledger_id, ref, 'tds_potentially_missed' FROM {voucher_rollup(S, E)}
@@ -231,7 +231,7 @@ register("affected_refs", lambda d: C.affected_refs(d.gl, *d.period),
          UNION ALL SELECT ledger_id, ref, 'voucher_imbalance' FROM {voucher_rollup(S, E)} WHERE ABS(dr - cr) > 0.01
          UNION ALL (SELECT ledger_id, vch_a, 'duplicate_transactions' FROM {dup_join(S, E)}
            UNION SELECT ledger_id, vch_b, 'duplicate_transactions' FROM {dup_join(S, E)})""")
-register("scan_examples", lambda d: C.scan_examples(d.gl, *d.period, d.overrides),
+register("scan_examples", lambda d: C.scan_examples(d.rollups, *d.period, d.overrides),
          f"""SELECT ledger_id, code, what, {r2('size')} AS size FROM (
          SELECT ledger_id, 'trial_balance_mismatch' AS code, account_name AS what, ABS(net) AS size
            FROM {account_rollup(S, E)} WHERE account_name <> '' AND ABS(net) > 0.01
@@ -284,12 +284,12 @@ cte("glp", """SELECT gl.*, m.d - 90 AS ps, m.d AS pe FROM gl JOIN
   (SELECT ledger_id, MAX(transaction_date) AS d FROM gl GROUP BY 1) m USING (ledger_id)""", uses=("gl",))
 _recent = issue_sql("ps", "pe", "glp")
 cte("recent", "\nUNION ALL ".join(_recent[c] for c in C.SCAN_CODES), uses=("glp", "types"))
-register("scan_summary", lambda d: C.scan_summary(C.recent_issues(d.gl, d.overrides)),
+register("scan_summary", lambda d: C.scan_summary(C.recent_issues(d.rollups, d.overrides)),
          """SELECT code, CAST(SUM(affected_rows) AS BIGINT) AS affected_rows, COUNT(*) AS cards,
          CAST(SUM(CAST(COALESCE(exposure, 0) AS DECIMAL(38,2))) AS DOUBLE) AS exposure FROM recent GROUP BY 1
          ORDER BY exposure DESC, code LIMIT 5""", uses=("recent",))
 _rate = "CASE code " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.MANUAL_MINUTES.items()) + " ELSE 0 END"
-register("time_saved", lambda d: C.time_saved(C.recent_issues(d.gl, d.overrides), d.gl.select("ledger_id")),
+register("time_saved", lambda d: C.time_saved(C.recent_issues(d.rollups, d.overrides), d.rollups.ledgers()),
          f"""SELECT ledger_id, CAST(ROUND(GREATEST(0, CAST(COALESCE(h, 0) AS DOUBLE) + 210
            - (COALESCE(n, 0) * 2.0 + 10)) / 60, 4) AS DOUBLE) AS hours_saved
          FROM (SELECT DISTINCT ledger_id FROM gl) LEFT JOIN (SELECT ledger_id, SUM(affected_rows * {_rate}) AS h,

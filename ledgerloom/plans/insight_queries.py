@@ -49,7 +49,7 @@ def qlog(d):
 
 
 def issues(d):
-    return C.run_checks(C.with_period(d.gl, *d.period), C.SCAN_CODES, d.overrides)
+    return C.run_checks(C.with_period(d.rollups, *d.period), C.SCAN_CODES, d.overrides)
 
 
 # --- keys --------------------------------------------------------------------------
@@ -136,9 +136,9 @@ def tasks(d):
 
 
 def facts(d):
-    imbalance = C.check("voucher_imbalance", d.gl, *d.period)
-    return Y.readiness_facts(d.gl, issues(d), R.recon_run(d.gl, *d.period, d.overrides),
-                             X.flux_totals(X.flux(d.gl, *d.period, d.overrides)), tasks(d), imbalance)
+    imbalance = C.check("voucher_imbalance", d.rollups, *d.period)
+    return Y.readiness_facts(d.rollups.ledgers(), issues(d), R.recon_run(d.rollups, *d.period, d.overrides),
+                             X.flux_totals(X.flux(d.rollups, *d.period, d.overrides)), tasks(d), imbalance)
 
 
 cte("imb", ISSUES["voucher_imbalance"], uses=("gl",))

@@ -94,7 +94,7 @@ register("recon_watch_account", lambda d: R.recon_watch_account(d.gl, *d.period,
 register("recon_watch_party", lambda d: R.recon_watch_party(d.gl, *d.period, PARTY), SQL["recon_watch_party"])
 ALL_RECONS = "\nUNION ALL ".join(SQL[n] for n in [*R.BY_NAME, "recon_bank_internal"])
 cte("recons", ALL_RECONS, uses=TYPED)
-register("recon_run", lambda d: R.recon_run(d.gl, *d.period, d.overrides), "SELECT * FROM recons", uses=("recons",))
+register("recon_run", lambda d: R.recon_run(d.rollups, *d.period, d.overrides), "SELECT * FROM recons", uses=("recons",))
 
 LINE = (f"ledger_id, row_id, reference_number, transaction_date, account_name, "
         f"CAST(debit_amount AS DOUBLE) AS debit_amount, CAST(credit_amount AS DOUBLE) AS credit_amount")
@@ -148,7 +148,7 @@ cte("flux", f"""SELECT ledger_id, account_name, account_type, {r2('c')} AS curre
   p = 0 AS is_new_activity,
   ABS(c - p) >= 50000 AND (p = 0 OR ABS(c - p) * 100 >= ABS(p) * 10) AS is_material
   FROM periods2 WHERE ABS(c) >= 1 OR ABS(p) >= 1""", uses=("periods2",))
-register("flux", lambda d: X.sort_material_first(X.flux(d.gl, *d.period, d.overrides)), "SELECT * FROM flux",
+register("flux", lambda d: X.sort_material_first(X.flux(d.rollups, *d.period, d.overrides)), "SELECT * FROM flux",
          uses=("flux",))
 register("flux_totals", lambda d: X.flux_totals(X.flux(d.gl, *d.period, d.overrides)),
          """SELECT ledger_id, COUNT(*) AS total_accounts, COUNT(*) FILTER (is_material) AS material_count,

@@ -13,8 +13,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import party_columns
+from ..operators import rollups
 from ..sources import trade_ledger as tl
-from ..sources.staging import staged
+from ..sources.staging import built, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +42,11 @@ class Data:
         """The ledger every operator runs on: excluded rows dropped once, up front."""
         return self.gl_all.filter("NOT excluded")
 
+    @cached_property
+    def rollups(self) -> rollups.Rollups:
+        """The maintained states of the ledger, written once like the ledger itself."""
+        return built(self.spark, "rollups", self.sf_dir, lambda path: rollups.build(self.gl, path), lambda path: rollups.load(self.spark, path, self.gl))
+
     @cached_property
     def parties(self) -> DataFrame:
         """The party columns each ledger uses, stored: its size is known when a join is planned."""

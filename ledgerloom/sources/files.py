@@ -70,8 +70,8 @@ def canonicalise_gl(raw: DataFrame, mapping: dict[str, str], ledger_id: Column,
     })
 
 
-def sink_gl(gl: DataFrame, path: str, files_per_partition: int = 1) -> None:
-    """Write the ledger by ledger and month.
+def sink_gl(gl: DataFrame, path: str, files_per_partition: int = 1, mode: str = "overwrite") -> None:
+    """Write the ledger by ledger and month; ``mode`` ``append`` adds late rows beside what is there.
 
     Rows are shuffled on (ledger, month, slice), so a partition is written by
     ``files_per_partition`` tasks: raise it where one ledger holds much of the data.
@@ -79,7 +79,7 @@ def sink_gl(gl: DataFrame, path: str, files_per_partition: int = 1) -> None:
     month = F.coalesce(F.date_format("transaction_date", "yyyy-MM"), F.lit("none"))
     part = F.pmod(F.xxhash64("row_id"), F.lit(files_per_partition))
     (gl.withColumn("month", month).repartition("ledger_id", "month", part).sortWithinPartitions("ledger_id", "month", "transaction_date")
-     .write.mode("overwrite").partitionBy("ledger_id", "month").parquet(path))
+     .write.mode(mode).partitionBy("ledger_id", "month").parquet(path))
 
 
 def scan_gl(spark: SparkSession, path: str, ledgers: list[int] | None = None, start: str | None = None,
