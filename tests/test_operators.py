@@ -17,7 +17,6 @@ from ledgerloom.operators import privacy as P
 from ledgerloom.operators import pulse, readiness, retrieval, routing, schema_intel, tax_docs
 from ledgerloom.sources import files
 from ledgerloom.sources.schema import conform
-from ledgerloom.streaming import digest
 
 D = dt.date
 START, END = "2024-04-01", "2024-06-30"
@@ -264,20 +263,6 @@ def test_dates_in_returns(spark):
     assert tuple(r) == (D(2023, 12, 31), D(2024, 1, 5), None)
 
 
-def test_digest_is_idempotent(spark, tmp_path):
-    src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
-    rows = spark.createDataFrame([(1, D(2024, 1, 1), 2.5, False), (1, D(2024, 1, 1), 1.0, True)], "ledger_id int, day date, amount double, alert boolean")
-    rows.write.parquet(src)
-    for _ in range(2):  # the second run finds nothing new
-        digest.digest_incremental(spark, src, rows.schema, lambda d: d, out, ck)
-    digest.batch_totals(rows).write.mode("overwrite").parquet(f"{out}/batch=0")  # batch 0 delivered again
-    got = digest.read_digest(spark, out).first()
-    assert (got.entries, got.alerts, got.amount) == (2, 1, 3.5)
-    rows.limit(1).write.mode("append").parquet(src)
-    digest.digest_incremental(spark, src, rows.schema, lambda d: d, out, ck)
-    assert digest.read_digest(spark, out).first().entries == 3
-
-
 def test_ascii_edges_ignore_accents():
     import re
     assert re.search(M.ascii_edges(r"\b1234\b"), "é1234", re.ASCII)
