@@ -4,8 +4,9 @@ A paragraph is a line of one word or more.  Equal paragraphs are one text from t
 start.  One of fewer than ``SHINGLE`` words has its whole word sequence as its only
 shingle, so it resembles its equals alone and needs no banding.  Each longer text gets ``BANDS`` keys of ``ROWS`` least hashes over
 its five-word shingles: at a similarity of 0.8 a pair shares a key with a
-probability of 99.8 %.  Texts that share a key are joined, their exact Jaccard
-similarity is computed, and linked texts form components.  Of a component the
+probability of 99.8 %.  Texts that share a key are joined; a bound on the size of
+their difference, from 128 parity bits each, leaves out most unlike pairs and no
+other; of the rest the exact Jaccard similarity is computed, and linked texts form components.  Of a component the
 first paragraph, by document id and place, stays.
 
 Keys with up to ``FEW`` texts join all of them.  Larger ones are worked off by
@@ -29,7 +30,7 @@ from .components import components
 
 SHINGLE = 5
 LEAST = 0.8
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 9, 3
 FEW = 32
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -55,24 +56,44 @@ def band_keys(text: Column) -> Column:
     return F.arrow_udf(run, T.ArrayType(T.LongType()))(text)
 
 
-def shingle_set(text: Column) -> Column:
-    words = word_array(F.lower(text))
+def shingle_set(words: str) -> Column:
+    """Distinct hashes of all runs of SHINGLE words.  ``words`` names a column: an expression would be evaluated anew for every run."""
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - SHINGLE + 1), lambda i: F.xxhash64(F.slice(words, i, SHINGLE))))
 
 
+def _parity(shingles: str, half: int) -> Column:
+    """64 bits: bit i is the parity of the shingles whose hash ends in ``half`` and i.  Bits that differ are at most the shingles that do."""
+    return F.aggregate(shingles, F.lit(0).cast("long"), lambda bits, h: F.when(
+        F.shiftright(h, 6).bitwiseAND(F.lit(1)) == half, bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).otherwise(bits))
+
+
+def _set_table(texts: DataFrame) -> DataFrame:
+    """``para, shingles, size, p0, p1`` of ``para, text``."""
+    sets = texts.select("para", word_array(F.lower("text")).alias("words")).select("para", shingle_set("words").alias("shingles"))
+    return sets.withColumns({"size": F.size("shingles"), "p0": _parity("shingles", 0), "p1": _parity("shingles", 1)})
+
+
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) with a Jaccard similarity of LEAST or more."""
+    """The pairs (a, b) with a Jaccard similarity of LEAST or more.
+
+    Such a pair differs in at most (1 - LEAST) / (1 + LEAST) of both sizes; sizes and parity bits tell most others before a set is moved.
+    """
+    for k in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("para").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("size", "p0", "p1"))), k)
+    differ = sum((F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in ("p0", "p1")), F.lit(0))
+    most = (F.col("a_size") + F.col("b_size")) * ((1 - LEAST) / (1 + LEAST)) + 1e-6
+    near = pairs.filter((F.abs(F.col("a_size") - F.col("b_size")) <= most) & (differ <= most)).select("a", "b")
     for k in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("para").alias(k), F.col("shingles").alias(f"{k}_set")), k)
+        near = near.join(sets.select(F.col("para").alias(k), F.col("shingles").alias(f"{k}_set")), k)
     common = F.size(F.array_intersect("a_set", "b_set"))
-    return pairs.filter(common >= LEAST * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
+    return near.filter(common >= LEAST * (F.size("a_set") + F.size("b_set") - common)).select("a", "b")
 
 
 def links(texts: DataFrame) -> DataFrame:
     """``a, b``: links of ``texts`` (para, text) that give the components of all pairs with a common key and LEAST similarity."""
     posts = texts.select("para", F.posexplode(band_keys(F.col("text"))).alias("band", "key"))
     held = cut(posts.withColumn("n", F.count("*").over(Window.partitionBy("band", "key"))).filter("n > 1"), "bands")
-    sets = cut(texts.join(held.select("para").distinct(), "para").select("para", shingle_set(F.col("text")).alias("shingles")), "sets")
+    sets = cut(_set_table(texts.join(held.select("para").distinct(), "para")), "sets")
     few = held.filter(F.col("n") <= FEW)
     pairs = (few.select("band", "key", F.col("para").alias("a")).join(few.select("band", "key", F.col("para").alias("b")), ["band", "key"])
              .filter("a < b").select("a", "b").distinct())
