@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import columns as FC
+from ..operators import hierarchy as H
 from ..operators import accounts as A
 from ..operators import checks as C
 from ..operators import flux as X
@@ -153,6 +154,45 @@ register("entity_lists_ledger", lambda d: S.entity_lists_ledger(A.accounts_of(d.
     WHERE lower(account_group) IN ({', '.join(map(q, S.VENDOR_GROUPS + S.CUSTOMER_GROUPS))})""", uses=("types",))
 
 
+# --- account hierarchy ---------------------------------------------------------------
+
+TEAMS = 40
+
+
+def _edges(d):
+    """Each customer hangs under a team, teams under a third of their number, the first under the debtors."""
+    k = F.col("team")
+    customers = d.table("customer").select(F.col("c_nationkey").cast("int").alias("ledger_id"), F.col("c_name").alias("child"),
+                                           F.concat(F.lit("Team "), F.col("c_custkey") % TEAMS).alias("parent"))
+    teams = d.table("nation").select(F.col("n_nationkey").cast("int").alias("ledger_id"), F.explode(F.sequence(F.lit(0), F.lit(TEAMS - 1))).alias("team")).select(
+        "ledger_id", F.concat(F.lit("Team "), k).alias("child"),
+        F.when(k == 0, "Sundry Debtors").otherwise(F.concat(F.lit("Team "), F.floor(k / 3))).alias("parent"))
+    return customers.unionByName(teams)
+
+
+def _node_types(d):
+    """The standard group is typed by its name, one team in each second ledger by hand."""
+    ledgers = d.table("nation").select(F.col("n_nationkey").cast("int").alias("ledger_id"))
+    group = ledgers.select("ledger_id", F.lit("Sundry Debtors").alias("node"), A.classify_by_group(F.lit("Sundry Debtors")).alias("account_type"))
+    return group.unionByName(ledgers.filter("ledger_id % 2 = 0").select("ledger_id", F.lit("Team 4").alias("node"), F.lit("CURRENT_ASSET").alias("account_type")))
+
+
+_EDGES = f"""SELECT CAST(c_nationkey AS INTEGER) AS ledger_id, c_name AS node, 'Team ' || (c_custkey % {TEAMS}) AS parent FROM customer
+  UNION ALL SELECT CAST(n_nationkey AS INTEGER), 'Team ' || k, CASE WHEN k = 0 THEN 'Sundry Debtors' ELSE 'Team ' || (k // 3) END
+  FROM nation, range({TEAMS}) t(k)"""
+_WALK = f"""WITH RECURSIVE e AS ({_EDGES}), walk AS (SELECT ledger_id, node, parent AS ancestor, 1 AS distance FROM e
+  UNION ALL SELECT w.ledger_id, w.node, e.parent, w.distance + 1 FROM walk w JOIN e ON e.ledger_id = w.ledger_id AND e.node = w.ancestor)"""
+register("account_closure", lambda d: H.closure(_edges(d)), f"{_WALK} SELECT * FROM walk", uses=())
+register("account_hierarchy", lambda d: H.inherited_types(_edges(d), _node_types(d)), f"""{_WALK},
+  t AS (SELECT CAST(n_nationkey AS INTEGER) AS ledger_id, 'Sundry Debtors' AS node, 'RECEIVABLE' AS account_type FROM nation
+    UNION ALL SELECT CAST(n_nationkey AS INTEGER), 'Team 4', 'CURRENT_ASSET' FROM nation WHERE n_nationkey % 2 = 0),
+  seen AS (SELECT ledger_id, node, ancestor, distance FROM walk UNION ALL SELECT ledger_id, node, node, 0 FROM e
+    UNION ALL SELECT ledger_id, node, node, 0 FROM t WHERE node = 'Sundry Debtors')
+  SELECT s.ledger_id, s.node, t.account_type, s.ancestor AS typed_by, CAST(s.distance AS BIGINT) AS distance, FALSE AS is_cyclic
+  FROM seen s JOIN t ON t.ledger_id = s.ledger_id AND t.node = s.ancestor
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY s.ledger_id, s.node ORDER BY s.distance) = 1""", uses=())
+
+
 def _top(key: str, value: str, k: int, name: str, where: str) -> str:
     return f"""(SELECT ledger_id, string_agg(x, '|' ORDER BY pos) AS {name} FROM (SELECT ledger_id, {key} AS x,
       ROW_NUMBER() OVER (PARTITION BY ledger_id ORDER BY {value} DESC, {key}) AS pos FROM gl WHERE {where} GROUP BY 1, 2)

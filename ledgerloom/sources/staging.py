@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from hashlib import sha1
 from typing import TypeVar
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,11 @@ def built(spark: SparkSession, name: str, source: str, build: Callable[[str], T]
     made = build(path)
     _BUILT[key] = path
     return made
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; cuts the lineage of a loop."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ledgerloom/{spark.sparkContext.applicationId}/{name}-{uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
