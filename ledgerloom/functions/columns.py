@@ -119,6 +119,11 @@ def in_period(start: str | Column, end: str | Column) -> Column:
     return F.col("transaction_date").between(lo, hi)
 
 
+def natural_order(key: str) -> Column:
+    """A text key whose numbers (of up to 20 digits) sort by value: "9-1" comes before "10-1"."""
+    return F.regexp_replace(F.regexp_replace(key, r"(\d+)", "0" * 20 + "$1"), r"\d*(\d{20})", "$1")
+
+
 def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """Top ``k`` rows per key.
 

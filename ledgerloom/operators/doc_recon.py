@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import effective_amount, keyword_any, total_if
+from ..functions.columns import effective_amount, keyword_any, natural_order, total_if
 from ..functions.names import fuzzy_pairs, name_similarity
 
 L = "ledger_id"
@@ -73,7 +73,7 @@ def deductees(form: DataFrame) -> DataFrame:
     """Per PAN (else name): the first row's name and PAN, and totals."""
     key = F.when(F.col("deductee_pan") != "", F.col("deductee_pan")).otherwise(F.lower(F.trim("deductee_name")))
     return form.groupBy(L, key.alias("key")).agg(
-        F.min_by("deductee_name", "row_key").alias("name"), F.min_by("deductee_pan", "row_key").alias("pan"),
+        F.min_by("deductee_name", natural_order("row_key")).alias("name"), F.min_by("deductee_pan", natural_order("row_key")).alias("pan"),
         F.sum("tds_deducted").alias("deducted"), F.sum("tds_deposited").alias("deposited"))
 
 
@@ -122,7 +122,7 @@ def _ref(c: str) -> Column:
 
 def invoices(docs: DataFrame) -> DataFrame:
     return docs.groupBy(L, _ref("invoice_no").alias("ref")).agg(
-        F.sum("taxable_value").alias("taxable"), F.min_by(F.coalesce("receiver_name", F.lit("")), "row_key").alias("receiver"))
+        F.sum("taxable_value").alias("taxable"), F.min_by(F.coalesce("receiver_name", F.lit("")), natural_order("row_key")).alias("receiver"))
 
 
 def invoice_anti_both(gl: DataFrame, docs: DataFrame) -> DataFrame:

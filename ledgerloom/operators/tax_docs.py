@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import total_if
+from ..functions.columns import natural_order, total_if
 from ..sources.schema import MONEY
 from .checks import ISSUE, _counted, _stack
 
@@ -270,7 +270,7 @@ def _rows_26q(rows: DataFrame) -> DataFrame:
 def deposit_gaps(rows: DataFrame) -> DataFrame:
     """Challans whose deductions differ from the deposit stated on their last row by over 1."""
     per = rows.groupBy(L, "bsr_code", "challan_date", "challan_serial_no").agg(
-        F.sum("tds_deducted").alias("deducted"), F.max_by("tds_deposited", "row_key").alias("deposited"),
+        F.sum("tds_deducted").alias("deducted"), F.max_by("tds_deposited", natural_order("row_key")).alias("deposited"),
         F.count(F.lit(1)).alias("n"))
     gap = F.abs(F.col("deducted") - F.col("deposited"))
     return per.filter((F.col("deposited") > 0) & (gap > 1)).withColumn("gap", gap)

@@ -21,6 +21,8 @@ def _case(values: list[str], cast: str | None = None) -> str:
     return f"CASE l_linenumber {whens} END"
 
 
+# numbers in a row key count by value
+NATURAL = r"regexp_replace(regexp_replace(row_key, '(\d+)', '" + "0" * 20 + r"\1', 'g'), '\d*(\d{20})', '\1', 'g')"
 cte("f0", f"""SELECT s_nationkey AS ledger_id, k || '-' || l_linenumber || '-' || l_partkey || '-' || s AS row_key,
   CASE WHEN s % 4 = 1 THEN s_name || ' Pvt. Ltd' WHEN s % 4 = 2 THEN s_name || ' Traders' ELSE s_name END AS deductee_name,
   CASE WHEN s % 10 = 9 THEN '' WHEN s % 10 = 7 THEN 'ABCD' || lpad(CAST(s % 10000 AS VARCHAR), 4, '0') || 'F'
@@ -149,9 +151,9 @@ Q26 = {
                         "tds_deducted > 0 AND (bsr_code = '' OR challan_serial_no = '' OR challan_date IS NULL)",
                         "SUM(tds_deducted)", "sec"),
     "26Q-DEP-001": issue("26Q-DEP-001", "'critical'", "Deducted vs Deposited", "'Gap between TDS deducted and deposited'",
-                         "n", r2("x"), """(SELECT ledger_id, SUM(n) AS n, SUM(ABS(a - b)) AS x FROM (
+                         "n", r2("x"), f"""(SELECT ledger_id, SUM(n) AS n, SUM(ABS(a - b)) AS x FROM (
                          SELECT ledger_id, bsr_code, challan_date, challan_serial_no, SUM(tds_deducted) AS a,
-                           max_by(tds_deposited, row_key) AS b, COUNT(*) AS n FROM sec GROUP BY 1, 2, 3, 4)
+                           max_by(tds_deposited, {NATURAL}) AS b, COUNT(*) AS n FROM sec GROUP BY 1, 2, 3, 4)
                          WHERE b > 0 AND ABS(a - b) > 1 GROUP BY 1)"""),
 }
 for _n, _c in (("q26_pan_format", "26Q-PAN-001"), ("q26_pan_missing", "26Q-PAN-002"), ("q26_bsr_format", "26Q-BSR-001"),
@@ -160,9 +162,9 @@ for _n, _c in (("q26_pan_format", "26Q-PAN-001"), ("q26_pan_missing", "26Q-PAN-0
     register(_n, lambda d, c=_c: T.issues_26q(_form(d), [c]), Q26[_c], uses=("sec",))
 register("scan_26q", lambda d: T.issues_26q(_form(d)), "\nUNION ALL ".join(Q26.values()), uses=("sec",))
 register("agg_first_by", lambda d: sdbl(T.deposit_gaps(_form(d)), ["deducted", "deposited", "gap"]),
-         """SELECT ledger_id, bsr_code, challan_date, challan_serial_no, CAST(a AS DOUBLE) AS deducted,
+         f"""SELECT ledger_id, bsr_code, challan_date, challan_serial_no, CAST(a AS DOUBLE) AS deducted,
          CAST(b AS DOUBLE) AS deposited, n, CAST(ABS(a - b) AS DOUBLE) AS gap FROM (SELECT ledger_id, bsr_code,
-           challan_date, challan_serial_no, SUM(tds_deducted) AS a, max_by(tds_deposited, row_key) AS b,
+           challan_date, challan_serial_no, SUM(tds_deducted) AS a, max_by(tds_deposited, {NATURAL}) AS b,
            COUNT(*) AS n FROM form GROUP BY 1, 2, 3, 4) WHERE b > 0 AND ABS(a - b) > 1""", uses=FORM)
 
 G_NUM = ["invoice_value", "taxable_value", "igst", "cgst", "sgst", "cess"]
@@ -283,8 +285,8 @@ def gap(code: str, sev: str, party: str, ref: str, gl: str, doc: str, var: str,
 
 cte("tds_gl", f"""SELECT *, {EFF} AS eff, COALESCE(party_name, vendor_name, customer_name, '') AS party
   FROM gl WHERE {IS_TDS}""", uses=("gl",))
-cte("ded", """SELECT ledger_id, CASE WHEN deductee_pan <> '' THEN deductee_pan ELSE lower(trim(deductee_name)) END AS key,
-  min_by(deductee_name, row_key) AS name, min_by(deductee_pan, row_key) AS pan, SUM(tds_deducted) AS deducted
+cte("ded", f"""SELECT ledger_id, CASE WHEN deductee_pan <> '' THEN deductee_pan ELSE lower(trim(deductee_name)) END AS key,
+  min_by(deductee_name, {NATURAL}) AS name, min_by(deductee_pan, {NATURAL}) AS pan, SUM(tds_deducted) AS deducted
   FROM form GROUP BY 1, 2""", uses=FORM)
 cte("pairs", f"""SELECT * FROM (SELECT a.ledger_id, a.name AS left_name, b.party AS right_name,
   {sim('a.name', 'b.party')} AS similarity FROM (SELECT DISTINCT ledger_id, name FROM ded) a
@@ -321,8 +323,8 @@ register("name_similarity",
          SELECT DISTINCT ledger_id, party_name, description FROM gl WHERE party_name IS NOT NULL)""")
 
 cte("sales_gl", f"""SELECT *, {EFF} AS eff, upper(trim(reference_number)) AS ref FROM gl WHERE {IS_SALE}""", uses=("gl",))
-cte("inv", """SELECT ledger_id, upper(trim(invoice_no)) AS ref, SUM(taxable_value) AS taxable,
-  min_by(COALESCE(receiver_name, ''), row_key) AS receiver FROM g1 GROUP BY 1, 2""", uses=G1)
+cte("inv", f"""SELECT ledger_id, upper(trim(invoice_no)) AS ref, SUM(taxable_value) AS taxable,
+  min_by(COALESCE(receiver_name, ''), {NATURAL}) AS receiver FROM g1 GROUP BY 1, 2""", uses=G1)
 TG1 = BOTH.format(gl="sales_gl", col="taxable_value", doc="g1")
 MIX = "supply_type = 'B2B' AND receiver_gstin IS NOT NULL AND igst > 0 AND (cgst > 0 OR sgst > 0)"
 NIL = f"taxable_value > 100000 AND {TAX} = 0 AND supply_type <> 'NIL'"

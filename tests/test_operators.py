@@ -325,3 +325,9 @@ def test_mask_audit_refuses_no_rows(spark):
     log = spark.createDataFrame([], "ledger_id int, call_id int, model string, masked_json string, created_at date")
     with pytest.raises(ValueError):
         P.mask_audit(log, 0)
+
+
+def test_last_deposit_goes_by_number(spark):
+    rows = [(1, f"{k}-{line}", "0001234", D(2024, 5, 7), "11", 10.0, 100.0 * k + line) for k in (9, 10) for line in (2, 11, 1)]
+    df = spark.createDataFrame(rows, "ledger_id int, row_key string, bsr_code string, challan_date date, challan_serial_no string, tds_deducted double, tds_deposited double")
+    assert [r.deposited for r in tax_docs.deposit_gaps(df.repartition(3)).collect()] == [1011.0]
