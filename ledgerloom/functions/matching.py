@@ -1,20 +1,16 @@
-"""Regular-expression helpers that need match positions, as Arrow-batched UDFs."""
+"""Amounts, names, account codes and word runs of a text, as column expressions.
 
-from __future__ import annotations
-
-import re
+Every finder yields arrays in reading order and never leaves the JVM.  A missing or empty
+text gives empty arrays.  Positions count characters from 0.
+"""
 
-import pandas as pd
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
-
-WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
+from __future__ import annotations
 
+from functools import partial
 
-def ascii_edges(pattern: str) -> str:
-    """Spell out word edges: Java's ``\\b`` also counts accented letters as word characters."""
-    return pattern.replace(r"\b", WORD_EDGE)
+from pyspark.sql import Column, functions as F
 
+from .spans import ascii_edges, let, overlaps, spans
 
 # fixed values: (format, currency, multiplier, pattern), most specific first
 RS = r"(?:₹|Rs\.?\s*)"
@@ -48,38 +44,6 @@ CONTEXT = [
     ("ENTITY", LINKED.format(word="to", stops="for|from|and|or|in|at|on|with|by")),
     ("ENTITY", LINKED.format(word="for", stops="from|to|and|or|in|at|on|with|by")),
 ]
-
-
-def _number(s: str) -> float | None:
-    head = re.match(r"\d+(?:\.\d+)?", s.replace(",", ""))
-    return float(head.group()) if head else None
-
-
-def amounts_in(text: str) -> list[dict]:
-    """Each pattern reads the whole text; a match touching an earlier pattern's match is dropped whole."""
-    taken: list[tuple[int, int]] = []
-    out = []
-    for fmt, currency, factor, pattern in AMOUNTS:
-        for m in re.finditer(pattern, text, re.ASCII):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            number, label, at, shown = m.group(1), fmt, m.start(), m.group()
-            if fmt == "us-abbr":
-                factor = UNITS[m.group(2).upper()]
-                label = f"us-{m.group(2).upper()}-abbr"
-            elif fmt == "code-suffix":
-                currency = m.group(2).upper()
-            elif fmt == "european":
-                number = number.replace(".", "").replace(",", ".")
-            elif fmt == "plain-keyword":
-                at, shown = m.start() + m.group().rfind(number), number
-            value = _number(number)
-            taken.append(m.span())
-            out.append({"position": at, "original": shown, "value": None if value is None else value * factor,
-                        "currency": currency, "format": label})
-    return sorted(out, key=lambda r: r["position"])
-
-
 # fixed values: accounting words never taken for a name
 NOT_NAMES = set("""
 AP AR GL PL BS Revenue Expense Expenses Balance Trial Journal Ledger Ledgers Voucher Vouchers Invoice Invoices Receipt
@@ -90,88 +54,147 @@ Calculate Total Sum Count Average Group India March April June July August Septe
 February Monday Tuesday Wednesday Thursday Friday Q1 Q2 Q3 Q4 FY YTD MTD QTD
 """.lower().split())
 
+AMOUNT_ROWS = "array<struct<position:int,original:string,value:double,currency:string,format:string,start:int,stop:int>>"
+NAME_ROWS = "array<struct<value:string,category:string,confidence:double,method:string,start:int>>"
+TOKEN_ROWS = "array<struct<token:string,original:string>>"
+
+
+def none_of(kind: str) -> Column:
+    return F.array().cast(kind)
+
+
+def _value(digits: Column) -> Column:
+    """The number a text starts with, thousands commas dropped."""
+    return F.regexp_extract(F.replace(digits, F.lit(","), F.lit("")), r"^\d+(?:\.\d+)?", 0).try_cast("double")
+
+
+def _last_place(whole: Column, part: Column) -> Column:
+    return F.length(whole) - F.length(part) + 1 - F.instr(F.reverse(whole), F.reverse(part))
+
+
+def _amount_row(fmt: str, currency: str, factor: float, m: Column) -> Column:
+    digits, unit = m["m1"], F.upper(m["m2"]) if fmt in ("us-abbr", "code-suffix") else None
+    named, money, scale, at, shown = F.lit(fmt), F.lit(currency), F.lit(factor), m["start"], m["m0"]
+    if fmt == "us-abbr":
+        named = F.concat(F.lit("us-"), unit, F.lit("-abbr"))
+        scale = F.element_at(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair]), unit)
+    elif fmt == "code-suffix":
+        money = unit
+    elif fmt == "european":
+        digits = F.translate(digits, ",.", ".")
+    elif fmt == "plain-keyword":
+        at, shown = at + _last_place(shown, digits), digits
+    return F.struct(at.cast("int").alias("position"), shown.alias("original"), (_value(digits) * scale).alias("value"),
+                    money.alias("currency"), named.alias("format"), m["start"].alias("start"), m["stop"].alias("stop"))
+
+
+def find_amounts(text: Column) -> Column:
+    """Amounts in reading order.  Where two patterns' matches touch, the one of the earlier pattern stands."""
+    ranked = F.concat(*[
+        F.transform(spans(text, ascii_edges(p), 2 if fmt in ("us-abbr", "code-suffix") else 1),
+                    partial(_amount_row, fmt, currency, factor)).cast(AMOUNT_ROWS)
+        for fmt, currency, factor, p in AMOUNTS])
+    stands = F.aggregate(ranked, none_of(AMOUNT_ROWS), lambda kept, a: F.when(
+        F.exists(kept, lambda k: overlaps(k, a)), kept).otherwise(F.concat(kept, F.array(a))))
+    found = F.transform(F.array_sort(stands), lambda a: F.struct(*[a[c].alias(c) for c in (
+        "position", "original", "value", "currency", "format")]))
+    return F.when(text.rlike(r"\d"), found).otherwise(F.transform(none_of(AMOUNT_ROWS), lambda a: F.struct(*[
+        a[c].alias(c) for c in ("position", "original", "value", "currency", "format")])))
+
+
+def _name_row(category: str, m: Column) -> Column:
+    value = F.regexp_replace(m["m1"], r"^\s+|\s+$", "")
+    return F.struct(value.alias("value"), F.lit(category).alias("category"), F.lit(0.5).alias("confidence"), F.lit("context").alias("method"),
+                    (m["start"] + F.instr(m["m0"], value) - 1).cast("int").alias("start"))
+
+
+def _introduced(text: Column) -> Column:
+    """Capitalised names behind a phrase; accounting words are none."""
+    rows = F.concat(*[F.transform(spans(text, ascii_edges(p).replace("(?im)", "(?imd)"), 1), partial(_name_row, category)).cast(NAME_ROWS)
+                      for category, p in CONTEXT])
+    return F.filter(rows, lambda e: (F.length(e["value"]) >= 2) & e["value"].rlike("^[A-Z]") & ~F.lower(e["value"]).isin(sorted(NOT_NAMES)))
+
+
+def merge_names(text: Column, known: Column) -> Column:
+    """``known`` names and those a phrase introduces: best confidence per value, in reading order.
+
+    An introduced name gives way to a known one that it equals (in any case) or touches.
+    """
+    def reach(e: Column) -> Column:
+        return F.struct(e["start"].alias("start"), (e["start"] + F.length(e["value"])).alias("stop"))
+
+    free = F.filter(_introduced(text), lambda e: ~F.exists(known, lambda k: (F.lower(k["value"]) == F.lower(e["value"])) | overlaps(reach(k), reach(e))))
+    best_first = F.array_sort(F.transform(F.concat(F.array_sort(known), free), lambda e, i: F.struct(
+        (-e["confidence"]).alias("rank"), e["start"].alias("start"), e["value"].alias("value"), i.alias("i"), e.alias("e"))))
+    first = let(F.struct(best_first.alias("rows"), F.transform(best_first, lambda b: F.lower(b["value"])).alias("spelt")), lambda s: F.filter(
+        s["rows"], lambda b, i: F.array_position(s["spelt"], F.lower(b["value"])) == i + 1))
+    ordered = F.array_sort(F.transform(first, lambda b: F.struct(b["start"].alias("start"), b["value"].alias("value"), b["e"].alias("e"))))
+    return F.transform(ordered, lambda b: b["e"]).cast(NAME_ROWS)
+
 
-def _span(e: dict) -> tuple[int, int]:
-    return e["start"], e["start"] + len(e["value"])
+def _next_token(held: Column, category: Column) -> Column:
+    n = F.size(F.filter(held, lambda t: t["token"].startswith(F.concat(category, F.lit("_T"))))) + 1
+    return F.concat(category, F.lit("_T"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string")))
 
 
-def names_in(text: str, known: list[dict]) -> list[dict]:
-    """Dictionary names plus capitalised names behind a phrase; best confidence per value, in reading order."""
-    out = [dict(e) for e in known]
-    for category, pattern in CONTEXT:
-        for m in re.finditer(pattern, text, re.ASCII):
-            value = m.group(1).strip()
-            if len(value) < 2 or value.lower() in NOT_NAMES or not re.match("[A-Z]", value):
-                continue
-            new = {"value": value, "category": category, "confidence": 0.5, "method": "context",
-                   "start": m.start() + m.group().index(value)}
-            a, b = _span(new)
-            if not any(e["value"].lower() == value.lower() or (_span(e)[0] < b and a < _span(e)[1]) for e in known):
-                out.append(new)
-    best: dict[str, dict] = {}
-    for e in sorted(out, key=lambda e: (-e["confidence"], e["start"], e["value"])):
-        best.setdefault(e["value"].lower(), e)
-    return sorted(best.values(), key=lambda e: (e["start"], e["value"]))
+def _with_token(held: Column, category: Column, value: Column) -> Column:
+    """The token table with a token for ``value``."""
+    new = F.array(F.struct(_next_token(held, category).alias("token"), value.alias("original")))
+    return F.when(F.exists(held, lambda t: t["original"] == value), held).otherwise(F.concat(held, new)).cast(TOKEN_ROWS)
 
 
-def tokens_for(text: str, names: list[dict]) -> tuple[str, list[dict]]:
-    """Names, then amounts, longest first, then account codes from the end of the text, become tokens."""
-    tokens: dict[str, str] = {}
-    counts: dict[str, int] = {}
+def token_of(held: Column, value: Column) -> Column:
+    return F.get(F.filter(held, lambda t: t["original"] == value), 0)["token"]
 
-    def token(category: str, value: str) -> str:
-        if value not in tokens:
-            counts[category] = counts.get(category, 0) + 1
-            tokens[value] = f"{category}_T{counts[category]:03d}"
-        return tokens[value]
 
-    for e in sorted(names, key=lambda e: -len(e["value"])):
-        text = text.replace(e["value"], token(e["category"], e["value"]))
-    for a in sorted(amounts_in(text), key=lambda a: -len(a["original"])):
-        if a["original"] not in tokens:
-            text = text.replace(a["original"], token("AMOUNT", a["original"]))
-    for m in reversed(list(re.finditer(ACCOUNT, text, re.ASCII))):
-        text = text[:m.start()] + token("ACCT", m.group()) + text[m.end():]
-    return text, [{"token": t, "original": v} for v, t in tokens.items()]
+def _longest_first(rows: Column, value: str) -> Column:
+    return F.transform(F.array_sort(F.transform(rows, lambda e, i: F.struct(
+        (-F.length(e[value])).alias("n"), i.alias("i"), e.alias("e")))), lambda s: s["e"])
 
 
-def _rows(**fields: T.DataType) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(n, t) for n, t in fields.items()]))
+def name_tokens(text: Column, names: Column) -> Column:
+    """struct(text, map): every name, longest first, stands as its token."""
+    def put(state: Column, e: Column) -> Column:
+        held = _with_token(state["map"], e["category"], e["value"])
+        return F.struct(F.replace(state["text"], e["value"], token_of(held, e["value"])).alias("text"), held.alias("map"))
 
+    return F.aggregate(_longest_first(names, "value"), F.struct(text.alias("text"), none_of(TOKEN_ROWS).alias("map")), put)
 
-S, D, N = T.StringType(), T.DoubleType(), T.IntegerType()
-AMOUNT_ROWS = _rows(position=N, original=S, value=D, currency=S, format=S)
-NAME_ROWS = _rows(value=S, category=S, confidence=D, method=S, start=N)
 
+def amount_tokens(text: Column, held: Column, amounts: Column) -> Column:
+    """struct(text, map): every amount that has no token yet, longest first."""
+    def put(state: Column, a: Column) -> Column:
+        grown = _with_token(state["map"], F.lit("AMOUNT"), a["original"])
+        return F.when(F.exists(state["map"], lambda t: t["original"] == a["original"]), state).otherwise(F.struct(
+            F.replace(state["text"], a["original"], token_of(grown, a["original"])).alias("text"), grown.alias("map")))
 
-@pandas_udf(AMOUNT_ROWS)
-def find_amounts(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: amounts_in(t) if t else [])
+    return F.aggregate(_longest_first(amounts, "original"), F.struct(text.alias("text"), held.alias("map")), put)
 
 
-@pandas_udf(NAME_ROWS)
-def merge_names(texts: pd.Series, known: pd.Series) -> pd.Series:
-    return pd.Series([names_in(t or "", list(k) if k is not None else []) for t, k in zip(texts, known)])
+def account_map(text: Column, held: Column) -> Column:
+    """The token table with the account codes, numbered from the end of the text."""
+    codes = F.reverse(F.regexp_extract_all(text, F.lit(ascii_edges(ACCOUNT)), F.lit(0)))
+    return F.aggregate(codes, held, lambda acc, code: _with_token(acc, F.lit("ACCT"), code))
 
 
-TOKENISED = T.StructType([T.StructField("text", S), T.StructField("map", _rows(token=S, original=S))])
+def account_text(text: Column, held: Column) -> Column:
+    codes = F.regexp_extract_all(text, F.lit(ascii_edges(ACCOUNT)), F.lit(0))
+    tokens = F.transform(codes, lambda c: token_of(held, c))
+    return F.array_join(F.zip_with(F.split(text, ascii_edges(ACCOUNT), -1), tokens, lambda gap, t: F.concat(gap, F.coalesce(t, F.lit("")))), "")
 
 
-@pandas_udf(TOKENISED)
-def put_tokens(texts: pd.Series, names: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([tokens_for(t or "", list(n)) for t, n in zip(texts, names)], columns=["text", "map"])
+def _runs(parts: Column, size: Column, join: str) -> Column:
+    """Every ``size`` neighbours of an array, joined."""
+    last = F.size(parts) - size
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(parts, i + 1, size), join))).otherwise(
+        none_of("array<string>"))
 
 
-@pandas_udf(T.ArrayType(S))
-def pieces(texts: pd.Series) -> pd.Series:
+def pieces(text: Column) -> Column:
     """Distinct characters and three-letter pieces of a text."""
-    return texts.map(lambda t: list({t[i:i + 3] for i in range(len(t) - 2)} | set(t)) if t else [])
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), lambda chars: F.array_distinct(F.concat(chars, _runs(chars, F.lit(3), ""))))
 
 
-@pandas_udf(T.ArrayType(S))
-def windows(texts: pd.Series, sizes: pd.Series) -> pd.Series:
+def windows(text: Column, size: Column) -> Column:
     """Runs of ``size`` words, one per starting word."""
-    def cut(t: str, n: int) -> list[str]:
-        words = re.findall(r"\S+", t or "")
-        return [" ".join(words[i:i + n]) for i in range(len(words) - n + 1)]
-    return pd.Series([cut(t, int(n)) for t, n in zip(texts, sizes)])
+    return let(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), lambda words: _runs(words, size, " "))

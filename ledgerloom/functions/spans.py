@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Callable
 
+from pyspark.sql import Column, functions as F
 
 WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
@@ -13,27 +14,34 @@ def ascii_edges(pattern: str) -> str:
     return pattern.replace(r"\b", WORD_EDGE)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where ``use`` reads it inside a lambda."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), 0)
+
+
 def spans(text: Column, pattern: str, groups: int = 1) -> Column:
     """array<struct<start, stop, m0, m1, ...>> of the non-overlapping matches, in order.
 
     Matches come from ``regexp_extract_all``, the gaps between them from
     ``split``; running lengths of both give the positions.
     """
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in range(groups + 1)]
-    gaps = F.split(text, pattern, -1)
-    whole = found[0]
-
-    def grow(acc: Column, i: Column) -> Column:
-        at = acc["at"] + F.length(F.get(gaps, i))
-        stop = at + F.length(F.get(whole, i))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), stop.alias("stop")))).alias("out"))
-
-    empty = F.lit(None).cast("array<struct<start:int,stop:int>>")
-    zero = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:int,stop:int>>")).alias("out"))
-    index = F.when(F.size(whole) > 0, F.sequence(F.lit(0), F.size(whole) - 1)).otherwise(F.array().cast("array<int>"))
-    places = F.aggregate(index, zero, grow, lambda acc: acc["out"])
-    return F.transform(places, lambda p, i: F.struct(
-        p["start"].alias("start"), p["stop"].alias("stop"), *[F.get(f, i).alias(f"m{n}") for n, f in enumerate(found)]))
+    names = [f"m{n}" for n in range(groups + 1)]
+    kind = "array<struct<start:int,stop:int," + ",".join(f"{n}:string" for n in names) + ">>"
+
+    def placed(read: Column) -> Column:
+        def grow(acc: Column, i: Column) -> Column:
+            at = acc["at"] + F.length(F.get(read["gaps"], i))
+            stop = at + F.length(F.get(read["m0"], i))
+            row = F.struct(at.alias("start"), stop.alias("stop"), *[F.get(read[n], i).alias(n) for n in names])
+            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(row)).cast(kind).alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(read["m0"]) - 1), zero, grow, lambda acc: acc["out"])
+
+    read = F.struct(F.split(text, pattern, -1).alias("gaps"), *[
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(n) for i, n in enumerate(names)])
+    # a text without a match is read once
+    return F.when(text.rlike(pattern), let(read, placed)).otherwise(F.array().cast(kind))
 
 
 def overlaps(a: Column, b: Column) -> Column:

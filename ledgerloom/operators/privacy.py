@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import top_per
-from ..functions.matching import ACCOUNT, ascii_edges, find_amounts, merge_names, pieces, put_tokens, windows
+from ..functions.matching import (ACCOUNT, NAME_ROWS, account_map, account_text, amount_tokens, find_amounts, merge_names, name_tokens,
+                                  pieces, windows)
+from ..functions.spans import ascii_edges
 
 # --- PII ---------------------------------------------------------------------------
 
@@ -52,7 +54,7 @@ def count_pii(df: DataFrame, text: str) -> DataFrame:
 
 
 def with_amounts(df: DataFrame, text: str, out: str = "amounts") -> DataFrame:
-    """Add the detected amounts of each text in reading order (an Arrow-batched helper finds them)."""
+    """Add the detected amounts of each text in reading order."""
     return df.withColumn(out, find_amounts(F.col(text)))
 
 
@@ -139,8 +141,7 @@ def with_entities(texts: DataFrame, terms: DataFrame, keys: list[str], key: str,
     found = exact.unionByName(fuzzy).groupBy(*keys, key).agg(F.collect_list(F.struct(
         "value", "category", "confidence", "method", F.col("start").cast("int").alias("start"))).alias("found"))
     df = texts.join(found, [*keys, key], "left")
-    kind = "array<struct<value:string,category:string,confidence:double,method:string,start:int>>"
-    df = df.withColumn("found", F.coalesce("found", F.array().cast(kind)).cast(kind))
+    df = df.withColumn("found", F.coalesce("found", F.array().cast(NAME_ROWS)).cast(NAME_ROWS))
     return df.withColumn("entities", merge_names(F.col(text), F.col("found"))).drop("found")
 
 
@@ -163,8 +164,11 @@ def tokenise_text(texts: DataFrame, terms: DataFrame, keys: list[str], key: str,
     clean = texts.select(*keys, key, strip_pii(F.col(text)).alias("clean"),
                          pii_total(F.col(text)).alias("pii_stripped"))
     df = with_entities(clean, terms, keys, key, "clean")
-    df = df.withColumn("_t", put_tokens(F.col("clean"), F.col("entities")))
-    df = df.withColumn("_w", F.col("_t.text")).withColumn("_map", F.col("_t.map"))
+    df = df.withColumn("_t", name_tokens(F.coalesce("clean", F.lit("")), F.col("entities")))
+    df = df.withColumn("_a", find_amounts(F.col("_t.text")))
+    df = df.withColumn("_t", amount_tokens(F.col("_t.text"), F.col("_t.map"), F.col("_a")))
+    df = df.withColumn("_map", account_map(F.col("_t.text"), F.col("_t.map")))
+    df = df.withColumn("_w", account_text(F.col("_t.text"), F.col("_map")))
     entity_count = F.size(F.filter("_map", lambda t: t["token"].startswith("ENTITY_")))
     extra = F.array().cast(TOKEN_MAP)
     for n, name in enumerate([c.strip() for c in custom_entities or [] if c.strip()]):
