@@ -73,6 +73,8 @@ def detect_accounts(text: Column, pattern: str | None = None) -> Column:
 # --- entities ----------------------------------------------------------------------
 
 GRAM, FUZZY_MIN, MAX_EDITS = 3, 5, 2
+#: Terms up to this length meet by what is left without two of their characters (at most 1,177 strings a term), longer ones by segment.
+VARIANT_MAX = 48
 ENTITY = ["value", "category", "confidence", "method", "start"]
 
 
@@ -98,35 +100,75 @@ def dictionary_exact(texts: DataFrame, terms: DataFrame, keys: list[str], key: s
                                            F.lit(1.0).alias("confidence"), F.lit("dictionary").alias("method"), "start")
 
 
+def shortened(low: Column) -> Column:
+    """Hashes of a string and of all that is left of it when one or two characters go.
+
+    Strings at most two edits apart share at least one, wherever they differ.
+    """
+    n = F.length(low)
+
+    def without(s: Column, i: Column) -> Column:
+        return F.concat(F.substring(s, F.lit(1), i), F.substring(s, i + 2, n))
+
+    one = F.transform(F.sequence(F.lit(0), n - 1), lambda i: without(low, i))
+    two = F.flatten(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(
+        F.sequence(i, n - 2), lambda j: without(without(low, i), j))))
+    return F.array_distinct(F.transform(F.concat(F.array(low), one, two), lambda s: F.xxhash64(s)))
+
+
+def _segments(terms: DataFrame, keys: list[str]) -> DataFrame:
+    cut = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring(
+        "low", _third(i) + 1, _third(i + 1) - _third(i)).alias("piece")) for i in range(3)]))
+    return terms.withColumn("s", cut).select(*keys, "words", "len", "low", "s.i", "s.piece")
+
+
+def _third(i: int) -> Column:
+    """Segment i of a term of length ``len`` starts here."""
+    return F.floor(F.col("len") * i / 3).cast("int")
+
+
+def near_terms(windows_: DataFrame, terms: DataFrame, keys: list[str], verify: bool = True) -> DataFrame:
+    """(keys..., words, window, low) of distinct windows and terms one or two edits apart.
+
+    ``windows_``: distinct (keys..., words, window); ``terms``: distinct (keys..., words, low); both in lower case.
+    A window goes on only if it holds one of three segments of some term at most two places off, which ends
+    nearly all prose.  It then meets terms by ``shortened`` strings, whole ones, so that a common
+    prefix brings nothing together; only terms of more than VARIANT_MAX characters, whose
+    segments are long, meet by segment.  ``verify=False`` returns the candidates.
+    """
+    terms = terms.withColumn("len", F.length("low"))
+    segments = _segments(terms, keys)
+    probes = windows_.withColumn("len", F.explode(F.sequence(F.length("window") - MAX_EDITS, F.length("window") + MAX_EDITS)))
+    probes = probes.join(terms.select(*keys, "words", "len").distinct(), [*keys, "words", "len"])
+    tries = [F.struct(F.lit(i).alias("i"), F.substring("window", F.greatest(_third(i) + 1 + d, F.lit(1)), _third(i + 1) - _third(i)).alias("piece"))
+             for i in range(3) for d in range(-MAX_EDITS, MAX_EDITS + 1)]
+    probes = probes.withColumn("s", F.explode(F.array_distinct(F.array(*tries)))).select(*keys, "words", "len", "window", "s.i", "s.piece")
+    on = [*keys, "words", "len", "i", "piece"]
+    long_ones = probes.filter(F.col("len") > VARIANT_MAX).join(segments, on).select(*keys, "words", "window", "low")
+    held = probes.filter(F.col("len") <= VARIANT_MAX).join(segments.select(*on).distinct(), on, "left_semi")
+    codes = held.select(*keys, "words", "window").distinct().withColumn("code", F.explode(shortened(F.col("window"))))
+    known = terms.filter(F.col("len") <= VARIANT_MAX).withColumn("code", F.explode(shortened(F.col("low")))).drop("len")
+    pairs = codes.join(known, [*keys, "words", "code"]).select(*keys, "words", "window", "low").unionByName(long_ones)
+    if verify:
+        pairs = pairs.filter(F.levenshtein("low", "window", MAX_EDITS).between(1, MAX_EDITS))
+    return pairs.distinct()
+
+
 def dictionary_fuzzy(texts: DataFrame, terms: DataFrame, exact: DataFrame, keys: list[str], key: str, text: str) -> DataFrame:
     """Word windows one or two edits away from a longer term that the text does not hold exactly.
 
-    Two strings within two edits share one of three segments of the term at
-    most two places apart, so windows and terms are joined on (word count,
-    length, segment) and then verified; the first window of a text wins.
+    Windows and terms are compared once each, however many texts hold them (``near_terms``); the first window
+    of a text wins.
     """
     t = terms.filter(F.length("term") > FUZZY_MIN).select(*keys, "term", "category").distinct()
-    t = t.withColumn("low", F.lower("term")).withColumn("words", F.size(F.split("term", r"\s+"))).withColumn("len", F.length("low"))
-    seg = lambda n, i: F.floor(n * i / 3).cast("int")  # noqa: E731 - segment i of a term of length n starts here
-    cut = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring(
-        "low", seg(F.col("len"), i) + 1, seg(F.col("len"), i + 1) - seg(F.col("len"), i)).alias("piece")) for i in range(3)]))
-    segments = t.withColumn("s", cut).select(*keys, "term", "category", "low", "words", "len", "s.i", "s.piece")
-    lens = t.select(*keys, "words", "len").distinct()
-    sizes = t.select(*keys, "words").distinct()
-    wins = texts.select(*keys, key, text).join(sizes, keys).select(
-        *keys, key, "words", F.posexplode(windows(F.col(text), F.col("words"))).alias("at", "window"))
-    wins = wins.withColumn("len", F.explode(F.sequence(F.length("window") - MAX_EDITS, F.length("window") + MAX_EDITS)))
-    wins = wins.join(lens, [*keys, "words", "len"])
-    low = F.lower("window")
-    tries = [F.struct(F.lit(i).alias("i"), F.substring(
-        low, F.greatest(seg(F.col("len"), i) + 1 + d, F.lit(1)), seg(F.col("len"), i + 1) - seg(F.col("len"), i)).alias("piece"))
-        for i in range(3) for d in range(-MAX_EDITS, MAX_EDITS + 1)]
-    probes = wins.withColumn("s", F.explode(F.array_distinct(F.array(*tries)))).select(
-        *keys, key, "words", "len", "at", "window", "s.i", "s.piece")
-    near = probes.join(segments, [*keys, "words", "len", "i", "piece"])
-    near = near.filter(F.levenshtein("low", F.lower("window")).between(1, MAX_EDITS))
+    t = t.withColumn("low", F.lower("term")).withColumn("words", F.size(F.split("term", r"\s+")))
+    wins = texts.select(*keys, key, text).join(t.select(*keys, "words").distinct(), keys).select(
+        *keys, key, "words", F.posexplode(windows(F.col(text), F.col("words"))).alias("at", "value"))
+    wins = wins.withColumn("window", F.lower("value"))
+    pairs = near_terms(wins.select(*keys, "words", "window").distinct(), t.select(*keys, "words", "low").distinct(), keys)
+    near = wins.join(pairs, [*keys, "words", "window"]).join(t, [*keys, "words", "low"])
     near = near.join(exact.select(*keys, key, "term"), [*keys, key, "term"], "left_anti")
-    first = near.groupBy(*keys, key, "term", "category").agg(F.min_by("window", "at").alias("value"))
+    first = near.groupBy(*keys, key, "term", "category").agg(F.min_by("value", "at").alias("value"))
     pos = first.join(texts.select(*keys, key, text), [*keys, key]).withColumn(
         "start", F.instr(F.lower(F.col(text)), F.lower("value")) - 1)
     return pos.filter("start >= 0").select(*keys, key, "term", "value", "category", F.lit(0.8).alias("confidence"),
