@@ -59,9 +59,8 @@ def with_amounts(df: DataFrame, text: str, out: str = "amounts") -> DataFrame:
 
 
 def detect_amounts(df: DataFrame, key: str, text: str) -> DataFrame:
-    return with_amounts(df.select(key, text), text).select(key, F.explode("amounts").alias("a")).select(
-        key, F.col("a.position").alias("position"), F.col("a.original").alias("original_text"),
-        F.col("a.value").alias("numeric_value"), F.col("a.currency").alias("currency"), F.col("a.format").alias("format"))
+    return with_amounts(df.select(key, text), text).select(key, F.inline_outer("amounts")).filter("original IS NOT NULL").withColumnsRenamed(
+        {"original": "original_text", "value": "numeric_value"})
 
 
 # --- accounts ----------------------------------------------------------------------
@@ -188,8 +187,8 @@ def with_entities(texts: DataFrame, terms: DataFrame, keys: list[str], key: str,
 
 
 def detect_entities(texts: DataFrame, terms: DataFrame, keys: list[str], key: str, text: str) -> DataFrame:
-    return with_entities(texts, terms, keys, key, text).select(*keys, key, F.explode("entities").alias("e")).select(
-        *keys, key, "e.value", "e.category", "e.confidence", "e.method", "e.start")
+    # an inner generator would test the list for emptiness first, and so compute it twice
+    return with_entities(texts, terms, keys, key, text).select(*keys, key, F.inline_outer("entities")).filter("value IS NOT NULL")
 
 
 # --- tokens ------------------------------------------------------------------------
