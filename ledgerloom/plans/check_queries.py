@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import accounts as A
 from ..operators import checks as C
+from ..operators import dup_windows as W
 from ..sources.trade_ledger import PERIOD
 from .registry import cte, register
 from .report_queries import kw, r2
@@ -223,6 +224,16 @@ register("dup_pairs", lambda d: C.dup_pairs(C.with_period(d.gl, *d.period)),
          CAST(ROW_NUMBER() OVER (PARTITION BY ledger_id, party, amount, vch_a, date_a, vch_b, date_b) AS INTEGER) AS copy
          FROM {dup_join(S, E)} QUALIFY ROW_NUMBER() OVER (PARTITION BY ledger_id
          ORDER BY amount DESC, party, vch_a, date_a, vch_b, date_b) <= 30""")
+register("dup_windows", lambda d: W.dup_windows(C.with_period(d.gl, *d.period)),
+         f"""WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY ledger_id, party, amount ORDER BY day, left(md5(ref), 2), ref) AS slot
+           FROM (SELECT ledger_id, reference_number AS ref, transaction_date AS day,
+             COALESCE(party_name, vendor_name, customer_name, account_name) AS party, GREATEST(debit_amount, credit_amount) AS amount, COUNT(*) AS n
+             FROM gl WHERE transaction_date BETWEEN {S} AND {E} AND GREATEST(debit_amount, credit_amount) > 100 AND reference_number IS NOT NULL
+             GROUP BY ALL) WHERE party IS NOT NULL)
+         SELECT a.ledger_id, a.party, CAST(a.amount AS DOUBLE) AS amount, a.ref AS vch, a.day AS date, a.n AS copies, a.slot, a.slot + 1 AS first,
+           COALESCE(MAX(b.slot), MAX(a.slot)) AS last, CAST(COALESCE(SUM(b.n) FILTER (b.ref <> a.ref), 0) AS BIGINT) AS partners
+         FROM r a LEFT JOIN r b ON a.ledger_id = b.ledger_id AND a.party = b.party AND a.amount = b.amount AND b.slot > a.slot AND b.day <= a.day + 7
+         GROUP BY ALL""")
 register("affected_refs", lambda d: C.affected_refs(d.rollups, *d.period),
          f"""SELECT ledger_id, ref AS reference_number, 'gst_mismatch' AS code FROM {voucher_rollup(S, E)}
            WHERE cgst > 0 AND sgst > 0 AND igst = 0 AND ABS(cgst - sgst) > 0.01
