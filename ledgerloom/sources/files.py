@@ -3,29 +3,78 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .schema import AMOUNT_COLUMNS, DATE_COLUMNS, GL_SCHEMA, MONEY, conform
 
 DELIMITERS = [",", "\t", ";", "|"]
-SAMPLE_CHARS = 2000
+QUOTED = r'"[^"]*"'
 
 
-def pick_delimiter(sample: str) -> str:
-    """The most frequent candidate in the sample; earlier candidates win ties."""
-    return max(DELIMITERS, key=lambda d: (sample.count(d), -DELIMITERS.index(d)))
+def pick_delimiter(record: str) -> str:
+    """The most frequent candidate outside quotes; earlier candidates win ties."""
+    bare = re.sub(QUOTED, "", record)
+    return max(DELIMITERS, key=lambda d: (bare.count(d), -DELIMITERS.index(d)))
 
 
-def src_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """CSV / TSV with the delimiter read off a few lines; every value a trimmed string, ragged rows kept."""
-    head = "\n".join(r.value for r in spark.read.text(path).limit(20).collect())[:SAMPLE_CHARS]
-    df = (
-        spark.read.option("header", True).option("sep", pick_delimiter(head.lstrip("﻿")))
-        .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-        .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').option("enforceSchema", False)
-        .csv(path))
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+def _open_quote(record: Column) -> Column:
+    return F.length(F.regexp_replace(record, '[^"]', "")) % 2 == 1
+
+
+def _to_quote_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The first record of each file, whose lines come in order; a file's later lines are passed over."""
+    heads: dict[str, list[str]] = {}
+    odd: dict[str, bool] = {}
+    for batch in batches:
+        for file, value in zip(batch["file"], batch["value"]):
+            if odd.get(file, True) and (heads.get(file) or value.strip()):
+                heads.setdefault(file, []).append(value)
+                odd[file] = odd.get(file, False) ^ (value.count('"') % 2 == 1)
+    yield pd.DataFrame({"file": list(heads), "head": ["\n".join(v) for v in heads.values()]})
+
+
+def first_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, head): the first record of each file, line breaks inside quotes included; files without one are left out.
+
+    One aggregate keeps the first line that is not blank of each file.  Only files whose first line leaves a
+    quote open are read again, by their first split.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    lines = lines.filter("at = 0")
+    first = lines.filter(F.trim("value") != "").withColumn("n", F.monotonically_increasing_id()).groupBy("file").agg(F.min_by("value", "n").alias("head"))
+    broken = [r.file for r in first.filter(_open_quote(F.col("head"))).select("file").collect()]
+    if not broken:
+        return first
+    whole = lines.filter(F.col("file").isin(broken)).select("file", "value").mapInPandas(_to_quote_end, "file string, head string")
+    return first.filter(~_open_quote(F.col("head"))).unionByName(whole)
+
+
+def src_delimited(spark: SparkSession, path: str, breaks: bool = False) -> DataFrame:
+    """CSV / TSV, each file by its own delimiter and header; every value a trimmed string, ragged rows kept.
+
+    Files with equal first records are read together, and groups are joined by column name, missing columns
+    NULL; columns stand in the order of the first file that has them.  ``breaks`` says that values hold line breaks,
+    which keeps files from being split; a header with one implies it for its files,
+    whose paths must then hold none of ``[]{}*?``.  No file with a record
+    gives no columns and no rows.  The driver holds a path and a header for each file, as Spark's own listing does.
+    """
+    groups: dict[str, list[str]] = {}
+    for r in first_records(spark, path).orderBy("file").collect():
+        groups.setdefault(r.head, []).append(re.sub(r"([{}\[\]*?\\])", r"\\\1", unquote(r.file)))
+    out = None
+    for head, files in groups.items():
+        df = (
+            spark.read.option("header", True).option("sep", pick_delimiter(head.lstrip("\ufeff")))
+            .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+            .option("mode", "PERMISSIVE").option("quote", '"').option("escape", '"').option("enforceSchema", False)
+            .option("multiLine", breaks or "\n" in head).csv(files))
+        df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return spark.createDataFrame([], "struct<>") if out is None else out
 
 
 def parse_number(c: Column) -> Column:
@@ -70,16 +119,28 @@ def canonicalise_gl(raw: DataFrame, mapping: dict[str, str], ledger_id: Column,
     })
 
 
-def sink_gl(gl: DataFrame, path: str, files_per_partition: int = 1, mode: str = "overwrite") -> None:
+#: Ledger-months are not cut into files of fewer rows.
+LEAST_ROWS = 500_000
+
+
+def sink_gl(gl: DataFrame, path: str, rows_per_file: int | None = None, mode: str = "overwrite") -> None:
     """Write the ledger by ledger and month; ``mode`` ``append`` adds late rows beside what is there.
 
-    Rows are shuffled on (ledger, month, slice), so a partition is written by
-    ``files_per_partition`` tasks: raise it where one ledger holds much of the data.
+    A histogram of the ledger-months, undated rows being one of them, sets into how many slices each is cut, so that no
+    file holds more than ``rows_per_file`` rows: by default the median ledger-month, or LEAST_ROWS where that is larger.
+    An empty ledger writes no file.
     """
-    month = F.coalesce(F.date_format("transaction_date", "yyyy-MM"), F.lit("none"))
-    part = F.pmod(F.xxhash64("row_id"), F.lit(files_per_partition))
-    (gl.withColumn("month", month).repartition("ledger_id", "month", part).sortWithinPartitions("ledger_id", "month", "transaction_date")
-     .write.mode(mode).partitionBy("ledger_id", "month").parquet(path))
+    gl = gl.withColumn("month", F.coalesce(F.date_format("transaction_date", "yyyy-MM"), F.lit("none")))
+    sizes = gl.groupBy("ledger_id", "month").agg(F.count(F.lit(1)).alias("_rows"))
+    if rows_per_file is None:
+        rows_per_file = max(int(sizes.agg(F.percentile_approx("_rows", 0.5)).first()[0] or 0), LEAST_ROWS)
+    # only ledger-months above the bound travel to the rows; a missing ledger is one, too
+    large = sizes.filter(F.col("_rows") > rows_per_file).select(
+        F.col("ledger_id").alias("_l"), F.col("month").alias("_m"), F.ceil(F.col("_rows") / rows_per_file).alias("_slices"))
+    dealt = gl.join(large, F.col("ledger_id").eqNullSafe(F.col("_l")) & (F.col("month") == F.col("_m")), "left").withColumn(
+        "_part", F.pmod(F.xxhash64("row_id", "transaction_date", "reference_number", "account_name"), F.coalesce("_slices", F.lit(1))))
+    (dealt.drop("_l", "_m", "_slices").repartition("ledger_id", "month", "_part").sortWithinPartitions("ledger_id", "month", "_part", "transaction_date")
+     .drop("_part").write.mode(mode).option("maxRecordsPerFile", rows_per_file).partitionBy("ledger_id", "month").parquet(path))
 
 
 def scan_gl(spark: SparkSession, path: str, ledgers: list[int] | None = None, start: str | None = None,
