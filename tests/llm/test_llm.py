@@ -254,10 +254,39 @@ def test_language_model_counts_every_word_and_bigram(docs, labels, monkeypatch):
         return -np.log((pairs[p] * by + 200 * (own[p[1]] * by + 1) / (words + size)) / (before[p[0]] * by + 200))
 
     want = {d: [np.mean([loss(s, p) for p in zip(["", *w], w)]) if w else 0 for s in sides] for d, w in spelt}
-    for share in (lm_scoring.HOT_SHARE, 0.01, 2.0):  # every bigram joined where it is read, some, none
+    for share in (lm_scoring.HOT_SHARE, 0.01, 2.0):  # every bigram scored where it is read, some, none
         monkeypatch.setattr(lm_scoring, "HOT_SHARE", share)
-        for r in lm_scoring.score(docs, lm_scoring.fit(docs, labels)).collect():
-            assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id]) and r.score == pytest.approx(want[r.doc_id][1] - want[r.doc_id][0])
+        model = lm_scoring.fit(docs, labels)
+        for asked in (docs, docs.filter("1 = 1 or doc_id is null").repartition(2)):  # counted and scored in one pass, or apart
+            rows = lm_scoring.score(asked, model).collect()
+            assert len(rows) == len(ROWS)
+            for r in rows:
+                assert (r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id]) and r.score == pytest.approx(want[r.doc_id][1] - want[r.doc_id][0])
+
+
+def test_language_model_chunks_and_buckets(docs, labels, monkeypatch):
+    want = {(r.doc_id, r.n_words): r.score for r in lm_scoring.score(docs, lm_scoring.fit(docs, labels)).collect()}
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a b a b a", "b a"]), pa.array([1, 1]), pa.array([1, 0])], names=["row", "text", "b", "t"])
+    monkeypatch.setattr(lm_scoring, "CHUNK", 3)
+    parts = list(lm_scoring._chunks(iter([batch])))
+    assert [len(c.word) for c in parts] == [3, 3, 1] and [int(c.last.sum()) for c in parts] == [0, 1, 1]
+    assert parts[1].rows.tolist() == [1, 2] and parts[1].prev[0] == parts[0].word[-1] and parts[1].prev[2] == lm_scoring.START
+    monkeypatch.setattr(lm_scoring, "LEAST_BUCKETS", 40)
+    got = {(r.doc_id, r.n_words): r.score for r in lm_scoring.score(docs, lm_scoring.fit(docs, labels)).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_language_model_of_unseen_text(spark):
+    """A word or bigram that was never counted costs its smoothed loss, never nothing."""
+    seen = spark.createDataFrame([(1, "red fox runs home"), (2, "blue whale swims far")], "doc_id bigint, text string")
+    trust = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    new = spark.createDataFrame([(9, "nobody wrote these five words"), (10, "red fox swims"), (11, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(new, lm_scoring.fit(seen, trust)).collect()}
+    never = np.log(4 + 10)  # four target words, a vocabulary of eight and two more
+    first = [-np.log((0 * by + 200 / 14) / (n * by + 200)) for n, by in ((1, 1), (2, 0.5))]
+    for loss, start in zip((got[9].target_loss, got[9].background_loss), first):
+        assert loss == pytest.approx((start + 4 * never) / 5)
+    assert got[10].score > 0 and (got[11].n_words, got[11].score) == (0, 0)
 
 
 def test_quality(docs, none, labels):
