@@ -44,6 +44,8 @@ LEAST_BUCKETS = 12
 PRIOR = 200.0
 #: What stands before a document's first word.
 START = 0
+#: Size up to which bitmaps of the trusted ids are broadcast; results do not depend on it.
+BITMAP_BYTES = 64 << 20
 #: Words whose hashes a worker keeps at a time.
 KNOWN = 300_000
 
@@ -305,11 +307,27 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                        order_id(doc_id).alias("__id"))
 
 
+def _marked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``t``: 1 if ``__id`` is among ``ids``, else 0.
+
+    Ids travel as bitmaps of 4 KB for 32,768 neighbours and are broadcast up to ``BITMAP_BYTES``, so no text is shuffled; more of them,
+    or scattered ids, meet the texts by a shuffle.
+    """
+    bits = ids.groupBy(F.bitmap_bucket_number("__id").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__id")).alias("__bits"))
+    bits = cut(bits, "trusted")
+    if 4096 * bits.count() > BITMAP_BYTES:
+        return rows.join(ids.withColumn("t", F.lit(1)), "__id", "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    met = rows.withColumns({"__part": F.bitmap_bucket_number("__id"), "__bit": F.bitmap_bit_position("__id").cast("int")})
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(__bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    bit = F.call_function("shiftright", byte, F.col("__bit") % 8).bitwiseAND(1)
+    return met.join(F.broadcast(bits), "__part", "left").withColumn("t", F.coalesce(bit, F.lit(0)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """Both models.  The target is all rows labelled 1; without any, both models are the background's."""
     ids = labels.filter(F.col(label) == 1).select(F.col(doc_id).cast("long").alias("__id")).filter("__id IS NOT NULL").distinct()
     source = _rows(docs, doc_id, text)
-    rows = source.join(ids.withColumn("t", F.lit(1)), "__id", "left").select("row", "text", F.lit(1).alias("b"), F.coalesce("t", F.lit(0)).alias("t"))
+    rows = _marked(source, ids).select("row", "text", F.lit(1).alias("b"), "t")
     words = cut(rows.mapInArrow(_count_words, WORDS).groupBy("word").agg(*(F.sum(c).alias(c) for c in ("b", "t", "end_b", "end_t"))), "words")
     n = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("b", "t", "end_b", "end_t")), F.count("*").alias("size")).first()
     often = F.col("b") >= HOT_SHARE * n["b"]  # at most 1 / HOT_SHARE

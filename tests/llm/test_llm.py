@@ -276,6 +276,17 @@ def test_language_model_chunks_and_buckets(docs, labels, monkeypatch):
     assert got == pytest.approx(want)
 
 
+def test_language_model_marks_ids(spark, monkeypatch):
+    all_ids = [0, 1, 7, 8, 32767, 32768, 32769, 65537, -1, -32768, -5, 2**40, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(i,) for i in all_ids], "__id bigint")
+    for limit in (lm_scoring.BITMAP_BYTES, 0):  # by bitmaps, by a join
+        monkeypatch.setattr(lm_scoring, "BITMAP_BYTES", limit)
+        for chosen in (all_ids[::2], all_ids[1::2], all_ids[:1]):
+            ids = spark.createDataFrame([(i,) for i in chosen], "__id bigint")
+            assert {r["__id"] for r in lm_scoring._marked(rows, ids).filter("t = 1").collect()} == set(chosen)
+        assert lm_scoring._marked(rows, rows.limit(0)).filter("t = 0").count() == len(all_ids)
+
+
 def test_language_model_of_unseen_text(spark):
     """A word or bigram that was never counted costs its smoothed loss, never nothing."""
     seen = spark.createDataFrame([(1, "red fox runs home"), (2, "blue whale swims far")], "doc_id bigint, text string")
