@@ -40,6 +40,8 @@ HOT_SHARE = 1e-4
 CHUNK = 1_000_000
 BUCKET = 6_000_000
 LEAST_BUCKETS = 12
+#: Occurrences of a bucket that are worked on at a time; results do not depend on it.
+PART = 500_000
 #: Weight of the word's own probability in a bigram's.
 PRIOR = 200.0
 #: What stands before a document's first word.
@@ -249,8 +251,65 @@ def _pack(totals: Totals, buckets: int, scored: bool) -> Callable:
     return run
 
 
+class _Opened:
+    """One pack: its words in order of hash, with the places where each word's bigrams and occurrences start."""
+
+    def __init__(self, words, runs, prev, sizes, doc, times, rows, weight, scored) -> None:
+        self.words, self.prev, self.sizes, self.doc, self.times, self.rows, self.weight, self.scored = words, prev, sizes, doc, times, rows, weight, scored
+        self.runs = runs
+        self.pair_at = np.concatenate([[0], np.cumsum(runs, dtype="i8")])
+        self.at = np.concatenate([[0], np.cumsum(sizes, dtype="i8")])[self.pair_at]
+        self.sums = np.zeros((3, len(rows)))
+
+    def part(self, low: int, high: int) -> tuple | None:
+        """Words, words before, sizes, documents, times, ends of the words from ``low`` to below ``high``."""
+        a = int(np.searchsorted(self.words, np.uint64(low)))
+        b = len(self.words) if high == 2**64 else int(np.searchsorted(self.words, np.uint64(high)))
+        if a == b:
+            return None
+        pairs, own = slice(self.pair_at[a], self.pair_at[b]), slice(self.at[a], self.at[b])
+        times = self.times[own].astype("i8")
+        return np.repeat(self.words[a:b], self.runs[a:b]), self.prev[pairs], self.sizes[pairs], self.doc[own], times >> 1, times & 1
+
+
+def _add_part(totals: Totals, packs: list[_Opened], low: int, high: int) -> None:
+    """Add what the words from ``low`` to below ``high`` bring to the sums of each pack's documents."""
+    met = [(p, part) for p in packs if (part := p.part(low, high)) is not None]
+    if not met:
+        return
+    word, prev = (np.concatenate([part[i] for _, part in met]) for i in (0, 1))
+    counts = []  # of each pack's bigrams: times of both sides, ends of both sides
+    for p, (_, _, sizes, doc, times, end) in met:
+        starts = np.cumsum(sizes, dtype="i8") - sizes
+        counts.append(np.array([np.add.reduceat(x * w[doc], starts) for x in (times, end) for w in p.weight.astype("i8")]))
+    counts = np.concatenate(counts, axis=1)
+    order = np.lexsort((prev, word))
+    starts, ends = _runs(word[order], prev[order]), _runs(word[order])
+    words, pairs = word[order][ends], np.repeat(np.arange(len(starts)), np.diff(starts, append=len(order)))
+    of_word = np.repeat(np.arange(len(ends)), np.diff(ends, append=len(order)))
+    hot, hot_at = _find(totals.hot, words)
+    above, below = np.empty((2, len(order))), np.empty((2, len(order)))
+    for s in (0, 1):
+        times, own = np.add.reduceat(counts[s][order], starts), np.add.reduceat(counts[s][order], ends)
+        before = own - np.add.reduceat(counts[2 + s][order], ends)
+        if hot.any():
+            own[hot], before[hot] = totals.own[s][hot_at[hot]], totals.before[s][hot_at[hot]]
+        above[s, order] = totals.above(s, times[pairs], own[of_word])
+        below[s, order] = totals.below(s, before)[of_word]
+    at = 0
+    for p, (_, own_prev, sizes, doc, times, end) in met:
+        if p.scored:
+            pair = np.repeat(np.arange(at, at + len(own_prev)), sizes)
+            first, n = np.where(prev[pair] == START, times, 0), len(p.rows)
+            p.sums[0] += _sums(doc, times, n)
+            for i, s in ((1, 1), (2, 0)):
+                opening = totals.below(s, np.float64(totals.documents[s]))
+                p.sums[i] += _sums(doc, first * opening + (times - end) * below[s][pair] - times * above[s][pair], n)
+        at += len(own_prev)
+
+
 def _score_bucket(totals: Totals) -> Callable:
-    """Sums by document over all packs of one bucket."""
+    """Sums by document over all packs of one bucket, which is gone through by ranges of word hashes of about ``PART`` occurrences."""
 
     def run(table: pa.Table) -> pa.Table:
         inflate = zstandard.ZstdDecompressor().decompress
@@ -261,40 +320,11 @@ def _score_bucket(totals: Totals) -> Callable:
                 kept = rest[1] > 0
                 out.append([x[kept] for x in rest])
             else:
-                packs.append(rest)
-        if packs:
-            word = np.concatenate([np.repeat(p[0], p[1]) for p in packs])
-            prev = np.concatenate([p[2] for p in packs])
-            counts = []  # of each pack's bigrams: times of both sides, ends of both sides
-            for p in packs:
-                starts = np.cumsum(p[3], dtype="i8") - p[3]
-                times, end = p[5].astype("i8") >> 1, p[5] & 1
-                counts.append([np.add.reduceat(x * w[p[4]], starts) for x in (times, end) for w in p[7].astype("i8")])
-            counts = np.concatenate([np.array(c) for c in counts], axis=1)
-            order = np.lexsort((prev, word))
-            starts, ends = _runs(word[order], prev[order]), _runs(word[order])
-            words, pairs = word[order][ends], np.repeat(np.arange(len(starts)), np.diff(starts, append=len(order)))
-            of_word = np.repeat(np.arange(len(ends)), np.diff(ends, append=len(order)))
-            hot, hot_at = _find(totals.hot, words)
-            above, below = np.empty((2, len(order))), np.empty((2, len(order)))
-            for s in (0, 1):
-                times, own = np.add.reduceat(counts[s][order], starts), np.add.reduceat(counts[s][order], ends)
-                before = own - np.add.reduceat(counts[2 + s][order], ends)
-                if hot.any():
-                    own[hot], before[hot] = totals.own[s][hot_at[hot]], totals.before[s][hot_at[hot]]
-                above[s, order] = totals.above(s, times[pairs], own[of_word])
-                below[s, order] = totals.below(s, before)[of_word]
-            opening = [totals.below(s, np.float64(totals.documents[s])) for s in (0, 1)]
-            at = 0
-            for p in packs:
-                n = len(p[2])
-                if p[8]:
-                    pair = np.repeat(np.arange(at, at + n), p[3])
-                    times, end = p[5].astype("i8") >> 1, p[5] & 1
-                    first = np.where(prev[pair] == START, times, 0)
-                    sums = [_sums(p[4], first * opening[s] + (times - end) * below[s][pair] - times * above[s][pair], len(p[6])) for s in (1, 0)]
-                    out.append([p[6], _sums(p[4], times, len(p[6])), *sums])
-                at += n
+                packs.append(_Opened(*rest))
+        n = 1 + sum(len(p.doc) for p in packs) // PART
+        for i in range(n):
+            _add_part(totals, packs, i * 2**64 // n, (i + 1) * 2**64 // n)
+        out += [[p.rows, *p.sums] for p in packs if p.scored]
         columns = [np.concatenate([o[i] for o in out]) if out else np.array([], "f8") for i in range(4)]
         give_back()
         return pa.Table.from_batches([_batch(SUMS, [columns[0].astype("i8"), *columns[1:]])])

@@ -271,6 +271,18 @@ def test_language_model_chunks_and_buckets(docs, labels, monkeypatch):
     parts = list(lm_scoring._chunks(iter([batch])))
     assert [len(c.word) for c in parts] == [3, 3, 1] and [int(c.last.sum()) for c in parts] == [0, 1, 1]
     assert parts[1].rows.tolist() == [1, 2] and parts[1].prev[0] == parts[0].word[-1] and parts[1].prev[2] == lm_scoring.START
+    totals = lm_scoring.fit(docs, labels).totals
+    pieces = list(lm_scoring._pack(totals, 1, True)(iter([batch])))
+    table = pa.Table.from_batches([p for p in pieces])
+    sums = []
+    for part in (10**6, 1):  # the bucket as a whole, by many ranges of hashes
+        monkeypatch.setattr(lm_scoring, "PART", part)
+        got = Counter()
+        for r in lm_scoring._score_bucket(totals)(table).to_pylist():
+            for c in "ktb":
+                got[r["row"], c] += r[c]
+        sums.append(got)
+    assert sums[0][1, "k"] == 5 and sums[0][2, "k"] == 2 and sums[0] == pytest.approx(sums[1])
     monkeypatch.setattr(lm_scoring, "LEAST_BUCKETS", 40)
     got = {(r.doc_id, r.n_words): r.score for r in lm_scoring.score(docs, lm_scoring.fit(docs, labels)).collect()}
     assert got == pytest.approx(want)
