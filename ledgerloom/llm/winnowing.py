@@ -7,7 +7,8 @@ Two texts that share ``W + K - 1`` words in a row share a chosen run.
 
 A text of few words, or with words as long as in scripts without blanks, has too few such
 runs: any edit would change all of them.  It is read by characters: its runs are of ``K`` characters,
-white space being one blank.  Two texts are compared by the same kind of run: by characters, if either is so read.
+white space being one blank.  A text has one fingerprint, and likeness is that of two fingerprints: a text read by characters and one
+read by words share nothing.
 
 A chosen run is one number: its 32-bit hash above the 31-bit complement of its
 position, so that the least number is the least hash and, among equals, the
@@ -39,8 +40,8 @@ def _both(a: Column, b: Column) -> Column:
     return F.xxhash64(a, b)
 
 
-def _chosen(df: DataFrame, units: Column, out: str, every: int = W) -> DataFrame:
-    """``df`` with ``out``: the chosen runs of a text's hashed units in order, as numbers; null without units.
+def _chosen(df: DataFrame, units: Column, out: str, every: Column) -> DataFrame:
+    """``df`` with ``out``: the chosen runs of a text's hashed units in order, as numbers.
 
     Fewer than K units are one run, none have none; of fewer than ``every`` runs all are chosen, or only the least where that is W.
     """
@@ -57,32 +58,23 @@ def _chosen(df: DataFrame, units: Column, out: str, every: int = W) -> DataFrame
     for i, by in enumerate((1, 2, 4)):
         df = df.withColumn(f"{t[4]}{i}", _shifted(least, by, lambda a, b: F.least(a, b)))
         least = F.col(f"{t[4]}{i}")
-    short = F.col(t[3]) if every > W else F.array(F.array_min(t[3]))
+    short = F.when(every > W, F.col(t[3])).otherwise(F.array(F.array_min(t[3])))
     chosen = F.when(F.size(t[3]) >= every, F.array_distinct(least)).when(F.size(t[3]) > 0, short).otherwise(F.col(t[3]))
-    return df.withColumn(out, F.when(F.col(t[0]).isNotNull(), chosen)).drop(*t, *(f"{t[4]}{i}" for i in range(3)))
-
-
-def by_characters(text: str) -> Column:
-    """Whether a text is read by characters."""
-    n = F.size(word_array(text))
-    return (n < FEW_WORDS) | (F.length(text) > LONG_WORDS * n)
+    return df.withColumn(out, chosen).drop(*t, *(f"{t[4]}{i}" for i in range(3)))
 
 
 def fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the chosen runs of words of a text column in order, as numbers.
-
-    A text of fewer than K words is one run; a missing or blank text has none; of fewer than W runs the least is chosen.
-    """
-    return _chosen(df, F.transform(word_array(text), lambda w: F.xxhash64(w)), out)
-
-
-def lettered(df: DataFrame, text: str, out: str, when: Column) -> DataFrame:
-    """``df`` with ``out``: the chosen runs of characters of a text column, in order; null where ``when`` does not hold.
+    """``df`` with ``out``: the chosen runs of a text column in order, as numbers.
 
-    A text of fewer than K characters is one run; of fewer than 2 W runs all are chosen, so a short text keeps what an edit leaves.
+    A text of fewer than K units is one run; a missing or blank text has none.  Of fewer than W runs of words the least is chosen; of
+    fewer than 2 W runs of characters all are, so a short text keeps what an edit leaves.
     """
-    letters = F.filter(F.split(F.array_join(word_array(text), " "), ""), lambda c: c != "")
-    return _chosen(df, F.when(when, F.transform(letters, lambda c: F.xxhash64(c))), out, 2 * W)
+    words, few = f"__{out}_words", f"__{out}_few"
+    df = df.withColumn(words, word_array(text))
+    df = df.withColumn(few, (F.size(words) < FEW_WORDS) | (F.length(text) > LONG_WORDS * F.size(words)))
+    letters = F.filter(F.split(F.array_join(words, " "), ""), lambda c: c != "")
+    units = F.transform(F.when(F.col(few), letters).otherwise(F.col(words)), lambda u: F.xxhash64(u))
+    return _chosen(df, units, out, F.when(F.col(few), 2 * W).otherwise(W)).drop(words, few)
 
 
 def spelt(runs: str | Column) -> Column:
@@ -129,25 +121,12 @@ def compare(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     order = cut(followers(size.select("id", "row")), "order")
     ask = order.join(size.groupBy("row").agg(F.max(F.floor(F.col("n_chars") / 4)).cast("int").alias("quarter")), "row")
     ask = ask.select(F.col("next").alias("row"), F.col("row").alias("asker"), "quarter")
-    asking = order.join(own.groupBy("row").agg(F.max(by_characters("text")).alias("letters")), "row").select(F.col("row").alias("asker"), "letters")
-    told = own.join(ask, "row").join(asking, "asker").select("asker", F.col("id").alias("next_id"), F.expr("substring(text, 1, quarter)").alias("head"),
-                                                             "text", "letters", by_characters("text").alias("next_letters"))
-    told = lettered(fingerprinted(told, "text", "next_runs"), "text", "next_lettered", F.col("letters") | F.col("next_letters"))
-    told = told.select(F.col("asker").alias("row"), "next_id", "head", "next_letters", hashes("next_runs").alias("next_hashes"),
-                       hashes("next_lettered").alias("next_signs"))
-    told = told.groupBy("row").agg(*(F.first(c).alias(c) for c in ("next_id", "head", "next_letters", "next_hashes", "next_signs")))
+    told = own.join(ask, "row").select(F.col("asker").alias("row"), F.col("id").alias("next_id"), F.expr("substring(text, 1, quarter)").alias("head"), "text")
+    told = fingerprinted(told, "text", "next_runs").select("row", "next_id", "head", hashes("next_runs").alias("next_hashes"))
+    told = told.groupBy("row").agg(*(F.first(c).alias(c) for c in ("next_id", "head", "next_hashes")))
     both = own.join(told, "row").withColumn("n_chars", F.length("text").cast("long"))
-    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.col("head"))
-    both = both.withColumn("edited", edited)
-    both = both.withColumns({"__few": by_characters("text"), "__edited_few": by_characters("edited")})
-    both = fingerprinted(fingerprinted(both, "text", "__words"), "edited", "__edited_words")
-    both = lettered(both, "text", "__signs", F.col("__few") | F.col("__edited_few") | F.col("next_letters"))
-    both = lettered(both, "edited", "__edited_signs", F.col("__few") | F.col("__edited_few"))
-    both = both.withColumns({"runs": F.when(F.col("__few"), F.col("__signs")).otherwise(F.col("__words")),
-                             "edited_runs": F.when(F.col("__edited_few"), F.col("__edited_signs")).otherwise(F.col("__edited_words"))})
-    near = F.when(F.col("__few") | F.col("__edited_few"), likeness(hashes("__signs"), hashes("__edited_signs"))).otherwise(
-        likeness(hashes("__words"), hashes("__edited_words")))
-    near_next = F.when(F.col("__few") | F.col("next_letters"), likeness(hashes("__signs"), F.col("next_signs"))).otherwise(
-        likeness(hashes("__words"), F.col("next_hashes")))
+    both = both.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) as int))"), F.col("head")))
+    both = fingerprinted(fingerprinted(both, "text", "runs"), "edited", "edited_runs")
+    near, near_next = likeness(hashes("runs"), hashes("edited_runs")), likeness(hashes("runs"), F.col("next_hashes"))
     return both.select(real_id("id").alias("id"), real_id("next_id").alias("next_id"), "n_chars", "edited", "runs", "edited_runs",
                        near.alias("near_edited"), near_next.alias("near_next"))

@@ -164,6 +164,35 @@ def test_winnowing(docs, none):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def test_winnowing_by_brute_force(spark, docs):
+    """The least hash of each window, the rightmost of equals, with its position; likeness is that of the returned fingerprints."""
+    words = ["same"] * 20 + [f"w{i * i % 23}" for i in range(60)] + ["same"] * 12
+    pieces = spark.createDataFrame([(i, words[i:i + winnowing.K]) for i in range(len(words) - winnowing.K + 1)], "i int, u array<string>")
+    one = winnowing._chosen(pieces, F.transform("u", lambda u: F.xxhash64(u)), "run", F.lit(winnowing.W))
+    hashed = {r.i: r.run[0] >> 31 for r in one.collect()}
+    want = []
+    for start in range(len(hashed) - winnowing.W + 1):
+        place = min(range(start, start + winnowing.W), key=lambda i: (hashed[i], -i))
+        if (hashed[place], place) not in want:
+            want.append((hashed[place], place))
+    text = spark.createDataFrame([(" ".join(words),)], "text string")
+    got = winnowing.fingerprinted(text, "text", "runs").first().runs
+    assert [(x >> 31, winnowing.LAST - (x & winnowing.LAST)) for x in got] == want
+
+    def like(a, b):
+        a, b = {x >> 31 for x in a}, {x >> 31 for x in b}
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    rows = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    by = {r.id: r for r in winnowing.compare(rows).collect()}
+    texts = {d: t or "" for d, t, *_ in ROWS}
+    for i, r in by.items():
+        following = texts[r.next_id]
+        cut = len(texts[i]) // 4
+        assert r.edited == texts[i][:len(texts[i]) - cut] + following[:cut]
+        assert r.near_edited == pytest.approx(like(r.runs, r.edited_runs)) and r.near_next == pytest.approx(like(r.runs, by[r.next_id].runs))
+
+
 def test_winnowing_of_short_and_unspaced_texts(spark):
     texts = ["one two six", "a short line of nine words stands here now", "".join(chr(0x4E00 + 37 * i % 2000) for i in range(400)),
              "".join(chr(0x5E00 + 41 * i % 2000) for i in range(400)), "letter", " ".join(f"w{i}" for i in range(15)), LONG]
