@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.columns import party_columns
-from ..operators import rollups
+from ..operators import rollups, text_index
 from ..sources import trade_ledger as tl
 from ..sources.staging import built, staged
 
@@ -47,6 +47,12 @@ class Data:
         """The maintained states of the ledger, written once like the ledger itself."""
         return built(self.spark, "rollups", self.sf_dir, lambda path: rollups.build(self.gl, path), lambda path: rollups.load(self.spark, path, self.gl))
 
+    @cached_property
+    def texts(self) -> text_index.TextIndex:
+        """The whole ledger with its text index, written once; blocks small enough that the test ledgers have many."""
+        return built(self.spark, "texts", self.sf_dir, lambda path: text_index.build(self.gl_all, path, block_rows=100_000),
+                     lambda path: text_index.load(self.spark, path, self.gl_all))
+
     @cached_property
     def parties(self) -> DataFrame:
         """The party columns each ledger uses, stored: its size is known when a join is planned."""

@@ -240,6 +240,9 @@ register("gl_search", lambda d: S.gl_search(d.gl_all, "bank", *PERIOD, voucher_t
     "ledger_id", "row_id"), f"""SELECT ledger_id, row_id FROM gl_all WHERE transaction_date BETWEEN {P0} AND {P1}
     AND lower(voucher_type) = 'payment' AND {kw(['party_name', 'vendor_name', 'customer_name', 'account_name', 'reference_number',
     'description'], ['bank'])}""", uses=("gl_all",))
+register("gl_search_indexed", lambda d: d.texts.search("Cash", start=PERIOD[0], end=PERIOD[1]).select("ledger_id", "row_id", "account_name"),
+         f"""SELECT ledger_id, row_id, account_name FROM gl_all WHERE transaction_date BETWEEN {P0} AND {P1}
+    AND {kw(['party_name', 'vendor_name', 'customer_name', 'account_name', 'reference_number', 'description'], ['cash'])}""", uses=("gl_all",))
 
 # --- filters, columns, joins, aggregates, windows ------------------------------------
 
