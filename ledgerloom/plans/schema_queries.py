@@ -104,21 +104,21 @@ register("profile_skip_columns",
          FROM (SELECT ledger_id, COUNT(*) AS n, unnest([{_prof}]) AS c FROM gl GROUP BY 1)""")
 
 _kinds = list(S.DOC_TYPES.values())
-_cols = ("CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN {arr(_kinds[i][0].split())}" for i in range(1, 5))
-         + f" WHEN 5 THEN ['foo', 'bar', 'baz'] ELSE {arr(_kinds[0][0].split())} END")
+_cols = ("CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN {arr(_kinds[i][0])}" for i in range(1, 5))
+         + f" WHEN 5 THEN ['foo', 'bar', 'baz'] ELSE {arr(_kinds[0][0])} END")
 cte("dcols", f"""SELECT file_id, list_distinct(list(replace(replace(replace(lower(c), ' ', ''), '_', ''), '-', ''))) AS keys FROM (
   SELECT c_custkey AS file_id, unnest(range(len(n))) AS i, unnest(n) AS c FROM (SELECT c_custkey, {_cols} AS n FROM customer)
   ) WHERE (i + file_id) % 3 <> 0 OR i < 0 GROUP BY 1""")
 
 
-def hits(names: str) -> str:
-    return f"len(list_intersect(keys, {arr(list(dict.fromkeys(S._key(c) for c in names.split())))}))"
+def hits(names: list[str]) -> str:
+    return f"len(list_intersect(keys, {arr(list(dict.fromkeys(S._key(c) for c in names)))}))"
 
 
 def _score(n: int, kind: str) -> str:
     disc, anti, versions = S.DOC_TYPES[kind]
-    v = "CASE " + " ".join(f"WHEN {hits(c)} = {len(c.split())} THEN '{k}'" for k, c in versions.items()) + " END" if versions else "NULL"
-    size = len({S._key(c) for c in disc.split()})
+    v = "CASE " + " ".join(f"WHEN {hits(c)} = {len(c)} THEN '{k}'" for k, c in versions.items()) + " END" if versions else "NULL"
+    size = len({S._key(c) for c in disc})
     return (f"SELECT file_id, {n} AS n, '{kind}' AS type, CAST({v} AS VARCHAR) AS version, ROUND(GREATEST(0.0, LEAST(1.0, "
             f"CAST({hits(disc)} AS DOUBLE) / {size} - LEAST(0.35, {hits(anti)} * 0.12))), 6) AS conf FROM keys2")
 
@@ -135,7 +135,7 @@ register("ref_doc_types", lambda d: U.doc_columns(d.spark, d.sf_dir).select("fil
     F.broadcast(S.ref_doc_types(d.spark)), "key").groupBy("type", "role").agg(F.count(F.lit(1)).alias("hits")),
     "WITH k AS (SELECT file_id, unnest(keys) AS key FROM keys2), reg AS (SELECT * FROM (VALUES " + ", ".join(
         f"('{kind}', '{role}', '{S._key(c)}')" for kind, (disc, anti, vs) in S.DOC_TYPES.items()
-        for role, names in [("disc", disc), ("anti", anti)] + [("version", v) for v in vs.values()] for c in names.split())
+        for role, names in [("disc", disc), ("anti", anti)] + [("version", v) for v in vs.values()] for c in names)
     + ") v(type, role, key)) SELECT type, role, COUNT(*) AS hits FROM k JOIN reg USING (key) GROUP BY 1, 2", uses=("keys2",))
 register("extract_period", lambda d: S.extract_period(U.files(d.spark, d.sf_dir)), """
   WITH f AS (SELECT c_custkey AS file_id, c_custkey % 8 AS m, CAST(c_custkey % 30 AS INTEGER) AS r, a, b FROM customer LEFT JOIN (SELECT o_custkey,

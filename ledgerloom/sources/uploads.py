@@ -48,9 +48,9 @@ def doc_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, column): two thirds of a document type's columns, in places with a stray one."""
     k = F.col("c_custkey")
     kinds = list(DOC_TYPES.values())
-    arr = F.array(*[F.lit(c) for c in kinds[0][0].split()])
+    arr = F.array(*[F.lit(c) for c in kinds[0][0]])
     for i in range(1, len(kinds)):
-        arr = F.when(k % 6 == i, F.array(*[F.lit(c) for c in kinds[i][0].split()])).otherwise(arr)
+        arr = F.when(k % 6 == i, F.array(*[F.lit(c) for c in kinds[i][0]])).otherwise(arr)
     arr = F.when(k % 6 == 5, F.array(F.lit("foo"), F.lit("bar"), F.lit("baz"))).otherwise(arr)
     rows = read(spark, sf_dir, "customer").select(k.alias("file_id"), F.posexplode(arr).alias("i", "column"))
     kept = rows.filter((F.col("i") + F.col("file_id")) % 3 != 0).select("file_id", "column")
