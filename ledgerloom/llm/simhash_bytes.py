@@ -33,6 +33,8 @@ MAX_DISTANCE = 3
 KEPT = list(combinations(range(8), 8 - MAX_DISTANCE))
 FREE = [[p for p in range(8) if p not in kept] for kept in KEPT]
 PAIR_LIMIT = 256
+#: Share of all rows from which the rows of a fingerprint are not shuffled; results do not depend on it.
+HOT_SHARE = 1e-4
 
 
 def _signed(x: int) -> int:
@@ -97,10 +99,14 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``id, row_hash, fp`` of every row, written once."""
+    return cut(docs.select(order_id(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("row_hash"), fingerprint(text).alias("fp")), "simhash")
+
+
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``id, row_hash, fp, group``: rows with the smallest fingerprint their own one links to.  Ids play no part in it."""
-    rows = cut(docs.select(order_id(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("row_hash"),
-                           fingerprint(text).alias("fp")), "simhash")
+    rows = _rows(docs, doc_id, text)
     prints = cut(rows.select("fp").distinct(), "prints")
     found = components(links(prints)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     return cut(rows.join(found, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "groups")
@@ -113,9 +119,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     that share an id, or have none, are not linked by it.  A missing or blank text has fingerprint 0 and links like any other; a
     missing doc_id comes last and names a component only where no document has an id.  An empty table gives none.
     """
-    rows = _grouped(docs, doc_id, text)
-    least = rows.groupBy("group").agg(F.min("id").alias("component"))
-    return rows.join(least, "group").select(real_id("id").alias("doc_id"), "row_hash", "fp", real_id("component").alias("component_id"))
+    rows = _rows(docs, doc_id, text)
+    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "prints")
+    found = components(links(prints.select("fp"))).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    named = prints.join(found, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
+    named = cut(named.join(named.groupBy("group").agg(F.min("least").alias("component")), "group").select("fp", "n", "component"), "named")
+    often = F.col("n") >= F.lit(HOT_SHARE) * (prints.agg(F.sum("n")).first()[0] or 0)
+    hot = F.broadcast(named.filter(often).drop("n"))  # at most 1 / HOT_SHARE
+    rare = rows.join(hot.select("fp"), "fp", "left_anti").join(named.filter(~often).drop("n"), "fp")
+    rows = rows.join(hot, "fp").unionByName(rare)
+    return rows.select(real_id("id").alias("doc_id"), "row_hash", "fp", real_id("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -210,8 +210,9 @@ def test_simhash(docs, none, monkeypatch):
             for b, g in prints:
                 if bin((f ^ g) % 2**64).count("1") <= 3:
                     least[a] = least[b] = min(least[a], least[b])
-    for limit in (simhash_bytes.PAIR_LIMIT, 1):  # every posting by pairs, every posting by sets
+    for limit, share in ((simhash_bytes.PAIR_LIMIT, simhash_bytes.HOT_SHARE), (1, 0.1), (1, 2.0)):  # postings by pairs or sets; rows by broadcast or shuffle
         monkeypatch.setattr(simhash_bytes, "PAIR_LIMIT", limit)
+        monkeypatch.setattr(simhash_bytes, "HOT_SHARE", share)
         got = {2**63 - 1 if r.doc_id is None else r.doc_id: 2**63 - 1 if r.component_id is None else r.component_id for r in simhash_bytes.classes(docs).collect()}
         assert got == least
     kept = [r.doc_id for r in simhash_bytes.keep_one(docs).collect()]
@@ -219,6 +220,19 @@ def test_simhash(docs, none, monkeypatch):
     assert simhash_bytes.classes(none).count() == 0
 
 
+def test_simhash_of_a_text(spark):
+    """Majority bits of XXH64 over three-word shingles, counted one by one."""
+    import xxhash
+
+    for text in ("", "One", "one TWO", "a b c", "é Ä a b c d e f a b c d e f", LONG[:900], "x " * 50):
+        words = [w.translate({i: i + 32 for i in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        grams = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        got = spark.createDataFrame([(text,)], "t string").select(simhash_bytes.fingerprint("t").alias("fp")).first().fp
+        assert got % 2**64 == want
+
+
 def test_simhash_ids_do_not_link(spark):
     other = " ".join(f"river{i} stone" for i in range(60))
     rows = spark.createDataFrame([(None, BASE), (None, other), (7, BASE), (8, LONG), (8, other[::-1])], "doc_id bigint, text string")
