@@ -14,16 +14,14 @@ numbers, whatever the size of the corpus.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import log
+from math import ceil, floor, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, order_id, word_array
+from .common import WORD, cut, order_id, word_array
 
 BUCKETS = 10_000
-#: Most labelled rows of each class that the model is fitted on, those of smallest id hash.
-SAMPLE = 10_000
 #: Share of trusted rows that the threshold lets fall.
 TRUSTED_LOSS = 0.002
 WINDOW = 5
@@ -103,19 +101,39 @@ def score(ratios: tuple[float, ...]) -> Column:
     return total / F.greatest(2 * F.size("__h") - 1, F.lit(1))
 
 
-def _sample(labels: DataFrame, doc_id: str, label: str, value: int, rows: int) -> DataFrame:
-    ids = labels.filter(F.col(label) == value).select(F.col(doc_id).cast("long").alias("__label_id")).distinct()
-    return ids.orderBy(F.xxhash64("__label_id"), "__label_id").limit(rows).withColumn("__label", F.lit(value))
+#: Accuracy of the approximate ranks that enclose an exact quantile.
+RANKS = 10_000
+
+
+def quantile(values: DataFrame, column: str, share: float) -> float | None:
+    """The exact quantile of a column, between two values by linear interpolation; None without values.
+
+    Approximate quantiles on either side enclose it, so only about 6 / RANKS of the values are put in order.
+    """
+    sides = [max(0.0, share - 3 / RANKS), min(1.0, share + 3 / RANKS)]
+    n, least, most, near = values.agg(F.count(column), F.min(column), F.max(column), F.percentile_approx(column, sides, RANKS)).first()
+    if not n:
+        return None
+    low = least if sides[0] == 0 else near[0]
+    high = most if sides[1] == 1 else near[1]
+    place = (n - 1) * share
+    first, last = floor(place), ceil(place)
+    below, within = values.agg(F.count_if(F.col(column) < low), F.count_if(F.col(column).between(low, high))).first()
+    if not below <= first or not last < below + within:  # the bounds are approximate; all values are certain
+        low, high, below = least, most, 0
+    inside = values.filter(F.col(column).between(low, high)).select(column).orderBy(column)
+    a, *b = [r[0] for r in inside.offset(first - below).limit(last - first + 1).collect()]
+    return a if not b or a == b[0] else (last - place) * a + (place - first) * b[0]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-        sample: int = SAMPLE, trusted_loss: float = TRUSTED_LOSS) -> Model:
-    """Raw counts from every document, trusted counts from at most ``sample`` documents labelled 1.
+        trusted_loss: float = TRUSTED_LOSS) -> Model:
+    """Raw counts from every document, trusted counts from every document labelled 1.
 
-    The threshold is the quantile ``trusted_loss`` of the trusted documents' scores.  Without labels or documents
-    all ratios are 0 and everything passes.  The sample is broadcast: it holds at most ``sample`` ids.
+    The threshold is the quantile ``trusted_loss`` of the scores of all trusted documents.  Without labels or documents
+    all ratios are 0 and everything passes.
     """
-    trusted = F.broadcast(_sample(labels, doc_id, label, 1, sample))
+    trusted = labels.filter(F.col(label) == 1).select(F.col(doc_id).cast("long").alias("__label_id"), F.lit(1).alias("__label")).distinct()
     rows = docs.join(trusted, order_id(doc_id) == F.col("__label_id"), "left").select(
         F.col(text).alias("text"), F.col("__label").isNotNull().alias("t"))
     counts = (hashed(rows).select(F.explode(F.concat("__h", "__h2")).alias("h"), "t").select(_bucket(F.col("h")).alias("bucket"), "t")
@@ -126,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     norm = log((sum(raw) + BUCKETS) / (sum(good) + BUCKETS))
     ratios = tuple(log((g + 1) / (r + 1)) + norm if sum(good) else 0.0 for g, r in zip(good, raw, strict=True))
     seen = docs.join(trusted, order_id(doc_id) == F.col("__label_id")).select(F.col(text).alias("text"))
-    seen = hashed(seen).select(score(ratios).alias("s"))
-    least = seen.agg(F.percentile("s", F.lit(trusted_loss)).alias("least")).first()["least"]
+    # one number a trusted document
+    least = quantile(cut(hashed(seen).select(score(ratios).alias("s")), "trusted-scores"), "s", trusted_loss)
     return Model(ratios, float("-inf") if least is None else least)
 
 
