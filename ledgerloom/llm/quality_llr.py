@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, order_id, word_array
+from .lm_scoring import _marked as marked
 
 BUCKETS = 10_000
 #: Share of trusted rows that the threshold lets fall.
@@ -131,11 +132,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Raw counts from every document, trusted counts from every document labelled 1.
 
     The threshold is the quantile ``trusted_loss`` of the scores of all trusted documents.  Without labels or documents
-    all ratios are 0 and everything passes.
+    all ratios are 0 and everything passes.  Trusted ids meet the texts as broadcast bitmaps; no text is shuffled.
     """
-    trusted = labels.filter(F.col(label) == 1).select(F.col(doc_id).cast("long").alias("__label_id"), F.lit(1).alias("__label")).distinct()
-    rows = docs.join(trusted, order_id(doc_id) == F.col("__label_id"), "left").select(
-        F.col(text).alias("text"), F.col("__label").isNotNull().alias("t"))
+    ids = labels.filter(F.col(label) == 1).select(F.col(doc_id).cast("long").alias("__id")).filter("__id IS NOT NULL").distinct()
+    rows = marked(docs.select(order_id(doc_id).alias("__id"), F.col(text).alias("text")), ids).select("text", (F.col("t") == 1).alias("t"))
     counts = (hashed(rows).select(F.explode(F.concat("__h", "__h2")).alias("h"), "t").select(_bucket(F.col("h")).alias("bucket"), "t")
               .groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("t").alias("trusted")).collect())
     raw, good = [0] * BUCKETS, [0] * BUCKETS
@@ -143,9 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         raw[r["bucket"]], good[r["bucket"]] = r["raw"], r["trusted"]
     norm = log((sum(raw) + BUCKETS) / (sum(good) + BUCKETS))
     ratios = tuple(log((g + 1) / (r + 1)) + norm if sum(good) else 0.0 for g, r in zip(good, raw, strict=True))
-    seen = docs.join(trusted, order_id(doc_id) == F.col("__label_id")).select(F.col(text).alias("text"))
     # one number a trusted document
-    least = quantile(cut(hashed(seen).select(score(ratios).alias("s")), "trusted-scores"), "s", trusted_loss)
+    least = quantile(cut(hashed(rows.filter("t")).select(score(ratios).alias("s")), "trusted-scores"), "s", trusted_loss)
     return Model(ratios, float("-inf") if least is None else least)
 
 

@@ -29,3 +29,20 @@ def test_quantile_is_exact(spark, n, share):
     rng = random.Random(n)
     values = spark.createDataFrame([(rng.choice([rng.random(), 0.25, None]),) for _ in range(n)], "s double").repartition(4).cache()
     assert Q.quantile(values, "s", share) == values.agg(F.percentile("s", F.lit(share))).first()[0]
+
+
+def test_texts_stay_where_they_are_read(spark, monkeypatch):
+    # trusted ids that no broadcast threshold lets through must not bring the texts into a shuffle
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    taken = []
+    monkeypatch.setattr(Q, "hashed", lambda rows, text="text", run=Q.hashed: taken.append(rows) or run(rows, text))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        Q.fit(docs, labels)
+        plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in taken]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert len(plans) == 2 and not any("Exchange hashpartitioning" in p or "SortMergeJoin" in p for p in plans)
+    assert taken[1].count() == 1_500
