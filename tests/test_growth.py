@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import rollups as U
 from ledgerloom.plans import registry
-from ledgerloom.sources import files
+from ledgerloom.sources import files, staging, trade_ledger
 from ledgerloom.sources.schema import conform
 
 
@@ -34,6 +34,17 @@ def test_staging_sorts_trade_rows_not_legs(spark, sf, monkeypatch):
     assert not any("transaction_date" in lines[i] for i in place["Sort"])
 
 
+def test_sorts_of_trade_rows_are_bounded(spark, sf, monkeypatch):
+    # as many tasks as the rows need, not as many as cores or splits; every row once
+    whole = trade_ledger.purchase_side(spark, sf).select("row_id")
+    monkeypatch.setattr(staging, "TASK_ROWS", 100, raising=False)
+    legs = trade_ledger.purchase_side(spark, sf).select("row_id")
+    sizes = legs.groupBy(F.spark_partition_id()).count().agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
+    rows = trade_ledger.read(spark, sf, "lineitem").count()
+    assert sizes["n"] >= rows / 200 and sizes["most"] < 2_500
+    assert legs.exceptAll(whole).isEmpty() and legs.count() == whole.count()
+
+
 def test_vouchers_travel_once(spark):
     gl = ledger(spark, 200)
     vouchers = U._slots(gl, 1, U._sizes(gl))["vouchers"]
