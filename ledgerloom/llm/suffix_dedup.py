@@ -18,7 +18,7 @@ the corpus starts in exactly one phrase.
 
 The order of whole suffixes over the entire parse is not built: only equality
 of ``LENGTH`` bytes matters here, and a phrase text holds such a string whole.
-Triggers travel packed, sixteen bytes (whole hashes of trigger and text) and compressed places each; the number of
+Triggers travel packed, whole hashes of trigger (less the bucket, which is its remainder) and text, and compressed places and ids each; the number of
 buckets follows the bytes of the corpus, so no task grows with it.
 """
 
@@ -44,7 +44,7 @@ PACK_TEXTS = 20_000
 FINER = 4
 U = np.uint64
 BASE = 0x5851F42D4C957F2D
-PACKED = "bucket int, trigger binary, text binary, places binary, rows binary, ids binary"
+PACKED = "bucket int, buckets int, trigger binary, text binary, places binary, rows binary, ids binary"
 BROUGHT = "bucket int, trigger binary, places binary, ids binary, rows binary, text binary"
 _powers: list[np.ndarray] = []
 
@@ -118,11 +118,14 @@ def phrases(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _squeeze(*columns: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.stack([c.astype(np.int64) for c in columns]).astype("<i8").tobytes())
+    """Columns of equal length, compressed byte by byte: all lowest bytes first, so that the empty high ones cost nothing."""
+    planes = np.stack([c.astype("<i8") for c in columns]).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
 
 
 def _spread(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<i8").reshape(n, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(n, -1)
 
 
 def _pack(buckets: int):
@@ -133,15 +136,15 @@ def _pack(buckets: int):
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
         keys, ids = (np.array(x, dtype=np.int64) for x in zip(*rows, strict=True))
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for a, b in zip(edges[:-1], edges[1:]):
             at = order[a:b]
             used, local = np.unique(which[at], return_inverse=True)
             for column, value in zip(out, (
-                    int(bucket[at[0]]), trigger[at].astype("<u8").tobytes(), text[at].astype("<u8").tobytes(), _squeeze(np.diff(local, prepend=0), np.diff(first[at], prepend=0), last[at] - first[at]),
-                    keys[used].astype("<i8").tobytes(), ids[used].astype("<i8").tobytes()), strict=True):
+                    int(bucket[at[0]]), buckets, _squeeze(trigger[at] // U(buckets)), text[at].astype("<u8").tobytes(), _squeeze(np.diff(local, prepend=0), np.diff(first[at], prepend=0), last[at] - first[at]),
+                    keys[used].astype("<i8").tobytes(), _squeeze(np.diff(ids[used], prepend=0))), strict=True):
                 column.append(value)
-        types = [pa.int32(), *[pa.binary()] * 5]
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
                                           names=[x.split()[0] for x in PACKED.split(", ")])
 
@@ -174,13 +177,14 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """Phrases of one bucket: those repeated as a whole, and those whose trigger another document shares."""
+    """Phrases of one bucket: those repeated as a whole, without their trigger, and those whose trigger another document shares."""
     got: list[list[np.ndarray]] = [[] for _ in range(6)]
     for r in table.to_pylist():
-        trigger, text = np.frombuffer(r["trigger"], "<i8"), np.frombuffer(r["text"], "<u8")
+        trigger = (_spread(r["trigger"], 1)[0].view(U) * U(r["buckets"]) + U(r["bucket"])).view(np.int64)  # the bucket is its remainder
+        text = np.frombuffer(r["text"], "<u8")
         local, first, length = _spread(r["places"], 3)
         local, first = np.cumsum(local), np.cumsum(first)
-        rows, ids = (np.frombuffer(r[k], "<i8") for k in ("rows", "ids"))
+        rows, ids = np.frombuffer(r["rows"], "<i8"), np.cumsum(_spread(r["ids"], 1)[0])
         for column, value in zip(got, (trigger, text, ids[local], rows[local], first, length), strict=True):
             column.append(value)
     trigger, text, doc, row, first, length = (np.concatenate(x) for x in got)
@@ -195,7 +199,7 @@ def _meet(table: pa.Table) -> pa.Table:
     shared = stay[np.repeat(spread, np.diff(np.append(starts, len(stay))))]
     at = np.concatenate([np.flatnonzero(whole), shared])
     return pa.table({"row": row[at], "start": first[at].astype(np.int32), "stop": (first + length + LENGTH)[at].astype(np.int32),
-                     "trigger": trigger[at], "whole": whole[at]})
+                     "trigger": pa.array(trigger[at], mask=whole[at]), "whole": whole[at]})
 
 
 def _bring(buckets: int):
