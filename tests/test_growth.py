@@ -3,11 +3,12 @@
 import datetime as dt
 import re
 from pathlib import Path
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import rollups as U
-from ledgerloom.plans import registry
+from ledgerloom.plans import catalog, registry, schema_queries  # noqa: F401  the catalog first
 from ledgerloom.sources import files, staging, trade_ledger
 from ledgerloom.sources.schema import conform
 
@@ -45,6 +46,44 @@ def test_sorts_of_trade_rows_are_bounded(spark, sf, monkeypatch):
     assert legs.exceptAll(whole).isEmpty() and legs.count() == whole.count()
 
 
+def test_trade_rows_of_small_row_groups_are_split_not_shuffled(spark, tmp_path, monkeypatch):
+    # more rows than the cores' tasks may hold, in row groups that a scan can part: read in finer splits, nothing dealt out
+    n = 48_000
+    spark.range(n).select("id", F.xxhash64("id").alias("h")).coalesce(1).sortWithinPartitions("h").write.option("parquet.block.size", 4_096).option(
+        "parquet.page.size.row.check.min", 100).option("parquet.block.size.row.check.min", 100).parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(staging, "TASK_ROWS", 2_000)
+    monkeypatch.setattr(staging, "_BUILT", {})
+    held, openings = spark.conf.get(staging.SPLITS, None), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    seen = []
+
+    def build():
+        df = staging.spread(spark.read.parquet(str(tmp_path / "t")), "id")
+        seen.append((plan(df).count("Exchange"), df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]))
+        return df
+
+    try:
+        out = staging.staged(spark, "splits", str(tmp_path), build)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", openings)
+    assert seen[0][0] == 0 and seen[0][1] <= 4_000
+    assert out.count() == n and out.select("id").distinct().count() == n
+    assert spark.conf.get(staging.SPLITS, None) == held
+
+
+def test_cube_does_not_sort_the_ledger(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the whole plan is shown before it runs
+    try:
+        data = SimpleNamespace(gl=ledger(spark, 200), overrides=spark.createDataFrame(
+            [], "ledger_id int, account_name string, account_type string, confidence double, is_confirmed boolean"))
+        lines = plan(schema_queries._cube(data, "cube")).splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # a child stands below its parent: the lowest aggregate, over the ledger's own rows, is by hash
+    lowest = [line for line in lines if "Aggregate(" in line or "Aggregate [" in line][-1]
+    assert "HashAggregate" in lowest and "ObjectHash" not in lowest
+
+
 def test_vouchers_travel_once(spark):
     gl = ledger(spark, 200)
     vouchers = U._slots(gl, 1, U._sizes(gl))["vouchers"]
