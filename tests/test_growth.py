@@ -5,9 +5,11 @@ import re
 from pathlib import Path
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import rollups as U
+from ledgerloom.operators import recon, rollups as U
+from ledgerloom.operators.checks import with_period
 from ledgerloom.plans import catalog, registry, schema_queries  # noqa: F401  the catalog first
 from ledgerloom.sources import files, staging, trade_ledger
 from ledgerloom.sources.schema import conform
@@ -71,12 +73,15 @@ def test_trade_rows_of_small_row_groups_are_split_not_shuffled(spark, tmp_path,
     assert spark.conf.get(staging.SPLITS, None) == held
 
 
-def test_cube_does_not_sort_the_ledger(spark):
+@pytest.mark.parametrize("step", [
+    lambda d: schema_queries._cube(d, "cube"),
+    lambda d: recon.account_rollup(with_period(d.gl, "2020-01-01", "2021-06-30"))], ids=["cube", "recon"])
+def test_the_ledger_is_not_sorted_for_its_groups(spark, step):
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # the whole plan is shown before it runs
     try:
-        data = SimpleNamespace(gl=ledger(spark, 200), overrides=spark.createDataFrame(
+        data = SimpleNamespace(gl=ledger(spark, 200).withColumn("account_group", F.substring("row_id", -1, 1)), overrides=spark.createDataFrame(
             [], "ledger_id int, account_name string, account_type string, confidence double, is_confirmed boolean"))
-        lines = plan(schema_queries._cube(data, "cube")).splitlines()
+        lines = plan(step(data)).splitlines()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     # a child stands below its parent: the lowest aggregate, over the ledger's own rows, is by hash
